@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .quality_rules import quality_verdicts
 from .sharding import interleave_shards
 from .token_transducer import token_counts
+from .toxicity import toxicity_scores
 
 #: The conversation that op8 adds: both turns say a control string.
 DEMO_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -41,6 +42,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(_read(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_top_k": op4_top_k,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
     "op10_sharding": op10_sharding,
