@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import chat_digests
+from .jaccard_join import near_duplicates
 from .mips import top_k
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -57,6 +58,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.unionByName(demo))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = interleave_shards(_read(spark, sf_dir, "documents"), shards=40)
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_sharding": op10_sharding,
 }
 
