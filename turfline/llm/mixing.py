@@ -23,6 +23,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +35,8 @@ from .ranking import add_group_ranks, bucket_of, shuffle_key
 from .text_stats import WORD_PATTERN
 
 WEIGHTS = (5, 2, 1)
+#: Rows of the table of sources that may be broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
@@ -67,14 +72,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
 
     taken = repeats * size + part: `repeats` whole copies, then the first `part` words.
     """
-    rows = docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint").alias("size"),
-        shuffle_key(seed, "doc_id").alias("_key"),
-    ).withColumn("_bucket", bucket_of(F.col("_key")))
-    rows = stage(rows, "mix-rows")
-    return allot(rows, weights, max_epochs).drop("_key", "_bucket")
+    return allot(_sized(docs, seed), weights, max_epochs).drop("_key", "_bucket")
+
+
+def _size() -> F.Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    rows = docs.select("doc_id", "source", _size().alias("size"), shuffle_key(seed, "doc_id").alias("_key"))
+    return stage(rows.withColumn("_bucket", bucket_of(F.col("_key"))), "mix-rows")
 
 
 def allot(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -91,3 +98,43 @@ def allot(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFra
     out = out.withColumn("part", F.when(F.col("repeats") >= max_epochs, F.lit(0).cast("bigint")).otherwise(part))
     out = out.withColumn("taken", F.col("repeats") * F.col("size") + F.col("part"))
     return out.drop("_rank", "_words_before", "weight")
+
+
+@F.pandas_udf("string")
+def _first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
+    def cut(text: str, n: int) -> str:
+        for i, word in enumerate(re.finditer(WORD_PATTERN, text), 1):
+            if i == n:
+                return text[: word.end()]
+        return text
+
+    return pd.Series([cut(x, n) for x, n in zip(texts, counts, strict=True)], dtype="object")
+
+
+def materialize_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 5) -> DataFrame:
+    """The mix itself, with all columns of docs: every whole repetition is a row, and a part is a row cut after its last word.
+
+    What a row takes follows from its source's repeats and from the last row that the
+    source takes a part of, so one row per source is joined back and no text is
+    shuffled. Rows that tie with that last row all take its part. n_chars, where it is a
+    column, follows the text.
+    """
+    rows = allot(_sized(docs, seed), weights, max_epochs)
+    place = F.struct("_key", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size", "part")
+    limits = rows.groupBy(F.col("source").alias("_source")).agg(F.max("repeats").alias("_repeats"), F.max(F.when(F.col("part") > 0, place)).alias("_last"))
+    limits = stage(limits, "mix-limits")
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_SOURCES else limits
+    names = docs.columns
+    out = docs.join(limits, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_size", _size())
+    mine = F.struct(shuffle_key(seed, "doc_id").alias("_key"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_size").alias("size"))
+    last = F.struct(F.col("_last._key"), F.col("_last.no_id"), F.col("_last.doc_id"), F.col("_last.size"))
+    part = F.when(F.col("_last").isNull() | (mine > last), F.lit(0).cast("bigint")).when(mine < last, F.col("_size")).otherwise(F.col("_last.part"))
+    out = out.withColumn("_part", part)
+    whole = F.array_repeat(F.lit(None).cast("bigint"), F.col("_repeats").cast("int"))
+    takes = F.when(F.col("_part") >= F.col("_size"), F.array_append(whole, F.lit(None).cast("bigint"))).when(F.col("_part") > 0, F.array_append(whole, F.col("_part"))).otherwise(whole)
+    out = out.where(F.col("_size") > 0).withColumn("_take", F.explode(takes))
+    text = F.when(F.col("_take").isNull(), F.col("text")).otherwise(_first_words(F.when(F.col("_take").isNotNull(), F.col("text")).otherwise(F.lit("")), F.coalesce("_take", F.lit(0))))
+    out = out.withColumn("_text", text).drop("text").withColumnRenamed("_text", "text")
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("_take").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+    return out.select(*names)

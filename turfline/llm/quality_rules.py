@@ -45,18 +45,16 @@ _LEAST = 1e-4
 _STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
-def with_text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The `keep` columns and the statistics of `text`; whole texts, one pass."""
+@F.pandas_udf(_STATS)
+def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        yield pd.DataFrame([text_stats(x) for x in batch], columns=[x.split()[0] for x in _STATS.split(", ")])
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-        for frame in frames:
-            stats = pd.DataFrame([text_stats(x) for x in frame["_text"]], columns=names, index=frame.index)
-            yield pd.concat([frame.drop(columns="_text"), stats], axis=1)
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInPandas(measure, f"{fields}, {_STATS}")
+def with_text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The `keep` columns and the statistics of `text`; whole texts, one pass, only texts go to Python."""
+    measured = _measured(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(*keep, measured.alias("_stats")).select(*keep, "_stats.*")
 
 
 def _ratio(metric: str) -> F.Column:
@@ -107,11 +105,13 @@ def fences(sketched: DataFrame, min_rows: int) -> DataFrame:
     return keys.groupBy("lang", "source").agg(*[one(m, c).alias(f"{m}_{c}") for m in METRICS for c in ("lower", "upper")])
 
 
-def judge(stats: DataFrame, min_rows: int = 100) -> DataFrame:
-    """Add base_failed, the failed rules and kept to rows of with_text_stats (lang, source and more)."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
-    limits = fences(sketch(stats), min_rows).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+def base_failed() -> F.Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def verdict(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    """Add failed_rules and kept to rows that carry lang, source, the statistics and base_failed."""
+    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     joined = stats.join(limits, on, "left")
     rules = []
@@ -126,5 +126,24 @@ def judge(stats: DataFrame, min_rows: int = 100) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame, min_rows: int = 100) -> DataFrame:
     """doc_id, lang, source, the statistics, base_failed, failed_rules, kept: one row per input row."""
-    stats = stage(with_text_stats(docs, ["doc_id", "lang", "source"]), "quality-stats")
-    return judge(stats, min_rows)
+    stats = with_text_stats(docs, ["doc_id", "lang", "source"]).withColumn("base_failed", base_failed())
+    stats = stage(stats, "quality-stats")
+    return verdict(stats, fences(sketch(stats), min_rows))
+
+
+def keep_clean(docs: DataFrame, min_rows: int = 100) -> DataFrame:
+    """The rows of docs that are kept, with all their columns and in one row each.
+
+    Thresholds need a first pass; the verdict of a row depends on its own statistics and its
+    group's fences alone, so the fences (one row per group) are joined to a second
+    pass over the texts, and neither texts nor ids are shuffled.
+    """
+    names = [f.name for f in docs.schema]
+    own = ["base_failed", "failed_rules", "kept", *[x.split()[0] for x in _STATS.split(", ")]]
+    plain = docs.toDF(*[f"_c{i}" if n.lower() in own else n for i, n in enumerate(names)])
+    stats = with_text_stats(plain, ["lang", "source"])
+    stats = stage(stats.withColumn("base_failed", base_failed()), "quality-stats")
+    limits = stage(fences(sketch(stats), min_rows), "quality-fences")
+    measured = with_text_stats(plain, plain.columns)
+    kept = verdict(measured.withColumn("base_failed", base_failed()), limits).where("kept")
+    return kept.select(*plain.columns).toDF(*names)

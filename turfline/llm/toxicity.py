@@ -228,3 +228,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels, ~F.coalesce(in_fold(F.col("doc_id")), F.lit(False)))
     scored = score_texts(docs, model, ["doc_id"])
     return scored.select("doc_id", F.coalesce(in_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score under the threshold, with all their columns; no shuffle of texts."""
+    model = fit(docs, labels, ~F.coalesce(in_fold(F.col("doc_id")), F.lit(False)))
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" if n.lower() == "score" else n for i, n in enumerate(names)])
+    return score_texts(plain, model, plain.columns).where(F.col("score") < threshold).select(*plain.columns).toDF(*names)
