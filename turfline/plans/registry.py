@@ -1,10 +1,6 @@
 """Every registered query of the library, by name, with its SQL twin."""
 
-from __future__ import annotations
+from . import documents, participation, quality, serving  # noqa: F401  (they register their queries)
+from .define import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
