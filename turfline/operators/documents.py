@@ -19,10 +19,11 @@ def stopword_scores(docs: DataFrame, text: str = "text", sample: int = 3000) ->
     """Adds n_words and score_<lang> over the first `sample` characters."""
     words = F.regexp_extract_all(F.substring(F.lower(text), 1, sample), F.lit(r"([\p{L}]+)"), 1)
     docs = docs.withColumn("_words", words).withColumn("n_words", F.size("_words"))
-    for lang, stop in STOPWORDS.items():
-        known = F.array(*[F.lit(w) for w in stop])
-        docs = docs.withColumn(f"score_{lang}", F.size(F.filter("_words", lambda w, known=known: F.array_contains(known, w))))
-    return docs.drop("_words")
+
+    def hits(stop: list[str]) -> Column:
+        return F.size(F.filter("_words", lambda w: w.isin(*stop)))
+
+    return docs.withColumns({f"score_{lang}": hits(stop) for lang, stop in STOPWORDS.items()}).drop("_words")
 
 
 def detected_language(least_words: int = 15, least_hits: int = 5, lead: int = 2) -> Column:

@@ -12,9 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 
+def _micros(column: str) -> Column:
+    """Microseconds since 1970 of a time with or without zone, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz"))
+
+
 def rolling_trips(events: DataFrame, is_hit: Column, key: str, seconds: int, count: int) -> DataFrame:
     """Batch: hits with the number of hits in the seconds before and at them, and whether the breaker trips."""
-    hits = events.where(is_hit).withColumn("_us", F.unix_micros("ts"))
+    hits = events.where(is_hit).withColumn("_us", _micros("ts"))
     w = Window.partitionBy(key).orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
     return hits.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("trips", F.col("recent") >= count).drop("_us")
 
@@ -51,5 +56,5 @@ def stream_trips(hits: DataFrame, key: str, seconds: int, count: int) -> DataFra
         state.update((recent,))
         yield pd.DataFrame(out, columns=["key", "us"])
 
-    keyed = hits.select(F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("us"))
+    keyed = hits.select(F.col(key).cast("string").alias("key"), _micros("ts").alias("us"))
     return keyed.groupBy("key").applyInPandasWithState(step, "key string, us long", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
