@@ -138,7 +138,8 @@ def percent_score(x: Column) -> Column:
     """Text with "%" or comma decimals to 0..100, half-even; 0..1 counts as a share; no number is null."""
     value = F.replace(F.regexp_replace(strip(x), r"%+$", ""), F.lit(","), F.lit("."))
     value = strip(value).try_cast("double")
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.when(value.between(0, 1), value * 100).otherwise(value)).cast("int")))
+    whole = F.bround(F.when(value.between(0, 1), value * 100).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)))).cast("int")
+    return F.when(value.isNotNull(), whole)
 
 
 def bounded_int(x: Column, low: int, high: int) -> Column:
