@@ -204,7 +204,7 @@ def _prefixes(num: int, den: int):
         take = np.clip(sizes - -(-num * sizes // den) + 1 - unique, 0, held)
         starts = np.concatenate([[0], np.cumsum(held)])
         some = np.flatnonzero((take > 0) & first)
-        out = {"row": base + some, "n": sizes[some], "unique": unique[some], "prefix": [keys[starts[i] : starts[i] + take[i]].view(np.int64) for i in some]}
+        out = {"row": base + some, "n": sizes[some], "unique": unique[some], "prefix": pd.Series([keys[starts[i] : starts[i] + take[i]].view(np.int64) for i in some], dtype=object)}
         return pd.DataFrame(out, columns=["row", "n", "unique", "prefix"])
 
     return of_batch

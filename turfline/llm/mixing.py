@@ -28,6 +28,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..staging import stage
@@ -100,7 +101,7 @@ def allot(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFra
     return out.drop("_rank", "_words_before", "weight")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
     def cut(text: str, n: int) -> str:
         for i, word in enumerate(re.finditer(WORD_PATTERN, text), 1):

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..staging import stage
@@ -42,13 +43,13 @@ METRICS = {
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _GAMMA = 1.02 / 0.98
 _LEAST = 1e-4
-_STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+_STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
-@F.pandas_udf(_STATS)
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in _STATS]))
 def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
-        yield pd.DataFrame([text_stats(x) for x in batch], columns=[x.split()[0] for x in _STATS.split(", ")])
+        yield pd.DataFrame([text_stats(x) for x in batch], columns=_STATS)
 
 
 def with_text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -139,7 +140,7 @@ def keep_clean(docs: DataFrame, min_rows: int = 100) -> DataFrame:
     pass over the texts, and neither texts nor ids are shuffled.
     """
     names = [f.name for f in docs.schema]
-    own = ["base_failed", "failed_rules", "kept", *[x.split()[0] for x in _STATS.split(", ")]]
+    own = ["base_failed", "failed_rules", "kept", *_STATS]
     plain = docs.toDF(*[f"_c{i}" if n.lower() in own else n for i, n in enumerate(names)])
     stats = with_text_stats(plain, ["lang", "source"])
     stats = stage(stats.withColumn("base_failed", base_failed()), "quality-stats")
