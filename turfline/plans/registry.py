@@ -1,6 +1,6 @@
 """Every registered query of the library, by name, with its SQL twin."""
 
-from . import documents, participation, quality, serving  # noqa: F401  (they register their queries)
+from . import derived, documents, participation, quality, serving  # noqa: F401  (they register their queries)
 from .define import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
