@@ -33,8 +33,8 @@ TRUE_TEXTS = ("1", "true", "yes", "oui", "vrai", "y")
 
 def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     """The header of a text file; a BOM is dropped."""
-    head = spark.read.option("encoding", encoding).text(path).limit(1).collect()
-    return head[0][0].lstrip("﻿") if head else ""
+    head = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").csv(path).limit(1).collect()
+    return (head[0][0] or "").lstrip("\ufeff") if head else ""
 
 
 def sniff(line: str) -> str:
@@ -58,12 +58,24 @@ def strip_text(x: str) -> str:
     return x.strip().lower()
 
 
+def found_encoding(spark: SparkSession, path: str) -> str:
+    """The first encoding that leaves no character of the file undecoded, and none that is NUL."""
+    for encoding in ENCODINGS:
+        lines = spark.read.option("encoding", encoding).text(path)
+        if encoding == "UTF-8":  # text() keeps the bytes as they are
+            bad = ~F.is_valid_utf8("value") | F.contains("value", F.lit("\0"))
+            if lines.where(bad).isEmpty():
+                return encoding
+        elif not spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").csv(path).where(F.contains("_c0", F.lit("\0"))).isEmpty():
+            continue
+        else:
+            return encoding
+    return ENCODINGS[0]
+
+
 def read_history_file(spark: SparkSession, path: str, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
     """A history file in any of the known encodings, delimiters and header spellings; absent columns are null."""
-    for encoding in ENCODINGS:
-        line = first_line(spark, path, encoding)
-        if line and "�" not in line and (resolve(line.split(sniff(line)), aliases)):
-            break
+    encoding = found_encoding(spark, path)
     rows = read_csv(spark, path, encoding)
     known = resolve(rows.columns, aliases)
     columns = [F.col(f"`{known[n]}`").alias(n) if n in known else F.lit(None).cast("string").alias(n) for n in aliases]
