@@ -114,6 +114,8 @@ def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
             *(group == g for g in range(len(_TAG_GROUPS))),
             flags,
             before,
+            flags[:, : len(_KINDS)].max(axis=1),
+            before[:, : len(_KINDS)].max(axis=1),
             *(group[parent] == g for g in (2, 4, 5, 7, 8, 9, 10, 11, 12)),
             np.log1p(total[:, 0]),
             np.log1p(own[:, 0]),

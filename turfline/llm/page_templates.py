@@ -118,7 +118,8 @@ class _Maker:
 
             head = (lambda: self.el(r.choice(["h2", "h3"]), False, self.words(1, 4))) if item != "li" else (lambda: "")
             return self.el(tag, False, lambda: head() + "".join(one() for _ in range(r.randint(1, 6))), self.named(NOISE_NAMES[kind], 1))
-        return self.el("div", False, lambda: r.choice([self.links, lambda: " ".join(self.link() for _ in range(r.randint(1, 5)))])(), self.named(NOISE_NAMES["share"], 1))
+        inner = [self.links, lambda: " ".join(self.link() for _ in range(r.randint(1, 5))), lambda: self.words(1, 4) + ": " + self.link()]
+        return self.el("div", False, lambda: r.choice(inner)(), self.named(NOISE_NAMES["share"], 1))
 
     def main_parts(self) -> str:
         r = self.r
@@ -158,6 +159,8 @@ class _Maker:
 
         def core() -> str:
             x = r.random()
+            if x < 0.1:  # no container at all
+                return self.main_parts()
             if x < 0.5:
                 return self.el("article", True, self.main_parts, self.named(CONTENT_NAMES, 0.4))
             if x < 0.6:
