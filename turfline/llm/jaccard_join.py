@@ -44,7 +44,7 @@ from .graph import components
 from .shingles import shingle_set
 
 #: Documents and shingles of a batch; documents must fit 16 bits.
-BATCH_DOCS, BATCH_SHINGLES = 8192, 3_000_000
+BATCH_DOCS, BATCH_SHINGLES = 8192, 1_000_000
 #: Shingles of a bucket, roughly, at this many a document.
 BUCKET_SHINGLES, TYPICAL = 1_500_000, 500
 #: From this many documents of a batch, a shingle is sent as a count.

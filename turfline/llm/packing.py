@@ -42,7 +42,7 @@ WINDOW = 2048
 CLOSING_ID = 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Remembered words per worker process; bounds memory, never changes an id.
-WORD_LIMIT = 400_000
+WORD_LIMIT = 200_000
 _LOOSE_SPACE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
 

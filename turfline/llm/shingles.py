@@ -14,7 +14,7 @@ class _WordHashes(dict):
     """word -> 64-bit hash, computed when first met; bounded memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

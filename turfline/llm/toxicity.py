@@ -53,7 +53,7 @@ IDENTITY_GROUPS = (
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 #: Remembered words per worker process; bounds memory, never changes a score.
-WORD_LIMIT = 300_000
+WORD_LIMIT = 100_000
 
 
 def word_features(word: str) -> list[str]:
