@@ -17,7 +17,7 @@
    against two hubs per shingle, and members against the first of their group. Verified
    links make components. Then, for shingles that still hold several components,
    all remaining pairs between different components are expanded to members, filtered
-   by the number of common prefix shingles, and verified. So no link between
+   by size and by the places of the shared shingle, and verified. So no link between
    components is lost, and pairs inside a component are never enumerated.
 6. Verification compares whole 64-bit sets, computed again for candidates only.
 
@@ -210,9 +210,15 @@ def _prefixes(num: int, den: int):
     return of_batch
 
 
-def _fits(num: int, den: int, a: str = "n", b: str = "m") -> F.Column:
-    """Sizes whose smaller is at least t of the larger."""
-    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
+def _can_meet(num: int, den: int) -> F.Column:
+    """Whether sets of n and m shingles that share the one at places `at` and `bt` may reach the threshold.
+
+    Two sets that do share at least (n + m) t / (1 + t) shingles, so the first of them, in
+    the common order, has that many places at and behind it in both. Sizes must fit too.
+    """
+    need = num * (F.col("n") + F.col("m"))
+    room = ((F.col("n") - F.col("at")) * (num + den) >= need) & ((F.col("m") - F.col("bt")) * (num + den) >= need)
+    return room & (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -297,35 +303,37 @@ def _links(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, num: int, den:
     groups = grouped.groupBy("n", "whole", "key").agg(F.min("row").alias("group"))
     members = stage(grouped.join(groups, ["n", "whole", "key"]).select("row", "group", "n", "unique", "prefix"), "jaccard-members")
     sets = stage(_whole_sets(docs, members.select("row").join(rows.select("row", "doc_id", "mark"), "row")).dropDuplicates(["row"]), "jaccard-sets")
-    index = members.select("row", "group", "n", "unique", F.size("prefix").alias("m_prefix"), F.explode("prefix").alias("token"))
-    heads = index.where("row = group").select("row", "n", "token")
+    index = members.select("row", "group", "n", "unique", F.posexplode("prefix").alias("pos", "token"))
+    index = index.select("row", "group", "n", "token", (F.col("unique") + F.col("pos")).alias("at"))
+    heads = index.where("row = group").select("row", "n", "at", "token")
     by_token = Window.partitionBy("token")
-    hubs = heads.withColumn("lo", F.min(F.struct("n", "row")).over(by_token)).withColumn("hi", F.max(F.struct("n", "row")).over(by_token))
-    pairs = hubs.where("lo.row <> hi.row").select("row", "n", F.explode(F.array("lo", "hi")).alias("hub"))
-    pairs = pairs.select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b"), "n", F.col("hub.n").alias("m"))
-    pairs = pairs.where((F.col("a") < F.col("b")) & _fits(num, den)).select("a", "b")
+    # Hubs of a shingle: the set that holds it earliest, having the fewest rare ones and so most in common, and the smallest set.
+    place = F.struct("n", "row", "at")
+    hubs = heads.withColumn("near", F.min_by(place, F.struct("at", "row")).over(by_token)).withColumn("small", F.min(place).over(by_token))
+    pairs = hubs.select("row", "n", "at", F.explode(F.array("near", "small")).alias("hub")).where("row <> hub.row")
+    pairs = pairs.select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b"), "n", "at", F.col("hub.n").alias("m"), F.col("hub.at").alias("bt"))
+    pairs = pairs.where(_can_meet(num, den)).select("a", "b")
     inside = members.where("row <> group").select(F.col("group").alias("a"), F.col("row").alias("b"))
     tried = stage(pairs.union(inside).distinct(), "jaccard-pairs")
     links = _verified(tried, sets, num, den, "jaccard-links")
-    # A second star round over what is still apart, with hubs drawn by hash.
+    # More star rounds over what is still apart: the earliest holder in a drawn quarter of the sets.
     index = stage(_labelled(index, links), "jaccard-index")
-    apart = _apart(index)
-    drawn = apart.withColumn("hub", F.min(F.struct(F.xxhash64("row", F.lit(2)), "row", "n", "component")).over(by_token))
-    more = drawn.where("hub.component <> component").select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b"), "n", F.col("hub.n").alias("m"))
-    more = more.where(_fits(num, den)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = stage(more, "jaccard-pairs")
-    links = links.union(_verified(more, sets, num, den, "jaccard-links"))
-    tried = tried.union(more)
+    for draw in (2, 3):
+        apart = _apart(index)
+        first = F.struct(F.pmod(F.xxhash64("row", F.lit(draw)), F.lit(4)), "at", "row")
+        drawn = apart.withColumn("hub", F.min_by(F.struct("row", "n", "at", "component"), first).over(by_token))
+        more = drawn.where("hub.component <> component")
+        more = more.select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b"), "n", "at", F.col("hub.n").alias("m"), F.col("hub.at").alias("bt"))
+        more = stage(more.where(_can_meet(num, den)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        links = links.union(_verified(more, sets, num, den, "jaccard-links"))
+        tried = tried.union(more)
+        index = stage(_labelled(index.drop("component"), links), "jaccard-index")
     # Everything that remains between components.
-    index = stage(_labelled(index.drop("component"), links), "jaccard-index")
     apart = stage(_apart(index), "jaccard-apart")
-    left = apart.select("token", F.col("row").alias("a"), "n", (F.col("unique") + F.col("m_prefix")).alias("p"), F.col("component").alias("ca"))
-    right = apart.select("token", F.col("row").alias("b"), F.col("n").alias("m"), (F.col("unique") + F.col("m_prefix")).alias("q"), F.col("component").alias("cb"))
-    rest = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(num, den))
-    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("p").alias("p"), F.first("q").alias("q"))
-    # Overlap is at most the common prefix shingles and what lies behind a prefix.
-    most = F.col("common") + F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
-    rest = rest.where(most * (num + den) >= num * (F.col("n") + F.col("m"))).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    left = apart.select("token", F.col("row").alias("a"), "n", "at", F.col("component").alias("ca"))
+    right = apart.select("token", F.col("row").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("component").alias("cb"))
+    rest = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _can_meet(num, den))
+    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     return links.union(_verified(stage(rest, "jaccard-pairs"), sets, num, den, "jaccard-links"))
 
 
