@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turfline.functions import html_rows
 from turfline.functions import text as t
-from turfline.operators import explore, features, learning, profiles, relational
+from turfline.operators import documents, explore, features, learning, profiles, relational
 from turfline.sources import state, tabular
 from turfline.streaming import breaker
 
@@ -131,6 +131,15 @@ def test_models_learn_and_report(spark):
     assert learning.roc_points(learning.score(model, rows), 20).count() <= 21
 
 
+def test_language_is_told_from_the_whole_text(spark):
+    junk = "0123456789 " * 400
+    rows = [(1, junk + "the cat and the dog " * 20, "en"), (2, "der und das " * 20 + junk, "de"), (3, "el y que " * 40 + "x " * 2000 + "the and of " * 200, "en"), (4, junk, ""), (5, None, "")]
+    df = spark.createDataFrame(rows, "id long, text string, want string")
+    tell = lambda d: {r.id: r.language for r in d.select("id", documents.detected_language().alias("language")).collect()}
+    assert tell(documents.stopword_scores(df)) == {i: want for i, _, want in rows}
+    assert tell(documents.stopword_scores(df, sample=3000))[1] == ""
+
+
 def test_html_rows(spark):
     html_rows.register(spark)
     page = "<table><tr><th>Clt</th><th>Nom</th></tr><tr><td>1<sup>er</sup></td><td>A &amp; B</td><td>x</td></tr></table><form><input name=q value=1><select name=s><option value=a>A</select></form><img data-src=i.png srcset='a.png 1x, b.png 2x'><span class='label'><strong>Robe :</strong> Bai</span>"

@@ -15,9 +15,10 @@ STOPWORDS = {
 }
 
 
-def stopword_scores(docs: DataFrame, text: str = "text", sample: int = 3000) -> DataFrame:
-    """Adds n_words and score_<lang> over the first `sample` characters."""
-    words = F.regexp_extract_all(F.substring(F.lower(text), 1, sample), F.lit(r"([\p{L}]+)"), 1)
+def stopword_scores(docs: DataFrame, text: str = "text", sample: int | None = None) -> DataFrame:
+    """Adds n_words and score_<lang> over the whole text, or over its first `sample` characters as the reference does."""
+    read = F.lower(text) if sample is None else F.substring(F.lower(text), 1, sample)
+    words = F.regexp_extract_all(read, F.lit(r"([\p{L}]+)"), 1)
     docs = docs.withColumn("_words", words).withColumn("n_words", F.size("_words"))
 
     def hits(stop: list[str]) -> Column:
