@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turfline.llm import chat_format, graph, html_extract, jaccard_join, mips, mixing, sharding
 from turfline.llm.dom import parse
-from turfline.llm.page_templates import labelled_page
+from turfline.llm.page_templates import labelled_page, loose_page
 from turfline.llm.shingles import shingle_set
 
 from .conftest import awkward_rows
@@ -207,6 +207,34 @@ def test_extraction_on_unseen_templates():
     assert exact >= 186
 
 
+def test_extraction_of_text_right_in_the_body():
+    model = html_extract.fit_extractor()
+    text = "An article written right into the body, as old pages do, with commas and full stops. It goes on for some sentences."
+    lines = f"{text}<br><br>{text}<br>"
+    both = f"{text} {text}"
+    nav, ad, foot = "<nav><a href=/>Home</a> <a href=/b>News</a></nav>", "<div class=ad>Buy this now</div>", "<footer>&copy; us all</footer>"
+    pages = {
+        f"<html><body>{nav}{lines}</body></html>": both,
+        f"<body>{lines}{ad}{lines}</body>": f"{both}\n{both}",
+        f"<body><h1>A title of it</h1>{lines}<p>{text}</p>{lines}{foot}": f"A title of it\n{both}\n{text}\n{both}",
+        f"<body>{nav}<article><h1>A title of it</h1><p>{text}</p></article><a href=/c>Contact</a> | <a href=/i>About us</a></body>": f"A title of it\n{text}",
+        lines: both,
+    }
+    assert html_extract.extract_pages([parse(p) for p in pages], model) == list(pages.values())
+
+
+def test_extraction_of_unseen_pages_with_loose_text():
+    model = html_extract.fit_extractor()
+    hit = found = wanted = 0
+    for seed in range(200):
+        html, kept = loose_page(77_000_000 + seed)
+        page = parse(html)
+        assert len(page.tags) == len(kept)
+        got, want = Counter(html_extract.extract_pages([page], model)[0].split()), Counter(w for n, t in page.runs if kept[n] for w in t.split())
+        hit, found, wanted = hit + (got & want).total(), found + got.total(), wanted + want.total()
+    assert hit >= 0.97 * found and hit >= 0.97 * wanted
+
+
 def test_decoding_never_contradicts_itself():
     rng = random.Random(2)
     for _ in range(300):

@@ -2,7 +2,8 @@
 
 Only block elements become nodes; inline elements pass their text to the block around
 them. A node's text between two child blocks is a run, and runs are the blocks of
-the extracted text. Elements that never show text (scripts, styles, the head, form
+the extracted text. A run right under the root gets a node of its own, so that it is
+judged like a block. Elements that never show text (scripts, styles, the head, form
 controls) are skipped whole.
 """
 
@@ -19,6 +20,8 @@ BLOCKS = frozenset(
 )
 SKIPPED = frozenset("head script style noscript template svg math iframe object canvas audio video select textarea button title datalist".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
+#: The tag of a run's own node right under the root.
+TEXT = "#text"
 CLOSES = {
     "li": {"li"},
     "dt": {"dt", "dd"},
@@ -39,7 +42,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|style|hidden|ar
 
 @dataclass
 class Page:
-    """Node i's parent comes before it; node 0 is the root."""
+    """Node i's parent comes before it; node 0 is the root, which has no runs itself."""
 
     tags: list[str] = field(default_factory=lambda: ["body"])
     attributes: list[str] = field(default_factory=lambda: [""])
@@ -56,12 +59,21 @@ def parse(html: str | None) -> Page:
     text: list[str] = []
     in_link, link_chars = 0, 0
 
+    def add(tag: str, attributes: str) -> int:
+        page.tags.append(tag)
+        page.attributes.append(attributes)
+        page.parents.append(stack[-1])
+        page.links.append(0)
+        page.inputs.append(0)
+        return len(page.tags) - 1
+
     def flush() -> None:
         nonlocal link_chars
         if text:
             if run := " ".join("".join(text).split()):
-                page.runs.append((stack[-1], run))
-                page.links[stack[-1]] += link_chars
+                node = stack[-1] or add(TEXT, "")
+                page.runs.append((node, run))
+                page.links[node] += link_chars
             text.clear()
         link_chars = 0
 
@@ -125,12 +137,7 @@ def parse(html: str | None) -> Page:
                         break
                 elif tag in SCOPES:
                     break
-            page.tags.append(name)
-            page.attributes.append(_tokens(rest))
-            page.parents.append(stack[-1])
-            page.links.append(0)
-            page.inputs.append(0)
-            stack.append(len(page.tags) - 1)
+            stack.append(add(name, _tokens(rest)))
     flush()
     return page
 

@@ -1,6 +1,6 @@
 """Main text of HTML pages by boosted trees over DOM nodes and hierarchical decoding.
 
-Every block element is a node with features of its tag, attribute words, subtree
+Every block element, and every run of text right under the root, is a node with features of its tag, attribute words, subtree
 (text, link density, punctuation, paragraphs), depth, place and siblings. Boosted trees
 give the probability that its subtree holds main text. Decoding then picks the most
 likely consistent labelling of the tree: below a dropped node everything is
@@ -8,8 +8,8 @@ dropped, and a kept node without text of its own has a kept child, so ancestors
 descendants never contradict each other. The kept nodes' runs of text, in page
 order, are the result.
 
-The trees are fitted on invented pages with known main text (page_templates), in a
-second on the driver; the pages are a parameter and no page of the input is needed.
+The trees are fitted on invented pages with known main text (page_templates), once on
+the driver; the pages are a parameter and no page of the input is needed.
 
 Scale: one pass over the pages without a shuffle; the model is a few kilobytes.
 
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .dom import Page, parse
-from .page_templates import CONTENT_NAMES, NOISE_NAMES, ROLES, labelled_page
+from .dom import TEXT, Page, parse
+from .page_templates import CONTENT_NAMES, NOISE_NAMES, ROLES, labelled_page, loose_page
 
-_TAG_GROUPS = ("p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "article", "main", "section", "div center", "nav menu", "header hgroup", "footer address", "aside", "form fieldset search dialog", "table thead tbody tfoot tr td th", "blockquote pre figure")
+_TAG_GROUPS = ("p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "article", "main", "section", "div center", "nav menu", "header hgroup", "footer address", "aside", "form fieldset search dialog", "table thead tbody tfoot tr td th", "blockquote pre figure", TEXT)
 _PLAIN = {"box", "inner", "wide", "col", "main", "site", "page", "top", "bottom", "right", "column", "area", "list", "section", "body", "text", "user", "side", "bar", "most", "read", "slot", "links", "link", "buttons", "popup", "message", "credits", "contact", "reader"}
 _NOISE_WORDS = {k: {w for n in names for w in n.split("-")} - _PLAIN | ({ROLES[k]} if k in ROLES else set()) for k, names in NOISE_NAMES.items()}
 _NOISE_WORDS["comments"] |= {"comment", "reply", "response"}
@@ -144,7 +144,7 @@ def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode(parents: list[int], own_text: np.ndarray, margin: np.ndarray) -> np.ndarray:
-    """The most likely labelling that agrees along every path; the root is kept.
+    """The most likely labelling that agrees along every path; the root is kept, its children decide.
 
     A node is worth its margin if kept and 0 if dropped (log-odds); a kept node without
     own text needs a kept child, a dropped one has none.
@@ -178,8 +178,8 @@ def decode(parents: list[int], own_text: np.ndarray, margin: np.ndarray) -> np.n
 
 @lru_cache(maxsize=4)
 def fit_extractor(pages: int = 800, seed: int = 2) -> boosting.Boosted:
-    """Boosted trees fitted on that many invented pages; the same arguments give the same trees."""
-    made = [labelled_page(seed * 1_000_003 + i) for i in range(pages)]
+    """Boosted trees fitted on that many invented pages and half as many with text right in the body; the same arguments give the same trees."""
+    made = [labelled_page(seed * 1_000_003 + i) for i in range(pages)] + [loose_page(seed * 1_000_003 + i) for i in range(pages // 2)]
     parsed = [parse(html) for html, _ in made]
     for p, (_, kept) in zip(parsed, made, strict=True):
         if len(p.tags) != len(kept):
@@ -196,9 +196,7 @@ def extract_pages(pages: list[Page], model: boosting.Boosted) -> list[str]:
         own = np.zeros(e - s, bool)
         own[[node for node, _ in p.runs]] = True
         keep = decode(p.parents, own, margin[s:e])
-        # Text right under the root is main text only if the root itself would be a block of it.
-        bare = len(p.tags) == 1
-        out.append("\n".join(text for node, text in p.runs if keep[node] and (node or bare)))
+        out.append("\n".join(text for node, text in p.runs if keep[node]))
     return out
 
 

@@ -148,6 +148,19 @@ class _Maker:
             return self.el("header", True, out[0]) + "".join(f() for f in out[1:]) if len(out) > 1 and r.random() < 0.5 else self.el("div", True, lambda: "".join(f() for f in out))
         return "".join(f() for f in out)
 
+    def core(self) -> str:
+        r = self.r
+        x = r.random()
+        if x < 0.1:  # no container at all
+            return self.main_parts()
+        if x < 0.5:
+            return self.el("article", True, self.main_parts, self.named(CONTENT_NAMES, 0.4))
+        if x < 0.6:
+            return self.el("main", True, self.main_parts, self.named(CONTENT_NAMES, 0.3))
+        if x < 0.92:
+            return self.el(r.choice(["div", "div", "section"]), True, self.main_parts, self.named(CONTENT_NAMES, 0.9))
+        return self.el("td", True, self.main_parts) if r.random() < 0.2 else self.el("div", True, self.main_parts)
+
     def page(self) -> str:
         r = self.r
         self.kept.append(True)  # the root
@@ -157,27 +170,79 @@ class _Maker:
         if r.random() < 0.3 and end:
             top.append(end.pop(0))
 
-        def core() -> str:
-            x = r.random()
-            if x < 0.1:  # no container at all
-                return self.main_parts()
-            if x < 0.5:
-                return self.el("article", True, self.main_parts, self.named(CONTENT_NAMES, 0.4))
-            if x < 0.6:
-                return self.el("main", True, self.main_parts, self.named(CONTENT_NAMES, 0.3))
-            if x < 0.92:
-                return self.el(r.choice(["div", "div", "section"]), True, self.main_parts, self.named(CONTENT_NAMES, 0.9))
-            return self.el("td", True, self.main_parts) if r.random() < 0.2 else self.el("div", True, self.main_parts)
-
-        wrapped = lambda: core()
+        wrapped = self.core
         for _ in range(r.choice([0, 0, 1, 1, 2])):
             wrapped = lambda f=wrapped: self.el(r.choice(["div", "main", "section"]), True, f, r.choice(["", ' class="wrapper"', ' class="container"', ' id="page"', ' class="row"']))
         if r.random() < 0.25:
             return "".join(map(self.noise, top)) + self.el("div", True, lambda: wrapped() + "".join(map(self.noise, end[:2])), r.choice(["", ' class="layout"', ' id="container"'])) + "".join(map(self.noise, end[2:]))
         return "".join(map(self.noise, top)) + wrapped() + "".join(map(self.noise, end))
 
+    def run(self, kept: bool, brief: bool = False) -> str:
+        """Text right in the body: lines of an article, or links, copyright and labels."""
+        r = self.r
+        self.kept.append(kept)
+        if kept:
+            lines = []
+            for _ in range(1 if brief else r.choice([1, 1, 2, 3, 5, 8])):
+                lines.append(self.words(2, 12) if brief else self.words(6, 90))
+                if r.random() < 0.15:
+                    lines[-1] += " " + self.link() + " " + self.words(1, 10)
+            return r.choice(["<br>", "<br><br>", "<br/>\n"]).join(lines)
+        x = r.random()
+        if x < 0.5:
+            return r.choice([" | ", " ", " - ", "<br>"]).join(self.link() for _ in range(r.randint(1, 9)))
+        if x < 0.7:
+            return "&copy; " + self.words(1, 15)
+        return self.words(1, 6) + (": " + self.link() if x < 0.85 else "")
+
+    def loose_parts(self) -> list[tuple[bool, object]]:
+        """An article written into the body: whether a part is a run, and the part."""
+        r = self.r
+        brief = r.random() < 0.15
+        out = [(False, lambda: self.el(r.choice(["h1", "h1", "h2"]), True, self.words(2, 12)))] if r.random() < 0.6 else []
+        for _ in range(r.choice([1, 1, 2, 3, 5])):
+            out.append((True, lambda: self.run(True, brief)))
+            x = r.random()
+            if x < 0.2:
+                out += [(False, lambda: self.paragraph(True))] * r.choice([1, 1, 2, 4])
+            elif x < 0.4:
+                out.append((False, lambda: self.noise(r.choice(["ad", "share", "form", "sidebar", "notice", "nav"]))))
+            elif x < 0.5:
+                out.append((False, lambda: self.el(r.choice(["h2", "h3"]), True, self.words(1, 8))))
+            elif x < 0.6:
+                out.append((False, lambda: self.el("ul", True, lambda: "".join(self.el("li", True, self.words(2, 25)) for _ in range(r.randint(2, 5))))))
+            elif x < 0.65:
+                out.append((False, lambda: self.el(r.choice(["blockquote", "pre"]), True, self.words(5, 40))))
+        return out
+
+    def loose(self) -> str:
+        """A page with text right in its body: the article, or what stands around one."""
+        r = self.r
+        self.kept.append(True)  # the root
+        if r.random() < 0.06:
+            return self.run(True, r.random() < 0.5)
+        top = [k for k in ("header", "nav", "ad", "notice", "form") if r.random() < 0.35]
+        end = [k for k in ("sidebar", "comments", "ad", "share", "notice", "form", "footer") if r.random() < 0.35]
+        r.shuffle(top)
+        parts = [(False, lambda k=k: self.noise(k)) for k in top]
+        parts += [(True, lambda: self.run(False))] if r.random() < 0.35 else []
+        parts += self.loose_parts() if r.random() < 0.65 else [(False, self.core)]
+        parts += [(True, lambda: self.run(False))] if r.random() < 0.35 else []
+        parts += [(False, lambda k=k: self.noise(k)) for k in end]
+        out, after_run = "", False
+        for is_run, make in parts:
+            out += ("<hr>" if after_run and is_run else "") + make()
+            after_run = is_run
+        return out
+
 
 def labelled_page(seed: int) -> tuple[str, list[bool]]:
     """A page and, for the root and every block element in page order, whether it holds main text."""
     maker = _Maker(seed)
     return maker.page(), maker.kept
+
+
+def loose_page(seed: int) -> tuple[str, list[bool]]:
+    """As labelled_page, with runs of text right in the body, each with its own label."""
+    maker = _Maker(seed)
+    return maker.loose(), maker.kept
