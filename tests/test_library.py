@@ -151,6 +151,26 @@ def test_html_rows(spark):
     assert html_rows.fingerprint("<body><p class=a>1</p></body>") == html_rows.fingerprint("<body><p class=a>other</p></body>") != html_rows.fingerprint("<body><p>1</p></body>")
 
 
+def test_row_generators_and_languages_of_all_pages(spark, tmp_path):
+    from turfline.plans import registry
+
+    prose = "<p>" + "the cat is in the house and it is not on the table " * 4 + "</p>"
+    deep = "<div>" * 300 + "<u>deepest</u>" + "</div>" * 300
+    pages = [
+        (1, "<meta name='language' content='fr-FR'><table><tr><th>A</th></tr><tr><td>1</td></tr></table>" + prose, "fr-FR", "fr"),
+        (2, '<meta content="de_DE" property="og:locale"><form><input name=q></form><img data-src=i.png>', "de_DE", "de"),
+        (3, f"<html translate=no><script>le la les de des du et</script>{prose}{deep}", "", "en"),
+        (4, None, "", ""),
+    ]
+    spark.createDataFrame(pages, "page_id long, html string, d string, l string").drop("d", "l").withColumn("url", F.lit("u")).write.parquet(f"{tmp_path}/pages.parquet")
+    assert {tuple(r) for r in registry.QUERIES["page_language"](spark, str(tmp_path)).collect()} == {(i, d, lang) for i, _, d, lang in pages}
+    rows = {tuple(r) for r in registry.QUERIES["html_rows_of_pages"](spark, str(tmp_path)).collect()}
+    assert (1, "html_tables", '{"table":0,"row":0,"cells":"{\\"A\\": \\"1\\"}"}') in rows
+    assert (2, "html_forms", '{"form":0,"field":"input","type":"text","name":"q","value":""}') in rows
+    assert (2, "html_media", '{"kind":"img","src":"i.png"}') in rows
+    assert (3, "html_leaves", '{"column":"u","value":"deepest"}') in rows
+
+
 def test_stream_breaker_matches_batch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(i, "u", start + dt.timedelta(seconds=s)) for i, s in enumerate([0, 10, 29, 60, 61, 62, 200])]

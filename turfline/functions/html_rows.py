@@ -152,8 +152,7 @@ class HtmlLeaves:
             if at > depth:
                 continue
             inner = [c for c in node.children if c.tag not in ("script", "style", "br", "b", "i", "em", "strong", "sup")]
-            value = node.text()
-            if not inner and node.parent and value:
+            if not inner and node.parent and (value := node.text()):
                 strong = next((c.text() for c in node.children if c.tag == "strong"), "")
                 if ":" in strong and value.startswith(strong):
                     yield strong.rstrip(": "), value[len(strong) :].lstrip(":- ")
@@ -215,6 +214,16 @@ def dom_fingerprint() -> object:
     return digest
 
 
+def visible_text() -> object:
+    """A vectorised UDF from html to its whole text without scripts and styles."""
+
+    @F.pandas_udf("string")
+    def text(html: pd.Series) -> pd.Series:
+        return html.map(lambda x: tree(x).text() if x else "")
+
+    return text
+
+
 def absolute_url() -> object:
     """A vectorised UDF that resolves a link against its page."""
 

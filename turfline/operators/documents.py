@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import html_rows
+
 #: Function words by which a text's language is told; a parameter.
 STOPWORDS = {
     "fr": "le la les de des du et est une un que qui dans pour pas sur avec ce il elle au aux en par plus ou".split(),
@@ -36,15 +38,24 @@ def detected_language(least_words: int = 15, least_hits: int = 5, lead: int = 2)
 
 
 def page_language(html: str) -> Column:
-    """The html element's lang, else a content-language or og:locale meta; "" without."""
+    """The html element's lang, else a content-language, language or og:locale meta, attributes in any order; "" without."""
+    meta = r"""(?is)<meta(?=[^>]*\b%s\s*=\s*["']?%s["'\s/>])[^>]*\bcontent\s*=\s*["']?([a-zA-Z_-]+)"""
     forms = [
         r"""(?is)<html[^>]*\blang\s*=\s*["']?([a-zA-Z_-]+)""",
-        r"""(?is)<meta[^>]*http-equiv\s*=\s*["']?content-language["']?[^>]*content\s*=\s*["']?([a-zA-Z_-]+)""",
-        r"""(?is)<meta[^>]*property\s*=\s*["']?og:locale["']?[^>]*content\s*=\s*["']?([a-zA-Z_-]+)""",
+        meta % ("http-equiv", "content-language"),
+        meta % ("name", "language"),
+        meta % ("property", "og:locale"),
     ]
     return F.coalesce(*[F.nullif(F.regexp_extract(html, f, 1), F.lit("")) for f in forms], F.lit(""))
 
 
+def language_of_text(pages: DataFrame, where: Column, html: str = "html") -> DataFrame:
+    """Adds text_language, told by the stopwords of a page's whole text where `where` holds, else ""."""
+    read = pages.withColumn("_text", html_rows.visible_text()(F.when(where, F.col(html))))
+    scores = [f"score_{lang}" for lang in STOPWORDS]
+    return stopword_scores(read, "_text").withColumn("text_language", detected_language()).drop("_text", "n_words", *scores)
+
+
 def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, position, href, text of the anchors with a target other than "#"."""
     found = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)(<a\b[^>]*\bhref\s*=\s*"[^"]*"[^>]*>.*?</a>)"""), 1)

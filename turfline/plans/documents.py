@@ -37,9 +37,11 @@ def language_of_whole_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<html[^>]*\blang\s*=\s*["'']?([a-zA-Z_-]+)', 1), ''), '') AS declared, lower(regexp_extract(html, '(?is)<html[^>]*\blang\s*=\s*["'']?([a-zA-Z]+)', 1)) AS language FROM pages""")
 def page_language(spark: SparkSession, d: str) -> DataFrame:
-    """Declared language of a page, and its code."""
-    declared = docs.page_language("html")
-    return table(spark, d, "pages").select("page_id", declared.alias("declared"), t.language_code(declared, tuple(_LANGS), {"gb": "en", "us": "en"}).alias("language"))
+    """Declared language of a page, and its code; the code is told from the text where nothing is declared."""
+    pages = table(spark, d, "pages").select("page_id", "html", docs.page_language("html").alias("declared"))
+    code = t.language_code(F.col("declared"), tuple(_LANGS), {"gb": "en", "us": "en"})
+    told = docs.language_of_text(pages, F.col("declared") == "")
+    return told.select("page_id", "declared", F.when(F.col("declared") == "", F.col("text_language")).otherwise(code).alias("language"))
 
 
 @query(
