@@ -167,6 +167,16 @@ def test_sketch_quartiles_are_within_their_relative_error(spark):
         assert abs(got[name] / np.quantile(x, q) - 1) < 0.03
 
 
+def test_fences_of_repeats_follow_their_group(spark):
+    row = lambda i, source, dup, repeat: (i, "en", source, 100, 500, 0, 100, dup, repeat, False)
+    rows = [row(i, "clean", 0, i % 3) for i in range(200)] + [row(1000 + i, "poems", i % 40, i % 40) for i in range(200)]
+    rows += [row(2001, "clean", 0, 49), row(2002, "clean", 50, 0), row(2003, "poems", 0, 45), row(2004, "poems", 45, 0)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+    got = {r.doc_id: r.failed_rules for r in quality_rules.verdict(stats, quality_rules.fences(quality_rules.sketch(stats), 100)).collect()}
+    assert len(got) == len(rows)
+    assert {i: rules for i, rules in got.items() if rules} == {2001: ["repeat_share"], 2002: ["dup_line_share"]}
+
+
 def labelled(spark, n=400):
     rng = random.Random(8)
     docs, labels = [], []

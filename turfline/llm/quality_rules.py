@@ -10,7 +10,9 @@ A group with under `min_rows` documents takes the sketch of its language, merged
 from its sources; a language below that takes the sketch of everything.
 
 Fence: a ratio x fails above Q3 + max(slack, 3 * (Q3 - Q1)); the mean word length
-also below Q1 - max(slack, ...). The slacks keep groups without spread from
+also below Q1 - max(slack, ...). The shares of repeats are 0 in most documents, so that
+quartiles say nothing of them: these fail above Q99 + max(slack, 3 * (Q99 - median)),
+which in a clean group lies far below the base cutoff. The slacks keep groups without spread from
 rejecting ordinary documents. Documents that fail the base rules are outside the
 sketches, so that plain junk cannot move a fence.
 
@@ -37,9 +39,11 @@ from .text_stats import text_stats
 METRICS = {
     "word_length": ("word_chars", "n_words", 1.5, True),
     "symbol_share": ("n_symbols", "n_words", 0.1, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.5, False),
-    "repeat_share": ("n_repeat_words", "n_words", 0.5, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.1, False),
+    "repeat_share": ("n_repeat_words", "n_words", 0.1, False),
 }
+#: Metrics that are 0 in most documents: their fence comes from the upper tail.
+TAILED = ("dup_line_share", "repeat_share")
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _GAMMA = 1.02 / 0.98
 _LEAST = 1e-4
@@ -72,13 +76,13 @@ def sketch(stats: DataFrame) -> DataFrame:
 
 
 def quartiles(sketched: DataFrame, group: list[str]) -> DataFrame:
-    """Merge sketches to `group` and read the quartiles: group, metric, total, q1, q3."""
+    """Merge sketches to `group` and read the quantiles: group, metric, total, q1, q3, median, q99."""
     merged = sketched.groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*group, "metric")
     run = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket"))).withColumn("total", F.sum("n").over(part))
     value = F.when(F.col("bucket") == -1000, F.lit(0.0)).otherwise(2 * F.pow(F.lit(_GAMMA), F.col("bucket")) / (_GAMMA + 1))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, value))
-    return run.groupBy(*group, "metric").agg(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return run.groupBy(*group, "metric").agg(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"), at(0.5).alias("median"), at(0.99).alias("q99"))
 
 
 def fences(sketched: DataFrame, min_rows: int) -> DataFrame:
@@ -86,7 +90,7 @@ def fences(sketched: DataFrame, min_rows: int) -> DataFrame:
     keys = sketched.select("lang", "source", "metric").distinct()
     levels = []
     for name, group in (("s", ["lang", "source"]), ("l", ["lang"]), ("a", [])):
-        q = quartiles(sketched, group).select(*[F.col(c).alias(f"{name}_{c}") for c in group], F.col("metric").alias(f"{name}_metric"), F.struct("total", "q1", "q3").alias(name))
+        q = quartiles(sketched, group).select(*[F.col(c).alias(f"{name}_{c}") for c in group], F.col("metric").alias(f"{name}_metric"), F.struct("total", "q1", "q3", "median", "q99").alias(name))
         on = F.col("metric") == F.col(f"{name}_metric")
         for c in group:
             on = on & F.col(c).eqNullSafe(F.col(f"{name}_{c}"))
@@ -97,8 +101,9 @@ def fences(sketched: DataFrame, min_rows: int) -> DataFrame:
     keys = keys.select("lang", "source", "metric", pick.alias("q"))
     lower, upper = F.lit(None).cast("double"), F.lit(None).cast("double")
     for m, (_, _, slack, both) in METRICS.items():
-        width = F.greatest(F.lit(slack), 3 * (F.col("q.q3") - F.col("q.q1")))
-        upper = F.when(F.col("metric") == m, F.col("q.q3") + width).otherwise(upper)
+        high, low = ("q.q99", "q.median") if m in TAILED else ("q.q3", "q.q1")
+        width = F.greatest(F.lit(slack), 3 * (F.col(high) - F.col(low)))
+        upper = F.when(F.col("metric") == m, F.col(high) + width).otherwise(upper)
         if both:
             lower = F.when(F.col("metric") == m, F.col("q.q1") - width).otherwise(lower)
     keys = keys.select("lang", "source", "metric", lower.alias("lower"), upper.alias("upper"))
