@@ -7,9 +7,14 @@ re-read and never a recomputation of the steps before it.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Row groups of staged tables: a writer holds one in memory.
+ROW_GROUP_BYTES = 32 << 20
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
@@ -24,15 +29,39 @@ def shared_root(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
-    The files go when the session's file system closes (deleteOnExit).
+    The files go with unstage, at the latest when the session's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/turfline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of staged tables; nothing that is still to be computed may need them."""
+    for table in tables:
+        files, at = _folder(table.sparkSession, table.staged_path)
+        files.delete(at, True)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """At most `rows` rows in an Arrow batch: rows that hold texts or whole blocks must not meet by the thousand."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
