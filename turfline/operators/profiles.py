@@ -14,17 +14,17 @@ def totals(rows: DataFrame, key: list[str]) -> DataFrame:
 def cascade(history: DataFrame, requests: DataFrame, entity: str, min_rows: int = 3) -> DataFrame:
     """The narrowest scope with at least min_rows rows, else the broadest with one, marked low_data.
 
-    requests: entity, family, height, level. One scan of the history: each row is joined to
-    its entity's requests and counted into the scopes it belongs to, so a million
-    requests are one aggregation.
+    requests: entity, family, height, level. The history is summed by entity and combination
+    before it meets the requests, so a hot entity is as many rows as it has
+    combinations, and a million requests are one aggregation.
     """
-    h = history.select(entity, *[F.col(c).alias(f"h_{c}") for c in ("family", "height", "level")], "won", "rk")
+    cells = history.groupBy(entity, *[F.col(c).alias(f"h_{c}") for c in ("family", "height", "level")]).agg(F.count(F.lit(1)).alias("_n"), F.sum("won").alias("_w"))
     disc = F.col("h_family") == F.col("family")
     tall, lvl = F.col("h_height") == F.col("height"), F.col("h_level") == F.col("level")
     scopes = [("family_height_level", disc & tall & lvl), ("family_height", disc & tall), ("family_level", disc & lvl), ("family", disc), ("all", F.lit(True))]
-    joined = requests.join(h, entity)
-    counts = [F.count_if(c).alias(f"n{i}") for i, (_, c) in enumerate(scopes)]
-    wins = [F.coalesce(F.sum(F.when(c, F.col("won"))), F.lit(0)).alias(f"w{i}") for i, (_, c) in enumerate(scopes)]
+    joined = requests.join(cells, entity)
+    counts = [F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).alias(f"n{i}") for i, (_, c) in enumerate(scopes)]
+    wins = [F.coalesce(F.sum(F.when(c, F.col("_w"))), F.lit(0)).alias(f"w{i}") for i, (_, c) in enumerate(scopes)]
     agg = joined.groupBy(entity, "family", "height", "level").agg(*counts, *wins)
     enough = F.coalesce(*[F.when(F.col(f"n{i}") >= min_rows, F.lit(i)) for i in range(5)])
     broadest = F.coalesce(*[F.when(F.col(f"n{i}") >= 1, F.lit(i)) for i in range(4, -1, -1)])
@@ -75,6 +75,7 @@ def latest(rows: DataFrame, key: list[str], order: list[Column], n: int) -> Data
     return ranked_within(rows, key, order, "age").where(F.col("age") <= n)
 
 
+#: The sentences and tones below are outputs that must match.
 def form_sentence(pair_starts: Column, pair_wins: Column, recent_wins: Column, recent_starts: Column) -> Column:
     """A sentence on recent form: of the pair if it has a history, else of the horse."""
     rate = pair_wins / pair_starts
