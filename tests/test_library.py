@@ -125,7 +125,7 @@ def test_generator_repeats_itself(spark):
 def test_models_learn_and_report(spark):
     rows = spark.range(600).select((F.col("id") % 10).cast("double").alias("x"), F.rand(1).alias("y"), (F.col("id") % 10 >= 6).cast("int").alias("won"))
     for name in ("tree", "logistic"):
-        model = learning.fit(rows, ["x", "y"], name)
+        model = learning.fit(rows, ["x", "y"], name, rounds=20, trees=20)
         assert learning.evaluate(learning.score(model, rows)).auc > 0.95
         assert learning.importances(model, ["x", "y"])[0][0] == "x"
     assert learning.roc_points(learning.score(model, rows), 20).count() <= 21

@@ -162,17 +162,22 @@ class HtmlLeaves:
 
 
 class HtmlClasses:
-    """parent_class, instance, child_class: the raw material of repeated groups."""
+    """parent_class, instance, child_class: the classes inside every element that has at least two elements with classes in it."""
 
     def eval(self, html: str):
         count: dict[str, int] = {}
+        named = lambda n: [c for c in n.attrs.get("class", "").split() if len(c) > 1 and "[" not in c]
         for n in tree(html).walk():
-            own = n.attrs.get("class", "").split()
-            if own and n.children:
-                k = count[own[0]] = count.get(own[0], -1) + 1
-                for c in n.children:
-                    for name in c.attrs.get("class", "").split()[:1]:
-                        yield own[0], k, name
+            own = named(n)
+            inner = [x for x in n.walk() if x is not n and "class" in x.attrs] if own else []
+            if len(inner) < 2:
+                continue
+            inside = sorted({c for x in inner for c in named(x)})
+            for name in own:
+                k = count[name] = count.get(name, -1) + 1
+                for c in inside:
+                    if c != name:
+                        yield name, k, c
 
 
 _RETURNS = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import MISSING
+from .places import with_place
 
 
 def last_wins(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -40,9 +41,9 @@ def first_positions(rows: DataFrame, value: str, position: str) -> DataFrame:
 
 
 def surrogate_ids(rows: DataFrame, value: str, position: str, name: str) -> DataFrame:
-    """Ids from 1 in order of first appearance. One row per distinct value is ordered."""
+    """Ids from 1 in order of first appearance."""
     first = first_positions(rows, value, position)
-    return first.select(value, F.row_number().over(Window.orderBy("first_position", value)).alias(name))
+    return with_place(first, [F.col("first_position"), F.col(value)], name).select(value, F.col(name).cast("int").alias(name))
 
 
 def content_key(attributes: str, leave_out: list[str]) -> Column:

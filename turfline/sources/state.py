@@ -24,25 +24,34 @@ class VersionedTable:
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _exists(self, name: str) -> bool:
-        return self.fs.exists(self._path(f"{self.root}/{name}"))
+    def _manifests(self) -> list[str]:
+        """Names of the manifests, the newest last. A manifest is never written over, so a crash leaves the one before."""
+        if not self.fs.exists(self._path(self.root)):
+            return []
+        return sorted(n for f in self.fs.listStatus(self._path(self.root)) if re.fullmatch(r"manifest-\d{12}\.json", n := f.getPath().getName()))
 
-    def _write_text(self, name: str, text: str) -> None:
-        part, final = self._path(f"{self.root}/.{name}.{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
+    def _write_manifest(self, entries: list[dict]) -> None:
+        known = self._manifests()
+        number = int(known[-1][9:21]) + 1 if known else 1
+        part, final = self._path(f"{self.root}/.part-{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest-{number:012}.json")
         out = self.fs.create(part, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(json.dumps(entries).encode()))
         out.close()
-        self.fs.delete(final, False)
-        self.fs.rename(part, final)
+        if not self.fs.rename(part, final):
+            self.fs.delete(part, False)
+            raise RuntimeError(f"another writer made {final.getName()}")
+        for name in known[:-1]:
+            self.fs.delete(self._path(f"{self.root}/{name}"), False)
 
     def _read_text(self, name: str) -> str:
         return "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}").collect())
 
     def versions(self) -> list[dict]:
         """Manifest entries, the default first, then the newest."""
-        if not self._exists("manifest.json"):
+        known = self._manifests()
+        if not known:
             return []
-        return sorted(json.loads(self._read_text("manifest.json")), key=lambda v: (not v["default"], -v["number"]))
+        return sorted(json.loads(self._read_text(known[-1])), key=lambda v: (not v["default"], -v["number"]))
 
     def current(self) -> dict | None:
         return next((v for v in self.versions() if v["active"]), None)
@@ -59,21 +68,21 @@ class VersionedTable:
         name = f"{safe_name(label) or 'v'}-{uuid.uuid4().hex[:12]}"
         rows.write.parquet(f"{self.root}/{name}")
         entry = {"id": name, "label": label, "number": max([0, *(v["number"] for v in known)]) + 1, "default": default or not known, "active": True}
-        self._write_text("manifest.json", json.dumps([v | {"active": False, "default": v["default"] and not default} for v in known] + [entry]))
+        self._write_manifest([v | {"active": False, "default": v["default"] and not default} for v in known] + [entry])
         return name
 
     def activate(self, version: str) -> None:
         known = self.versions()
         if version not in {v["id"] for v in known}:
             raise LookupError(version)
-        self._write_text("manifest.json", json.dumps([v | {"active": v["id"] == version} for v in known]))
+        self._write_manifest([v | {"active": v["id"] == version} for v in known])
 
     def delete(self, version: str) -> None:
         known = self.versions()
         gone = next(v for v in known if v["id"] == version)
         if gone["default"] or gone["active"]:
             raise ValueError("the default and the current version stay")
-        self._write_text("manifest.json", json.dumps([v for v in known if v["id"] != version]))
+        self._write_manifest([v for v in known if v["id"] != version])
         self.fs.delete(self._path(f"{self.root}/{version}"), True)
 
 
@@ -85,4 +94,6 @@ def safe_name(x: str, length: int = 60) -> str:
 def upsert(table: VersionedTable, rows: DataFrame, key: list[str], time: str, cap: int = 5000) -> str:
     """Append with replacement by key, the newest rows up to the cap."""
     whole = table.read().unionByName(rows, allowMissingColumns=True) if table.current() else rows
-    return table.write(newest(whole, key, [F.desc(time)]).orderBy(F.desc(time)).limit(cap), "history")
+    # Of equal times the order of all other columns decides, so reruns agree.
+    order = [F.desc(time), *[F.desc_nulls_last(c) for c in sorted(whole.columns) if c != time]]
+    return table.write(newest(whole, key, order).orderBy(*order).limit(cap), "history")
