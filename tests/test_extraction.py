@@ -105,3 +105,12 @@ def test_places_in_one_order_and_in_groups(spark):
         mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))
         assert all(inside[r[2]] == (i, len(mine)) for i, r in enumerate(mine, 1))
     assert places.with_place(df.limit(0), [F.col("x")], "place").count() == 0
+
+
+def test_labels_and_links_find_each_other(spark):
+    links = spark.createDataFrame([(1, 0, "", "?cs=4.a", "http://h/?cs=4.a"), (1, 1, " North ", "?cs=4.a", "http://h/?cs=4.a"), (1, 2, "South", "/s", "http://h/s"), (2, 0, "North", "/n", "http://h/n")], "page_id long, position int, text string, href string, target string")
+    wanted = spark.createDataFrame([(1, "/x?cs=4.a", "http://h/x?cs=4.a"), (1, "s", "http://h/s"), (1, "/none", "http://h/none"), (2, "/n", "http://o/n")], "page_id long, href string, target string")
+    got = {(r.page_id, r.href): r.label for r in extraction.label_of_link(links, wanted, "page_id").collect()}
+    assert got == {(1, "/x?cs=4.a"): "North", (1, "s"): "South", (1, "/none"): "", (2, "/n"): "North"}
+    asked = spark.createDataFrame([(1, "NORTH"), (2, "south"), (1, " ")], "page_id long, label string")
+    assert {(r.page_id, r.label): r.href for r in extraction.link_of_label(links, asked, "page_id").collect()} == {(1, "NORTH"): "?cs=4.a", (2, "south"): "", (1, " "): ""}

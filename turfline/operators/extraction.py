@@ -99,3 +99,24 @@ def repeated_groups(rows: DataFrame, key: str, least: int = 3, share: float = 0.
     kept = kept.where((F.col("_n") <= most_children) & (F.col("_all") >= 2))
     kept = kept.withColumn("_place", F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc("instances"), "parent_class")))
     return kept.where(F.col("_place") <= most_groups).select(key, "parent_class", "child_class", "n", "instances")
+
+
+def label_of_link(links: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """key, href, label: the text of the first anchor that is a wanted link - by href, by absolute URL, or by its state token.
+
+    links: key, position, text, href, target. wanted: key, href, target. "" where there is none.
+    """
+    token = lambda c: F.nullif(F.regexp_extract(c, r"[?&]cs=([^&#]*)", 1), F.lit(""))
+    named = links.where(t.strip(F.col("text")) != "").select(key, "position", "text", F.col("href").alias("_href"), F.col("target").alias("_target"))
+    same = (F.col("href") == F.col("_href")) | (F.col("target") == F.col("_target")) | F.coalesce(token(F.col("target")) == token(F.col("_target")), F.lit(False))
+    hit = wanted.join(named, key).where(same).groupBy(key, "href").agg(F.min_by(t.strip(F.col("text")), F.col("position")).alias("label"))
+    return wanted.select(key, "href").distinct().join(hit, [key, "href"], "left").withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def link_of_label(links: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """key, label, href: the first anchor whose text is the label, case aside; "" where there is none."""
+    same = lambda c: F.lower(t.strip(F.col(c)))
+    named = links.select(key, "position", same("text").alias("_text"), F.col("href"))
+    asked = wanted.select(key, "label").distinct().withColumn("_text", same("label"))
+    hit = asked.where("_text <> ''").join(named, [key, "_text"]).groupBy(key, "label").agg(F.min_by("href", "position").alias("href"))
+    return asked.select(key, "label").join(hit, [key, "label"], "left").withColumn("href", F.coalesce("href", F.lit("")))
