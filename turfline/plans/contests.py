@@ -111,7 +111,7 @@ def strongest_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FACT}, x AS (SELECT contest, round, horse, rider, family, job, CASE WHEN rk % 7 = 0 THEN NULL ELSE height END AS height, rk AS field, won, contest_time < TIMESTAMP '1993-07-01' AS past FROM fact),
+    f"""WITH {FACT}, x AS (SELECT contest, round, horse, rider, family, job, CASE WHEN rk % 7 = 0 THEN NULL ELSE height END AS height, rk AS field, won, contest_time < TIMESTAMP '1996-06-01' AS past FROM fact),
 cf AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT lower(trim(coalesce(family, 'inconnu'))) AS value FROM x WHERE past)),
 cj AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT lower(trim(coalesce(job, 'inconnu'))) AS value FROM x WHERE past)),
 cd AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT CASE WHEN field > 0 AND field <= 10 THEN 'small' WHEN field > 0 AND field <= 25 THEN 'medium' WHEN field > 0 AND field <= 50 THEN 'large' WHEN field > 0 AND field <= 999 THEN 'xlarge' ELSE 'nan' END AS value FROM x WHERE past))
@@ -123,6 +123,6 @@ LEFT JOIN cd ON cd.value = CASE WHEN field > 0 AND field <= 10 THEN 'small' WHEN
 def encoded_features(spark: SparkSession, d: str) -> DataFrame:
     """The preprocessing pipeline fitted on the past and applied to all rows; values never seen take the first class."""
     rows = participations(spark, d).select("contest", "round", "horse", "rider", "family", "job", F.when(F.col("rk") % 7 != 0, F.col("height")).alias("height"), F.col("rk").alias("field"), "won", "contest_time")
-    past = F.col("contest_time") < F.lit("1993-07-01").cast("timestamp")
+    past = F.col("contest_time") < F.lit("1996-06-01").cast("timestamp")
     done, _ = preprocess.preprocess(rows, past, ["family", "job", "density"], ["height"])
     return done.select("contest", "round", "horse", "family", "job", "density", "height", "won")

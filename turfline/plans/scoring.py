@@ -11,7 +11,7 @@ from .bindings import FACT, ORDER_SQL, participations, total_order
 from .define import query
 
 #: Results before this day are history; requests are the pairs of contests from the second day on.
-PAST, ASKED = "1993-07-01", "1998-06-01"
+PAST, ASKED = "1995-09-01", "2001-05-01"
 _KEYS = {"horse": "horse", "rider": "rider", "club": "club"}
 _CATEGORY = {"sex": "job", "coat": "team", "size": "cast(round AS string)", "kind": "concat(job, team)"}
 _RATE = "round(100 * (0.5 * horse_rate + 0.3 * rider_rate + 0.2 * club_rate), 6)"
@@ -119,16 +119,16 @@ _NUMBERS = ("horse_x_level", "horse_x_height", "rider_x_level", "rider_x_height"
 @query(
     f"""WITH {_HISTORY_SQL}, {_FAMILY_SQL}, {_VECTOR_SQL}
 SELECT horse, rider, given, asked_height, asked_level, family, sex, coat, size, kind, level, team, field, horse_starts::BIGINT AS horse_starts, rider_starts::BIGINT AS rider_starts, '' AS density,
-       round(height, 6) AS height, round(level_num, 6) AS level_num, round(horse_rate, 6) AS horse_rate, round(rider_rate, 6) AS rider_rate, round(club_rate, 6) AS club_rate, round(points, 6) AS points,
-       round(horse_rate * rider_rate, 6) AS synergy, round(CASE WHEN height <> 0 THEN horse_starts / (height / 10 + 1) ELSE horse_starts END, 6) AS experience,
-       round(horse_rate * level_num, 6) AS horse_x_level, round(horse_rate * height / 100, 6) AS horse_x_height, round(rider_rate * level_num, 6) AS rider_x_level,
-       round(rider_rate * height / 100, 6) AS rider_x_height, round(horse_rate * rider_rate * level_num, 6) AS synergy_x_level FROM v"""
+       round(height + 1e-9, 6) AS height, round(level_num + 1e-9, 6) AS level_num, round(horse_rate + 1e-9, 6) AS horse_rate, round(rider_rate + 1e-9, 6) AS rider_rate, round(club_rate + 1e-9, 6) AS club_rate, round(points + 1e-9, 6) AS points,
+       round(horse_rate * rider_rate + 1e-9, 6) AS synergy, round(CASE WHEN height <> 0 THEN horse_starts / (height / 10 + 1) ELSE horse_starts END + 1e-9, 6) AS experience,
+       round(horse_rate * level_num + 1e-9, 6) AS horse_x_level, round(horse_rate * height / 100 + 1e-9, 6) AS horse_x_height, round(rider_rate * level_num + 1e-9, 6) AS rider_x_level,
+       round(rider_rate * height / 100 + 1e-9, 6) AS rider_x_height, round(horse_rate * rider_rate * level_num + 1e-9, 6) AS synergy_x_level FROM v"""
 )
 def feature_vector(spark: SparkSession, d: str) -> DataFrame:
-    """The 24 features of every request."""
+    """The 24 features of every request; a nudge of 1e-9 keeps ties of the sixth digit from falling either way."""
     rows = scoring.feature_vectors(_history(spark, d), _requests(spark, d))
     plain = [F.col(c).cast("bigint").alias(c) if c.endswith("_starts") else F.col(c) for c in scoring.FEATURES if c not in _NUMBERS]
-    return rows.select("horse", "rider", "given", F.col("_asked_height").alias("asked_height"), F.col("_asked_level").alias("asked_level"), *plain, *[F.round(c, 6).alias(c) for c in _NUMBERS])
+    return rows.select("horse", "rider", "given", F.col("_asked_height").alias("asked_height"), F.col("_asked_level").alias("asked_level"), *plain, *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in _NUMBERS])
 
 
 _SCORED_SQL = f"s AS (SELECT *, greatest(0, least(100, round_even({_RATE}, 0)::INTEGER)) AS proba FROM v)"
