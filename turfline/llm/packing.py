@@ -14,9 +14,11 @@ among equal lengths (bucketed offsets, see ranking), so a length that a third of
 documents share is spread over buckets. Texts never move: one pass turns them into
 lengths and checksums, which are staged.
 
-Ids: the tiktoken file of the vocabulary gives the ids of its tokenizers twin several
-times faster; tests hold the two against each other. "<|endoftext|>" inside a text
-is its special id, as tokenizers has it.
+Ids are those of the tokenizers file. Words are encoded by tiktoken, with the ranks that
+the file's vocabulary holds, which is several times faster; stretches of LONG_PART
+characters without a word's beginning go to tokenizers itself, since tiktoken's pattern
+fails on very long white space. Tests hold the two against each other. "<|endoftext|>"
+inside a text is its special id, as tokenizers has it.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are
 documents of their own; an empty table gives no rows; other input columns are ignored.
@@ -24,29 +26,43 @@ documents of their own; an empty table gives no rows; other input columns are ig
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import arrow_batches, stage
 from .ranking import add_group_ranks, bucket_of, shuffle_key
+from .workers import give_back
 
 WINDOW = 2048
 CLOSING_ID = 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Remembered words per worker process; bounds memory, never changes an id.
-WORD_LIMIT = 200_000
+#: Remembered words of a task; bounds memory, never changes an id.
+WORD_LIMIT = 100_000
+#: Characters of a stretch that tokenizers encodes.
+LONG_PART = 20_000
+#: Rows with a text in an Arrow batch.
+TEXTS = 256
 _LOOSE_SPACE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
 
 
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and their ids from a byte-level vocabulary: printable bytes stand for themselves, the others from U+0100 on."""
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte_of = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return {bytes(byte_of[c] for c in token): number for token, number in vocabulary.items() if token != SPECIAL}
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes. A space before a visible character starts a token,
     so texts are encoded word by word and words are remembered."""
@@ -55,13 +71,19 @@ class WordTokenizer:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.path = path
+        self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={}).encode_ordinary
         self.words: dict[str, bytes] = {}
 
+    @cached_property
+    def _library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _raw(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
+        ids = self.encode(text) if len(text) < LONG_PART else self._library.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         if len(self.words) > WORD_LIMIT:
@@ -152,7 +174,8 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, keep: list[str]) ->
     closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = word_tokenizer(vocabulary).ids
+        tokenizer = word_tokenizer(vocabulary)
+        ids_of = tokenizer.ids
         for frame in frames:
             lengths, sums = [], []
             for text in frame["_text"]:
@@ -160,6 +183,8 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, keep: list[str]) ->
                 lengths.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)])
             yield frame.drop(columns="_text").assign(doc_tokens=lengths, ids_crc32s=sums)
+        tokenizer.words.clear()
+        give_back()
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -170,7 +195,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> Da
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     rows = tokenized(docs, vocabulary, window, ["doc_id"])
-    rows = stage(rows.withColumn("_key", shuffle_key(1, "doc_id")), "pack-lengths")
+    with arrow_batches(spark, TEXTS):
+        rows = stage(rows.withColumn("_key", shuffle_key(1, "doc_id")), "pack-lengths")
     rows = rows.withColumn("_rem", (F.col("doc_tokens") % window).cast("int")).withColumn("_full", F.floor(F.col("doc_tokens") / window).cast("bigint"))
     rows = rows.withColumn("_bucket", bucket_of(F.col("_key")))
     # At most `window` rows: how many documents have each remainder.
