@@ -6,15 +6,17 @@ histogram (relative error 2 % of the value, as in DDSketch) held as rows (group,
 metric, bucket, count): merging is addition, so it pre-aggregates before the shuffle,
 a hot source costs one row per bucket and task, and results never depend on order.
 
-A group with under `min_rows` documents takes the sketch of its language, merged
-from its sources; a language below that takes the sketch of everything.
-
-Fence: a ratio x fails above Q3 + max(slack, 3 * (Q3 - Q1)); the mean word length
-also below Q1 - max(slack, ...). The shares of repeats are 0 in most documents, so that
-quartiles say nothing of them: these fail above Q99 + max(slack, 3 * (Q99 - median)),
-which in a clean group lies far below the base cutoff. The slacks keep groups without spread from
-rejecting ordinary documents. Documents that fail the base rules are outside the
-sketches, so that plain junk cannot move a fence.
+Small groups: a group's sketch is its own counts plus `prior` further rows that are spread
+as in its language, and a language's plus `prior` rows spread as everything. So a fence
+moves from its parent's place to its own as a group grows, without a switch.
+
+Fences, with quantiles of the group: the mean word length fails beyond 3 quartile ranges from
+the quartiles; the share of symbols, by its square root (which has the same sampling error at
+any share), above the same fence; both by more than the document's own sampling error: one
+standard error of a mean of n word lengths, five of a share among n words. The shares of repeats
+are 0 in most documents, so that quartiles say nothing of them: these fail above
+Q99 + 3 * (Q99 - median), which in a clean group lies far below the base cutoff. Documents that
+fail the base rules are outside the sketches, so that plain junk cannot move a fence.
 
 Defined results: a null text has no words and fails the base rules; null lang or
 source are groups of their own; repeated rows count each; an empty table gives no
@@ -32,21 +34,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..staging import stage
+from ..staging import arrow_batches, stage
+from .skew import small_or_joined
 from .text_stats import text_stats
+from .workers import give_back
 
-#: metric -> (numerator, denominator, slack, whether low values fail too)
+#: metric -> (numerator, denominator, lower and upper quantile, sampling error by the root of the denominator, whether low values fail too)
 METRICS = {
-    "word_length": ("word_chars", "n_words", 1.5, True),
-    "symbol_share": ("n_symbols", "n_words", 0.1, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.1, False),
-    "repeat_share": ("n_repeat_words", "n_words", 0.1, False),
+    "word_length": ("word_chars", "n_words", 0.25, 0.75, 0.5, True),
+    "symbol_share": ("n_symbols", "n_words", 0.25, 0.75, 2.5, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.5, 0.99, 0.0, False),
+    "repeat_share": ("n_repeat_words", "n_words", 0.5, 0.99, 0.0, False),
 }
-#: Metrics that are 0 in most documents: their fence comes from the upper tail.
-TAILED = ("dup_line_share", "repeat_share")
+#: How far beyond the upper quantile a fence lies, in distances of the two quantiles.
+STRETCH = 3
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _GAMMA = 1.02 / 0.98
 _LEAST = 1e-4
+#: Rows with a text in an Arrow batch.
+TEXTS = 256
 _STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
@@ -54,6 +60,7 @@ _STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         yield pd.DataFrame([text_stats(x) for x in batch], columns=_STATS)
+    give_back()
 
 
 def with_text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -63,10 +70,14 @@ def with_text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _ratio(metric: str) -> F.Column:
-    top, bottom, _, _ = METRICS[metric]
+    top, bottom = METRICS[metric][:2]
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
+def _scaled(metric: str, x: F.Column) -> F.Column:
+    return F.sqrt(x) if metric == "symbol_share" else x
+
+
 def sketch(stats: DataFrame) -> DataFrame:
     """lang, source, metric, bucket, n. Bucket i holds (g^(i-1), g^i]; null bucket -1000: about 0."""
     ratios = F.array(*[F.struct(F.lit(m).alias("metric"), _ratio(m).alias("x")) for m in METRICS])
@@ -75,40 +86,56 @@ def sketch(stats: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketched: DataFrame, group: list[str]) -> DataFrame:
-    """Merge sketches to `group` and read the quantiles: group, metric, total, q1, q3, median, q99."""
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys that may be null; the right side's keys go."""
+    on = F.lit(True)
+    for c in keys:
+        on = on & left[c].eqNullSafe(right[c])
+    out = left.join(right, on, how)
+    for c in keys:
+        out = out.drop(right[c])
+    return out
+
+
+def smoothed(sketched: DataFrame, prior: float) -> DataFrame:
+    """The sketch of each (lang, source) with `prior` rows spread as in its language, whose own has as many spread as everything."""
+    parent = sketched.groupBy("metric", "bucket").agg(F.sum("n").cast("double").alias("n"))
+    keys: list[str] = []
+    for group in (["lang"], ["lang", "source"]):
+        every = parent.groupBy(*keys, "metric").agg(F.sum("n").alias("_all"))
+        parent = _same(parent, every.toDF(*[f"_k{i}" for i in range(len(keys))], "_metric", "_all").withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keys)} | {"_metric": "metric"}), [*keys, "metric"], "inner")
+        parent = parent.select(*keys, "metric", "bucket", (F.lit(float(prior)) * F.col("n") / F.col("_all")).alias("n"))
+        own = sketched.groupBy(*group, "metric", "bucket").agg(F.sum("n").cast("double").alias("n"))
+        groups = own.select(*group, "metric").distinct()
+        spread = _same(groups, parent, [*keys, "metric"], "inner")
+        parent = spread.unionByName(own).groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
+        keys = group
+    return parent
+
+
+def quantiles(sketched: DataFrame, group: list[str]) -> DataFrame:
+    """Merge sketches to `group` and read the quantiles: group, metric, total, q25, q50, q75, q99."""
     merged = sketched.groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*group, "metric")
     run = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket"))).withColumn("total", F.sum("n").over(part))
     value = F.when(F.col("bucket") == -1000, F.lit(0.0)).otherwise(2 * F.pow(F.lit(_GAMMA), F.col("bucket")) / (_GAMMA + 1))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, value))
-    return run.groupBy(*group, "metric").agg(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"), at(0.5).alias("median"), at(0.99).alias("q99"))
-
-
-def fences(sketched: DataFrame, min_rows: int) -> DataFrame:
-    """lang, source and per metric a lower and an upper fence."""
-    keys = sketched.select("lang", "source", "metric").distinct()
-    levels = []
-    for name, group in (("s", ["lang", "source"]), ("l", ["lang"]), ("a", [])):
-        q = quartiles(sketched, group).select(*[F.col(c).alias(f"{name}_{c}") for c in group], F.col("metric").alias(f"{name}_metric"), F.struct("total", "q1", "q3", "median", "q99").alias(name))
-        on = F.col("metric") == F.col(f"{name}_metric")
-        for c in group:
-            on = on & F.col(c).eqNullSafe(F.col(f"{name}_{c}"))
-        levels.append((q, on))
-    for q, on in levels:
-        keys = keys.join(q, on, "left")
-    pick = F.when(F.col("s.total") >= min_rows, F.col("s")).when(F.col("l.total") >= min_rows, F.col("l")).otherwise(F.col("a"))
-    keys = keys.select("lang", "source", "metric", pick.alias("q"))
-    lower, upper = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for m, (_, _, slack, both) in METRICS.items():
-        high, low = ("q.q99", "q.median") if m in TAILED else ("q.q3", "q.q1")
-        width = F.greatest(F.lit(slack), 3 * (F.col(high) - F.col(low)))
-        upper = F.when(F.col("metric") == m, F.col(high) + width).otherwise(upper)
-        if both:
-            lower = F.when(F.col("metric") == m, F.col("q.q1") - width).otherwise(lower)
-    keys = keys.select("lang", "source", "metric", lower.alias("lower"), upper.alias("upper"))
-    one = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    return keys.groupBy("lang", "source").agg(*[one(m, c).alias(f"{m}_{c}") for m in METRICS for c in ("lower", "upper")])
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * (q - 1e-12), value)).alias(f"q{round(100 * q)}")
+    return run.groupBy(*group, "metric").agg(F.max("total").alias("total"), *map(at, (0.25, 0.5, 0.75, 0.99)))
+
+
+def fences(sketched: DataFrame, prior: float) -> DataFrame:
+    """lang, source and per metric a lower and an upper fence and the unit of sampling error, on the metric's scale."""
+    found = quantiles(smoothed(sketched, prior), ["lang", "source"])
+    out = []
+    for m, (_, _, low, high, error, both) in METRICS.items():
+        at = lambda q, m=m: F.max(F.when(F.col("metric") == m, _scaled(m, F.col(f"q{round(100 * q)}"))))
+        width = STRETCH * (at(high) - at(low))
+        out += [
+            (at(low) - width if both else F.lit(None).cast("double")).alias(f"{m}_lower"),
+            (at(high) + width).alias(f"{m}_upper"),
+            (error * at(0.5) if m == "word_length" else F.lit(error)).alias(f"{m}_error"),
+        ]
+    return found.groupBy("lang", "source").agg(*out)
 
 
 def base_failed() -> F.Column:
@@ -117,39 +144,37 @@ def base_failed() -> F.Column:
 
 def verdict(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """Add failed_rules and kept to rows that carry lang, source, the statistics and base_failed."""
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = small_or_joined(limits.withColumnsRenamed({"lang": "_lang", "source": "_source"}))
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     joined = stats.join(limits, on, "left")
     rules = []
-    for m in METRICS:
-        out = _ratio(m) > F.col(f"{m}_upper")
-        out = out | (_ratio(m) < F.col(f"{m}_lower")) if METRICS[m][3] else out
+    for m, (_, bottom, *_, both) in METRICS.items():
+        x, error = _scaled(m, _ratio(m)), F.col(f"{m}_error") / F.sqrt(F.greatest(F.col(bottom), F.lit(1)))
+        out = x > F.col(f"{m}_upper") + error
+        out = out | (x < F.col(f"{m}_lower") - error) if both else out
         rules.append(F.when(F.coalesce(out, F.lit(False)), F.lit(m)))
     joined = joined.withColumn("failed_rules", F.array_compact(F.array(*rules)))
     joined = joined.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return joined.drop("_lang", "_source", *[f"{m}_{c}" for m in METRICS for c in ("lower", "upper")])
+    return joined.drop("_lang", "_source", *[f"{m}_{c}" for m in METRICS for c in ("lower", "upper", "error")])
 
 
-def quality_verdicts(docs: DataFrame, min_rows: int = 100) -> DataFrame:
+def quality_verdicts(docs: DataFrame, prior: float = 100) -> DataFrame:
     """doc_id, lang, source, the statistics, base_failed, failed_rules, kept: one row per input row."""
-    stats = with_text_stats(docs, ["doc_id", "lang", "source"]).withColumn("base_failed", base_failed())
-    stats = stage(stats, "quality-stats")
-    return verdict(stats, fences(sketch(stats), min_rows))
+    with arrow_batches(docs.sparkSession, TEXTS):
+        stats = stage(with_text_stats(docs, ["doc_id", "lang", "source"]).withColumn("base_failed", base_failed()), "quality-stats")
+    return verdict(stats, stage(fences(stage(sketch(stats), "quality-sketch"), prior), "quality-fences"))
 
 
-def keep_clean(docs: DataFrame, min_rows: int = 100) -> DataFrame:
+def keep_clean(docs: DataFrame, prior: float = 100) -> DataFrame:
     """The rows of docs that are kept, with all their columns and in one row each.
 
-    Thresholds need a first pass; the verdict of a row depends on its own statistics and its
-    group's fences alone, so the fences (one row per group) are joined to a second
-    pass over the texts, and neither texts nor ids are shuffled.
+    Every text is measured once: the rows are staged with their statistics, the fences
+    (one row per group) are made from these, and the staged rows are filtered in place.
+    Rows that fail the base rules are out before, and nothing is shuffled but sketches.
     """
-    names = [f.name for f in docs.schema]
-    own = ["base_failed", "failed_rules", "kept", *_STATS]
+    names = docs.columns
+    own = {"base_failed", "failed_rules", "kept", *_STATS}
     plain = docs.toDF(*[f"_c{i}" if n.lower() in own else n for i, n in enumerate(names)])
-    stats = with_text_stats(plain, ["lang", "source"])
-    stats = stage(stats.withColumn("base_failed", base_failed()), "quality-stats")
-    limits = stage(fences(sketch(stats), min_rows), "quality-fences")
-    measured = with_text_stats(plain, plain.columns)
-    kept = verdict(measured.withColumn("base_failed", base_failed()), limits).where("kept")
-    return kept.select(*plain.columns).toDF(*names)
+    with arrow_batches(docs.sparkSession, TEXTS):
+        measured = stage(with_text_stats(plain, plain.columns).withColumn("base_failed", base_failed()).where("NOT base_failed"), "quality-rows")
+    return verdict(measured, stage(fences(stage(sketch(measured), "quality-sketch"), prior), "quality-fences")).where("kept").select(*plain.columns).toDF(*names)
