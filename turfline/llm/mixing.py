@@ -117,20 +117,28 @@ def materialize_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
     What a row takes follows from its source's repeats and from the last row that the
     source takes a part of, so one row per source is joined back and no text is
-    shuffled. Rows that tie with that last row all take its part. n_chars, where it is a
-    column, follows the text.
+    shuffled, but those of rows that tie with that last row (repeated rows of one
+    doc_id): these are numbered by their text's hash. n_chars, where it is a column,
+    follows the text.
     """
-    rows = allot(_sized(docs, seed), weights, max_epochs)
-    place = F.struct("_key", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size", "part")
+    rows = stage(allot(_sized(docs, seed), weights, max_epochs).select("source", "_key", "doc_id", "size", "repeats", "part"), "mix-shares")
+    place = F.struct("_key", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size")
     limits = rows.groupBy(F.col("source").alias("_source")).agg(F.max("repeats").alias("_repeats"), F.max(F.when(F.col("part") > 0, place)).alias("_last"))
     limits = stage(limits, "mix-limits")
+    at_last = rows.join(limits, F.col("source").eqNullSafe(F.col("_source"))).where(place == F.col("_last"))
+    ties = at_last.groupBy(F.col("source").alias("_tied")).agg(F.count_if(F.col("part") == F.col("size")).alias("_full"), F.coalesce(F.max(F.when(F.col("part") < F.col("size"), F.col("part"))), F.lit(0)).alias("_rest"))
+    limits = limits.join(ties, F.col("_source").eqNullSafe(F.col("_tied")), "left").drop("_tied")
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_SOURCES else limits
     names = docs.columns
     out = docs.join(limits, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_size", _size())
     mine = F.struct(shuffle_key(seed, "doc_id").alias("_key"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_size").alias("size"))
-    last = F.struct(F.col("_last._key"), F.col("_last.no_id"), F.col("_last.doc_id"), F.col("_last.size"))
-    part = F.when(F.col("_last").isNull() | (mine > last), F.lit(0).cast("bigint")).when(mine < last, F.col("_size")).otherwise(F.col("_last.part"))
-    out = out.withColumn("_part", part)
+    tied = F.coalesce(mine == F.col("_last"), F.lit(False))
+    none = F.lit(0).cast("bigint")
+    before = out.where(~tied).withColumn("_part", F.when(F.col("_last").isNull() | (mine > F.col("_last")), none).otherwise(F.col("_size")))
+    number = F.row_number().over(Window.partitionBy("_source").orderBy(F.xxhash64("text"), "text"))
+    last = out.where(tied).withColumn("_number", number)
+    last = last.withColumn("_part", F.when(F.col("_number") <= F.col("_full"), F.col("_size")).when(F.col("_number") == F.col("_full") + 1, F.col("_rest")).otherwise(none)).drop("_number")
+    out = before.unionByName(last)
     whole = F.array_repeat(F.lit(None).cast("bigint"), F.col("_repeats").cast("int"))
     takes = F.when(F.col("_part") >= F.col("_size"), F.array_append(whole, F.lit(None).cast("bigint"))).when(F.col("_part") > 0, F.array_append(whole, F.col("_part"))).otherwise(whole)
     out = out.where(F.col("_size") > 0).withColumn("_take", F.explode(takes))
