@@ -29,7 +29,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,4 +150,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op5_mixing": OP5_SQL, "op8_chat_format": OP8_SQL}
+OP10_SQL = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY b) AS tab FROM (
+    SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(b))),
+rows AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) AS text_crc32,
+         md5('20:' || coalesce(doc_id::VARCHAR, '')) AS k
+  FROM documents, crc_table),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size, text_crc32) - 1)::DOUBLE
+            / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS place
+  FROM rows),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY place, source NULLS FIRST, k, doc_id NULLS FIRST, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (pos * 40 // n)::INTEGER AS shard,
+       (pos - ((pos * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op5_mixing": OP5_SQL, "op8_chat_format": OP8_SQL, "op10_sharding": OP10_SQL}
