@@ -72,7 +72,7 @@ def test_stages_in_order(spark, planted):
     assert single == {i for i in sets if not any(j < i and linked(i, j) for j in sets)}
     mixed = Counter(r.doc_id for r in seen["mixing"][1])
     assert set(mixed) <= single and max(mixed.values()) <= 4
-    ids_of = packing.word_tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken")).ids
+    ids_of = packing.word_tokenizer(public_tokenizers.path("byte_bpe_50k.json")).ids
     want = Counter()
     for r in seen["mixing"][1]:
         ids = ids_of(r.text) + np.array([1], "<u4").tobytes()
@@ -81,3 +81,15 @@ def test_stages_in_order(spark, planted):
     assert Counter((p.doc_id, p.start, p.ids_crc32) for p in seen["packing"][1]) == want
     run = Counter((p.doc_id, p.start, p.ids_crc32) for p in corpus_pipeline.run(spark, sf_dir).collect())
     assert run == want
+
+
+def test_awkward_and_empty_documents_pass_all_stages(spark, tmp_path):
+    """Null ids, texts, languages and sources, repeated rows and a blank label table; then no rows at all."""
+    prose = " ".join(f"wort{(i * 37) % 101}x{i}" for i in range(90))
+    rows = [(None, prose, None, None, 1), (None, prose, None, None, 1), (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, prose + " tail", None, "a", 9), (3, prose + " tail", None, "a", 9), (4, " ".join(f"q{i}" for i in range(400)), "en", "b", 7)]
+    for name, some in (("few", rows), ("none", [])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        assert {p.doc_id for p in pieces} <= {None, 3, 4} and bool(pieces) == bool(some)
