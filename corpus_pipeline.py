@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
-    return pack_documents(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack_documents(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
