@@ -148,6 +148,7 @@ def bounded_int(x: Column, low: int, high: int) -> Column:
     return F.when(value.between(low, high), value)
 
 
+#: Patterns of ordinals, of elimination, of absence and of ranking column names.
 _ORDINAL = r"(?iU)^\s*(\d+)\s*(?:er|ère|ere|re|nd|nde|ème|eme|e)(?:\s*(?:ex\.?|ex\s*aequo|ex\s*æquo))?\s*\.?\s*$"
 _ELIMINATED = r"(?iU)^(?:el|eli|elim|élim|eliminé|éliminé|elimine|disq|dsq|dq|abandon|abd|nc|np)(?:\.|\s|$)"
 _ABSENT = r"(?iU)^(?:non[\s\-]*partant\b|forfait\b|hors[\s\-]*concours\b|fft\b|hc\b|(?:[ée]preuve\s+)?annul(?:é|ée|ee|e)\b)"
@@ -208,6 +209,7 @@ def url_template(url: Column) -> Column:
     scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://", 1))
     path = F.regexp_extract(url, r"^[^?#]*?://[^/?#]+([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    # Fixed value: what counts as an id in a path.
     id_like = r"^(?:\d+|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[\w-]{8,}-\d+)$"
     parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(id_like), ":id").otherwise(s))
     keys = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(query, "&"), lambda c: c != ""), lambda c: F.split(c, "=")[0])))

@@ -16,23 +16,23 @@ _BEST = " ".join(f"WHEN s[1] = {k} THEN '{k}'" for k in _LANGS)
 
 
 @query(
-    rf"""WITH w AS (SELECT doc_id, regexp_extract_all(substring(lower(text), 1, 3000), '([\p{{L}}]+)', 1) AS w FROM documents),
+    rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '([\p{{L}}]+)', 1) AS w FROM documents),
 c AS (SELECT doc_id, len(w) AS n, {_SCORE_SQL} FROM w), o AS (SELECT *, list_reverse_sort([{", ".join(_LANGS)}]) AS s FROM c)
 SELECT doc_id, CASE WHEN n >= 15 AND s[1] >= 5 AND s[1] - s[2] >= 2 THEN CASE {_BEST} END ELSE '' END AS language FROM o"""
 )
 def language_by_stopwords(spark: SparkSession, d: str) -> DataFrame:
-    """The language whose function words lead clearly in the first 3000 characters, the reference's sample, which the twin fixes."""
-    return docs.stopword_scores(table(spark, d, "documents"), sample=3000).select("doc_id", docs.detected_language().alias("language"))
+    """The language whose function words lead clearly in the whole text."""
+    return docs.stopword_scores(table(spark, d, "documents")).select("doc_id", docs.detected_language().alias("language"))
 
 
 @query(
     rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '([\p{{L}}]+)', 1) AS w FROM documents),
 c AS (SELECT doc_id, len(w) AS n, {_SCORE_SQL} FROM w), o AS (SELECT *, list_reverse_sort([{", ".join(_LANGS)}]) AS s FROM c)
-SELECT doc_id, CASE WHEN n >= 15 AND s[1] >= 5 AND s[1] - s[2] >= 2 THEN CASE {_BEST} END ELSE '' END AS language FROM o"""
+SELECT doc_id, n AS n_words, CASE WHEN n >= 15 AND s[1] >= 5 AND s[1] - s[2] >= 2 THEN CASE {_BEST} END ELSE '' END AS language FROM o"""
 )
 def language_of_whole_texts(spark: SparkSession, d: str) -> DataFrame:
-    """The language whose function words lead clearly in the whole text."""
-    return docs.stopword_scores(table(spark, d, "documents")).select("doc_id", docs.detected_language().alias("language"))
+    """The same with the number of words."""
+    return docs.stopword_scores(table(spark, d, "documents")).select("doc_id", "n_words", docs.detected_language().alias("language"))
 
 
 @query(r"""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<html[^>]*\blang\s*=\s*["'']?([a-zA-Z_-]+)', 1), ''), '') AS declared, lower(regexp_extract(html, '(?is)<html[^>]*\blang\s*=\s*["'']?([a-zA-Z]+)', 1)) AS language FROM pages""")
