@@ -29,7 +29,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -169,9 +169,9 @@ def _placement(plan: list[tuple[int, dict[int, int]]]) -> tuple[dict[int, list[t
     return entries, sequence
 
 
-def tokenized(docs: DataFrame, vocabulary: str, window: int, keep: list[str]) -> DataFrame:
-    """The `keep` columns, doc_tokens and the crc32 of every piece of `window` ids."""
-    closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
+def tokenized(docs: DataFrame, vocabulary: str, window: int, keep: list[str], closing_id: int = CLOSING_ID, shorter_first: bool = False) -> DataFrame:
+    """The `keep` columns, doc_tokens and the crc32 of every piece of `window` ids; the shorter piece is the last one or, if asked, the first."""
+    closing = np.array([closing_id], dtype="<u4").tobytes()
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = word_tokenizer(vocabulary)
@@ -180,8 +180,10 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, keep: list[str]) ->
             lengths, sums = [], []
             for text in frame["_text"]:
                 ids = ids_of(text) + closing
+                first = len(ids) % (4 * window) if shorter_first else 0
+                cuts = [0] * bool(first) + list(range(first, len(ids), 4 * window)) + [len(ids)]
                 lengths.append(len(ids) // 4)
-                sums.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)])
+                sums.append([zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
             yield frame.drop(columns="_text").assign(doc_tokens=lengths, ids_crc32s=sums)
         tokenizer.words.clear()
         give_back()
@@ -191,33 +193,44 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, keep: list[str]) ->
     return rows.mapInPandas(measure, f"{fields}, doc_tokens long, ids_crc32s array<long>")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
-    rows = tokenized(docs, vocabulary, window, ["doc_id"])
-    with arrow_batches(spark, TEXTS):
+def staged_lengths(docs: DataFrame, vocabulary: str, window: int, closing_id: int = CLOSING_ID, shorter_first: bool = False) -> DataFrame:
+    """tokenized() once, with each document's place in a seeded order, its full pieces (_full) and what remains (_rem)."""
+    rows = tokenized(docs, vocabulary, window, ["doc_id"], closing_id, shorter_first)
+    with arrow_batches(docs.sparkSession, TEXTS):
         rows = stage(rows.withColumn("_key", shuffle_key(1, "doc_id")), "pack-lengths")
     rows = rows.withColumn("_rem", (F.col("doc_tokens") % window).cast("int")).withColumn("_full", F.floor(F.col("doc_tokens") / window).cast("bigint"))
-    rows = rows.withColumn("_bucket", bucket_of(F.col("_key")))
+    return rows.withColumn("_bucket", bucket_of(F.col("_key")))
+
+
+def place_remainders(rows: DataFrame, plan_of: Callable[[dict[int, int]], list[tuple[int, dict[int, int]]]]) -> DataFrame:
+    """rows with _sequence and _offset of their remainder by the plan of its histogram, and _first_full, the sequence of their first full piece."""
     # At most `window` rows: how many documents have each remainder.
     histogram = {r["_rem"]: (r["n"], r["f"]) for r in rows.groupBy("_rem").agg(F.count(F.lit(1)).alias("n"), F.sum("_full").alias("f")).collect()}
-    entries, sequences = _placement(plan_windows({k: n for k, (n, _) in histogram.items() if k}, window))
+    entries, sequences = _placement(plan_of({k: n for k, (n, _) in histogram.items() if k}))
     table, full_base = [], sequences
     for rem in sorted(histogram):
         table.append((rem, full_base, entries.get(rem, [])))
         full_base += histogram[rem][1]
-    plan = spark.createDataFrame(table, f"_r int, _full_base bigint, _entries {_ENTRY}")
+    plan = rows.sparkSession.createDataFrame(table, f"_r int, _full_base bigint, _entries {_ENTRY}")
     ranked = add_group_ranks(rows, ["_rem"], "_key", ["doc_id", "doc_tokens"], "_rank", {"_full": "_full_before"})
     placed = ranked.join(F.broadcast(plan), F.col("_rem") == F.col("_r"))
     rank = F.col("_rank") - 1
     placed = placed.withColumn("_e", F.try_element_at(F.filter("_entries", lambda e: e["first"] <= rank), F.lit(-1)))
     inside = rank - F.col("_e.first")
+    sequence = (F.col("_e.sequence") + F.floor(inside / F.col("_e.per")).cast("bigint")).alias("_sequence")
+    offset = (F.col("_e.offset") + (inside % F.col("_e.per")) * F.col("_rem")).cast("bigint").alias("_offset")
+    return placed.select("doc_id", "doc_tokens", "ids_crc32s", "_rem", "_full", (F.col("_full_base") + F.col("_full_before")).cast("bigint").alias("_first_full"), sequence, offset)
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    placed = place_remainders(staged_lengths(docs, vocabulary, window), lambda histogram: plan_windows(histogram, window))
     tail = F.struct(
         (F.col("_full") * window).alias("start"),
         F.col("_rem").cast("bigint").alias("length"),
         F.element_at("ids_crc32s", -1).alias("ids_crc32"),
-        (F.col("_e.sequence") + F.floor(inside / F.col("_e.per")).cast("bigint")).alias("sequence_id"),
-        (F.col("_e.offset") + (inside % F.col("_e.per")) * F.col("_rem")).cast("bigint").alias("offset"),
+        F.col("_sequence").alias("sequence_id"),
+        F.col("_offset").alias("offset"),
     )
     fulls = F.transform(
         F.slice("ids_crc32s", F.lit(1), F.col("_full").cast("int")),
@@ -225,7 +238,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> Da
             (i * window).cast("bigint").alias("start"),
             F.lit(window).cast("bigint").alias("length"),
             crc.alias("ids_crc32"),
-            (F.col("_full_base") + F.col("_full_before") + i).cast("bigint").alias("sequence_id"),
+            (F.col("_first_full") + i).cast("bigint").alias("sequence_id"),
             F.lit(0).cast("bigint").alias("offset"),
         ),
     )

@@ -15,9 +15,12 @@ from .mips import top_k
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality_rules import quality_verdicts
+from .ranked_search import ranked_search
 from .sharding import interleave_shards
 from .token_transducer import token_counts
 from .toxicity import toxicity_scores
+from .two_fit import pack_two_fit
+from .vector_codes import ENTRIES, PARTS, ROUNDS, compress_vectors
 
 #: The conversation that op8 adds: both turns say a control string.
 DEMO_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -72,6 +75,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_two_fit(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_extract": op2_html_extract,
@@ -83,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_sharding": op10_sharding,
+    "op11_two_fit": op11_two_fit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 OP5_SQL = r"""
@@ -172,4 +190,64 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op5_mixing": OP5_SQL, "op8_chat_format": OP8_SQL, "op10_sharding": OP10_SQL}
+
+
+def _op12_sql() -> str:
+    """Rounds of Lloyd written out, from all parts without weights."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT pos, row, any_value(vec_id) AS vec_id, any_value(label) AS label, any_value(x) AS x, min(d) AS d, arg_min(k, d * 256 + k) AS k
+  FROM (SELECT p.*, b.k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{r} b USING (pos))
+  GROUP BY pos, row),"""
+    moved = """m{r} AS (
+  SELECT pos, k, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{q}, range(1, (SELECT max(len(x)) FROM p) + 1) t(j) GROUP BY pos, k, j),
+b{r} AS MATERIALIZED (
+  SELECT pos, k, coalesce(any_value(f.c), any_value(b.c)) AS c FROM b{q} b
+  LEFT JOIN (SELECT pos, k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM m{r} GROUP BY pos, k) f USING (pos, k) GROUP BY pos, k),"""
+    steps = "\n".join(nearest.format(r=r) + "\n" + moved.format(r=r + 1, q=r) for r in range(ROUNDS))
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row, list_transform(embedding, lambda x: floor({1024} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, row, pos, e[pos * (len(e) // {PARTS}) + 1 : (pos + 1) * (len(e) // {PARTS})] AS x FROM v, range({PARTS}) t(pos)),
+b0 AS MATERIALIZED (SELECT pos, row - 1 AS k, x AS c FROM p WHERE row <= {ENTRIES}),
+{steps}
+{nearest.format(r=ROUNDS)}
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, k)) AS codebooks_sha256 FROM b{ROUNDS}),
+e AS (
+  SELECT any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(lower(lpad(printf('%x', k), 2, '0')), '' ORDER BY pos) AS code, sum(d)::BIGINT AS error
+  FROM a{ROUNDS} GROUP BY row)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e, h
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+docs AS (SELECT * FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs),
+tf AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) GROUP BY row, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term, n_docs),
+q AS (
+  SELECT item, any_value(item_id) AS item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, row_number() OVER () AS item,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item, term),
+s AS (
+  SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), total GROUP BY item, row),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_top_k": OP4_SQL,
+    "op5_mixing": OP5_SQL,
+    "op8_chat_format": OP8_SQL,
+    "op10_sharding": OP10_SQL,
+    "op12_vector_codes": _op12_sql(),
+    "op13_ranked_search": OP13_SQL,
+}
