@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from turfline.llm import chat_format, graph, html_extract, jaccard_join, mips, mixing, sharding
@@ -135,7 +136,7 @@ def word_shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute_components(rows):
+def brute_components(rows, num=75):
     sets = [(i, word_shingles(t)) for i, t in rows]
     parent = list(range(len(sets)))
 
@@ -147,7 +148,7 @@ def brute_components(rows):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            if x and y and 100 * len(x & y) >= num * len(x | y):
                 parent[find(a)] = find(b)
     best = defaultdict(list)
     for k, (i, _) in enumerate(sets):
@@ -183,6 +184,22 @@ def test_jaccard_join_on_drifting_copies(spark):
     assert Counter(map(tuple, jaccard_join.near_duplicates(df).collect())) == brute_components(rows)
 
 
+@pytest.mark.parametrize("num", [30, 40, 50, 90])
+def test_jaccard_join_at_other_thresholds(spark, num):
+    """Sizes, and so the widths of bitmaps, may differ by 1 / t."""
+    rng = random.Random(num)
+    rows = []
+    for family in range(12):
+        text = [f"w{family}_{i}" for i in range(rng.randint(40, 400))]
+        for _ in range(8):
+            cut = rng.randint(len(text) // 5, len(text))
+            begin = rng.randint(0, len(text) - cut)
+            rows.append((len(rows), " ".join(text[begin : begin + cut] + [f"e{len(rows)}_{i}" for i in range(rng.randint(0, 9))])))
+    rows += [(len(rows), " ".join(f"z{i}" for i in range(154))), (len(rows) + 1, " ".join(f"z{i}" for i in range(68)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, jaccard_join.near_duplicates(df, num, 100).collect())) == brute_components(rows, num)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 200)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

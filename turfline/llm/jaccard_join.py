@@ -34,6 +34,7 @@ gives no rows; other input columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,11 +246,13 @@ def _may_overlap(num: int, den: int) -> F.Column:
     """Whether sets with bitmaps x and y and sizes n and m may reach the threshold.
 
     They differ in at most (n + m) (1 - t) / (1 + t) shingles if they do. The longer bitmap
-    is folded to the shorter: parities add up.
+    is folded to the shorter: parities add up. Sizes differ by a factor of 1 / t at most, so do the
+    powers of two that are not below them, and so many folds are enough.
     """
     half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.greatest(F.floor(F.size(x) / 2), F.lit(1)).cast("int")), F.slice(x, (F.floor(F.size(x) / 2) + 1).cast("int"), F.greatest(F.floor(F.size(x) / 2), F.lit(1)).cast("int")), lambda p, q: p.bitwiseXOR(q))
     x, y = F.col("x"), F.col("y")
-    x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    for _ in range(max(1, math.ceil(math.log2(den / num)))):
+        x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
     apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
     return apart * (num + den) <= (den - num) * (F.col("n") + F.col("m"))
 
