@@ -14,7 +14,7 @@ among equal lengths (bucketed offsets, see ranking), so a length that a third of
 documents share is spread over buckets. Texts never move: one pass turns them into
 lengths and checksums, which are staged.
 
-Ids are those of the tokenizers file. Words are encoded by tiktoken, with the ranks that
+Ids are those of the tokenizers file. Texts are encoded by tiktoken, with the ranks that
 the file's vocabulary holds, which is several times faster; stretches of LONG_PART
 characters without a word's beginning go to tokenizers itself, since tiktoken's pattern
 fails on very long white space. Tests hold the two against each other. "<|endoftext|>"
@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
@@ -44,13 +45,10 @@ from .workers import give_back
 WINDOW = 2048
 CLOSING_ID = 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Remembered words of a task; bounds memory, never changes an id.
-WORD_LIMIT = 100_000
-#: Characters of a stretch that tokenizers encodes.
-LONG_PART = 20_000
+#: Characters of a stretch that tokenizers encodes, and of a run of shorter ones that tiktoken encodes together.
+LONG_PART, RUN = 20_000, 1 << 20
 #: Rows with a text in an Arrow batch.
 TEXTS = 256
-_LOOSE_SPACE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -64,8 +62,7 @@ def byte_ranks(path: str) -> dict[bytes, int]:
 
 
 class WordTokenizer:
-    """Ids as little-endian unsigned 32-bit bytes. A space before a visible character starts a token,
-    so texts are encoded word by word and words are remembered."""
+    """Ids as little-endian unsigned 32-bit bytes. A space before a visible character starts a token, so a text may be cut there."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -73,7 +70,6 @@ class WordTokenizer:
 
         self.path = path
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={}).encode_ordinary
-        self.words: dict[str, bytes] = {}
 
     @cached_property
     def _library(self):
@@ -81,22 +77,22 @@ class WordTokenizer:
 
         return Tokenizer.from_file(self.path)
 
-    def _raw(self, text: str) -> bytes:
-        ids = self.encode(text) if len(text) < LONG_PART else self._library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if len(self.words) > WORD_LIMIT:
-            self.words.clear()
-        ids = self._raw(" " + word)
-        if len(word) < 64:
-            self.words[word] = ids
-        return ids
-
     def _plain(self, text: str) -> bytes:
-        first, *rest = _CUT.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
-        known, word = self.words.get, self._word
-        return b"".join([self._raw(first), *[known(x) or word(x) for x in rest]])
+        if len(text) < LONG_PART:
+            return array("I", self.encode(text)).tobytes()
+        ids, run, size = array("I"), [], 0
+        first, *rest = _CUT.split(text)
+        for part in (first, *(" " + x for x in rest)):
+            if len(part) >= LONG_PART or size >= RUN:
+                ids.extend(self.encode("".join(run)))
+                run, size = [], 0
+            if len(part) >= LONG_PART:
+                ids.extend(self._library.encode(part, add_special_tokens=False).ids)
+            else:
+                run.append(part)
+                size += len(part)
+        ids.extend(self.encode("".join(run)))
+        return ids.tobytes()
 
     def ids(self, text: str | None) -> bytes:
         parts = (text or "").split(SPECIAL)
@@ -174,8 +170,7 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, keep: list[str], cl
     closing = np.array([closing_id], dtype="<u4").tobytes()
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = word_tokenizer(vocabulary)
-        ids_of = tokenizer.ids
+        ids_of = word_tokenizer(vocabulary).ids
         for frame in frames:
             lengths, sums = [], []
             for text in frame["_text"]:
@@ -185,7 +180,6 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, keep: list[str], cl
                 lengths.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
             yield frame.drop(columns="_text").assign(doc_tokens=lengths, ids_crc32s=sums)
-        tokenizer.words.clear()
         give_back()
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
