@@ -29,9 +29,9 @@ LAYOUT_PREFIXES = ("mt-", "mb-", "p-", "d-", "w-", "h-")
 
 
 def _above(node: Node, most: int) -> Iterator[Node]:
-    """The nearest ancestors, at most so many; the document itself is none."""
+    """The nearest ancestors, at most so many; the document itself is the last."""
     at = node.parent
-    while at is not None and at.parent is not None and most > 0:
+    while at is not None and most > 0:
         yield at
         at, most = at.parent, most - 1
 

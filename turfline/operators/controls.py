@@ -135,9 +135,10 @@ def enriched_rows(rows: DataFrame, anchors: DataFrame, key: str, step: str) -> D
     scripted = F.lower(F.coalesce("href", F.lit(""))).startswith("javascript") | (F.coalesce("href", F.lit("")) == "")
     told = anchors.withColumns({"_target": t.onclick_url(F.col("onclick")), "_date": calendar_date(F.col("text"), F.col("cell"), F.col("headings")), "_language": anchor_language()})
     by_text = told.where(text != "").groupBy(key, text.alias("_text")).agg(F.min_by("_target", F.when(F.col("_target").isNotNull(), F.col("position"))).alias("_target"), F.min_by("_date", F.when(F.col("_date").isNotNull(), F.col("position"))).alias("_date"))
-    by_href = told.where("href <> ''").groupBy(key, F.col("href").alias("_href")).agg(F.min_by("_language", "position").alias("_language"))
+    by_href = told.where("href <> ''").groupBy(F.col(key).alias("_key"), F.col("href").alias("_href")).agg(F.min_by("_language", "position").alias("_language"))
     pages = told.groupBy(key).agg(F.first("declared").alias("_page"))
-    out = rows.withColumn("_text", text).join(by_text, [key, "_text"], "left").join(by_href, (rows[key] == by_href[key]) & (F.col("href") == F.col("_href")), "left").drop(by_href[key]).join(pages, key, "left")
+    out = rows.withColumn("_text", text).join(by_text, [key, "_text"], "left").join(pages, key, "left")
+    out = out.join(by_href, (F.col(key) == F.col("_key")) & (F.col("href") == F.col("_href")), "left")
     link = F.when(scripted & F.col("_target").isNotNull(), F.col("_target")).otherwise(F.col("href"))
     return out.select(*rows.columns[: rows.columns.index("href")], link.alias("href"), F.lit(step).alias("step_id"), F.coalesce("_date", F.lit("")).alias("date"), _first_told(F.col("_language"), F.col("_page")).alias("language"))
 

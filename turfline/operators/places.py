@@ -33,12 +33,70 @@ def with_place(rows: DataFrame, order: list[Column], name: str, group: str | Non
     return placed.withColumn(name, F.col(name) - F.col("_start")).withColumnRenamed("_size", f"{name}_of").drop("_group", "_start")
 
 
-def running_before(rows: DataFrame, key: str, order: list[Column], value: str, count: str, total: str) -> DataFrame:
-    """rows with how many rows of their key come before in `order`, which must be total, and the sum of `value` over these.
+def with_running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with the sums of columns over all rows before them in `order`, which must be total: {column: name}."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "running-sums")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])  # a row a range
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumns({name: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, name in sums.items()}).join(F.broadcast(offsets), "_range")
+    return out.withColumns({name: F.col(name) + F.col(f"_o_{c}") for c, name in sums.items()}).drop("_range", *[f"_o_{c}" for c in sums])
+
+
+def quantiles(rows: DataFrame, columns: list[str], shares: dict[str, float]) -> DataFrame:
+    """column and, per entry of `shares`, the exact, interpolated quantile; a row per column that holds a number.
+
+    Values are counted before they are ordered, so a frequent one is a row, and ordered in ranges.
+    """
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")).select("c.*").where("x IS NOT NULL")
+    counts = cells.groupBy("column", "x").agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_running(counts, [F.col("column"), F.col("x")], {"_n": "_before"})
+    per = placed.groupBy("column").agg(F.sum("_n").alias("_total"), F.min("_before").alias("_start"))  # a row a column
+    placed = placed.join(F.broadcast(per), "column").withColumn("_before", F.col("_before") - F.col("_start"))
+    at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("x")))
+    ends = []
+    for name, share in shares.items():
+        place = (F.col("_total") - 1) * F.lit(share)
+        ends += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    found = placed.groupBy("column").agg(*ends)
+    return found.select("column", *[((1 - F.col(f"_part_{n}")) * F.col(f"_lo_{n}") + F.col(f"_part_{n}") * F.col(f"_hi_{n}")).alias(n) for n in shares])
+
+
+#: From this many rows on a key's rows are dealt into ranges instead of one task.
+HOT_ROWS = 200_000
+
+
+def running_before(rows: DataFrame, keys: dict[str, tuple[str, str]], order: list[Column], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """For each key column -> (count, total): how many rows of the row's key come before it in `order`, which must be total, and the sum of `value` over these.
+
+    Keys are counted once for all columns. A window serves those with fewer than `hot_rows` rows;
+    the rows of the others go by ranges (see _in_ranges). Hot keys are broadcast: there is one
+    in `hot_rows` rows at most. Null keys are one key.
+    """
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(k).cast("string").alias("value")) for k in keys])).alias("k")
+    hot = stage(rows.select(told).groupBy("k.column", "k.value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows), "hot-keys")
+    heated = {r["column"] for r in hot.select("column").distinct().collect()}  # at most the names in `keys`
+    for key, (count, total) in keys.items():
+        by_key = Window.partitionBy(key).orderBy(*order)
+        sums = {count: (F.row_number().over(by_key) - 1).cast("bigint"), total: F.coalesce(F.sum(value).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
+        if key not in heated:
+            rows = rows.withColumns(sums)
+            continue
+        rows = stage(rows, "running-rows")
+        names = F.broadcast(hot.where(F.col("column") == key).select("value"))
+        same = F.col(key).cast("string").eqNullSafe(F.col("value"))
+        cold = rows.join(names, same, "left_anti").withColumns(sums)
+        rows = cold.unionByName(_in_ranges(rows.join(names, same, "left_semi"), key, order, value, count, total))
+    return rows
+
+
+def _in_ranges(rows: DataFrame, key: str, order: list[Column], value: str, count: str, total: str) -> DataFrame:
+    """running_before for one key column, with rows dealt into staged ranges of (key, order).
 
-    As in with_place rows are dealt into staged ranges of (key, order), so a hot key is spread
-    over ranges; only a key that crosses ranges needs offsets, and of these there are
-    less than two rows a range. Null keys are one key.
+    A hot key is spread over ranges; only a key that crosses ranges needs offsets, and of
+    these there are less than two rows a range.
     """
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stage(rows.repartitionByRange(ranges, F.col(key).asc_nulls_first(), *order).withColumn("_range", F.spark_partition_id()), "running")

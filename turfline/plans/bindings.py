@@ -56,11 +56,17 @@ _ORDER = ["contest", "round", "rider", "club", "horse", "rk", "ship", "price", "
 #: A total order of participations: contest first, then every column that tells rows apart.
 ORDER_SQL = ", ".join(f"{c} NULLS FIRST" for c in _ORDER)
 NEWEST_SQL = ", ".join(f"{c} DESC NULLS LAST" for c in _ORDER)
+#: The same by time first, for features of a split by date.
+TIME_ORDER_SQL = f"contest_time NULLS FIRST, {ORDER_SQL}"
 
 
 def total_order() -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in _ORDER]
 
 
+def time_order() -> list[Column]:
+    return [F.col("contest_time").asc_nulls_first(), *total_order()]
+
+
 def newest_first() -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in _ORDER]

@@ -7,36 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import features, profiles, scoring
-from .bindings import FACT, ORDER_SQL, participations, total_order
+from ..staging import stage
+from .bindings import FACT, TIME_ORDER_SQL, participations, time_order
 from .define import query
 
-#: Results before this day are history; requests are the pairs of contests from the second day on.
-PAST, ASKED = "1995-09-01", "2001-05-01"
+#: Results before this day are history; all others are requests. Rates go by time, so none of history counts a result of a later day.
+CUT = "2001-05-01"
 _KEYS = {"horse": "horse", "rider": "rider", "club": "club"}
 _CATEGORY = {"sex": "job", "coat": "team", "size": "cast(round AS string)", "kind": "concat(job, team)"}
+_HISTORY = ("horse", "rider", "family", "height", "level", "won", "rk", "pts", "horse_rate", "horse_starts", "rider_rate", "rider_starts", "club_rate", "field", "team", *_CATEGORY)
 _RATE = "round(100 * (0.5 * horse_rate + 0.3 * rider_rate + 0.2 * club_rate), 6)"
 
 _HISTORY_SQL = f"""{FACT},
-p AS (SELECT *, {", ".join(f"coalesce(avg(won) OVER (PARTITION BY {k} ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.3) AS {k}_rate, row_number() OVER (PARTITION BY {k} ORDER BY {ORDER_SQL}) - 1 AS {k}_starts" for k in _KEYS)},
+p AS (SELECT *, {", ".join(f"coalesce(avg(won) OVER (PARTITION BY {k} ORDER BY {TIME_ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.3) AS {k}_rate, row_number() OVER (PARTITION BY {k} ORDER BY {TIME_ORDER_SQL}) - 1 AS {k}_starts" for k in _KEYS)},
              count(*) OVER (PARTITION BY contest) AS field FROM fact),
 h AS (SELECT horse, rider, family, height, level, won, rk, pts, horse_rate, horse_starts, rider_rate, rider_starts, club_rate, field,
              CASE WHEN team = 'O' THEN 1 ELSE 0 END AS team, job AS sex, team AS coat, round::VARCHAR AS size, job || team AS kind
-      FROM p WHERE contest_time < TIMESTAMP '{PAST}'),
+      FROM p WHERE contest_time < TIMESTAMP '{CUT}'),
 q AS (SELECT DISTINCT horse, rider, CASE WHEN horse % 7 = 0 THEN 'UNKNOWN' ELSE family END AS family,
              CASE WHEN horse % 3 = 0 THEN NULL ELSE height END AS height, CASE WHEN rider % 2 = 0 THEN NULL ELSE level END AS level
-      FROM fact WHERE contest_time >= TIMESTAMP '{ASKED}')"""
+      FROM fact WHERE contest_time >= TIMESTAMP '{CUT}')"""
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
-    rows = features.prior_rates(participations(spark, d), _KEYS, "won", total_order())
+    """History with its features, staged: a prediction reads it a dozen times."""
+    rows = features.prior_rates(participations(spark, d), _KEYS, "won", time_order())
     rows = rows.withColumn("field", F.count(F.lit(1)).over(Window.partitionBy("contest")))
-    rows = rows.where(F.col("contest_time") < F.lit(PAST).cast("timestamp"))
+    rows = rows.where(F.col("contest_time") < F.lit(CUT).cast("timestamp"))
     rows = rows.withColumns({c: F.expr(e) for c, e in _CATEGORY.items()})
-    return rows.withColumn("team", F.when(F.col("team") == "O", 1).otherwise(0))
+    rows = rows.withColumn("team", F.when(F.col("team") == "O", 1).otherwise(0))
+    return stage(rows.select(*_HISTORY), "history")
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    rows = participations(spark, d).where(F.col("contest_time") >= F.lit(ASKED).cast("timestamp"))
+    rows = participations(spark, d).where(F.col("contest_time") >= F.lit(CUT).cast("timestamp"))
     family = F.when(F.col("horse") % 7 == 0, "UNKNOWN").otherwise(F.col("family"))
     height, level = F.when(F.col("horse") % 3 != 0, F.col("height")), F.when(F.col("rider") % 2 != 0, F.col("level"))
     return rows.select("horse", "rider", family.alias("family"), height.alias("height"), level.alias("level")).distinct()
