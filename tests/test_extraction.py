@@ -58,7 +58,7 @@ def test_selectors():
         hs.select(root, "p::before")
 
 
-def test_links_calendars_and_fields():
+def test_links_and_calendars():
     html = """<a href='/one'>One</a><a href=/two>Two</a><a href="#">no</a><div data-href="/three">Three</div>
     <div class="fc-event" data-date="2026-05-01"><b class=fc-title>Cup</b> at noon</div><time datetime="2026-06-02">2 June</time>
     <form><label for=s>Find</label><input id=s name=q><input type=hidden name=h><input name=from_date><select name=kind><option value=1>A</option><option>B</option></select></form>
@@ -66,7 +66,6 @@ def test_links_calendars_and_fields():
     assert list(hs.rows_of(hs.HtmlLinks, html))[:3] == [(0, "One", "/one"), (1, "Two", "/two"), (2, "Three", "/three")]
     assert ("calendar_event", "div", "Cup", "2026-05-01", "class-pattern") in list(hs.rows_of(hs.HtmlCalendar, html))
     assert ("calendar_time", "time", "2 June", "2026-06-02", "time") in list(hs.rows_of(hs.HtmlCalendar, html))
-    assert list(hs.rows_of(hs.HtmlFields, html)) == [("search", "q", "Find", ""), ("date", "from_date", "", ""), ("select", "kind", "A", "1"), ("select", "kind", "B", "B"), ("dropdown", "year", "One", "?y=1")]
 
 
 def test_a_failing_extractor_is_a_row(monkeypatch):

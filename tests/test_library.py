@@ -147,7 +147,7 @@ def test_html_rows(spark):
     assert [r.cells for r in spark.sql("SELECT x.* FROM t, LATERAL html_tables(html) x").collect()] == ['{"Clt": "1 er", "Nom": "A & B", "col_2": "x"}']
     assert spark.sql("SELECT x.* FROM t, LATERAL html_forms(html) x").count() == 2
     assert {r.src for r in spark.sql("SELECT x.* FROM t, LATERAL html_media(html) x").collect()} == {"i.png", "a.png", "b.png"}
-    assert ("Robe", "Bai") in {tuple(r) for r in spark.sql("SELECT x.* FROM t, LATERAL html_leaves(html, 9) x").collect()}
+    assert ("Robe", "Bai", "") in {tuple(r) for r in spark.sql("SELECT x.* FROM t, LATERAL html_leaves(html, 9) x").collect()}
     assert html_rows.fingerprint("<body><p class=a>1</p></body>") == html_rows.fingerprint("<body><p class=a>other</p></body>") != html_rows.fingerprint("<body><p>1</p></body>")
 
 
@@ -168,7 +168,7 @@ def test_row_generators_and_languages_of_all_pages(spark, tmp_path):
     assert (1, "html_tables", '{"table":0,"row":0,"cells":"{\\"A\\": \\"1\\"}"}') in rows
     assert (2, "html_forms", '{"form":0,"field":"input","type":"text","name":"q","value":""}') in rows
     assert (2, "html_media", '{"kind":"img","src":"i.png"}') in rows
-    assert (3, "html_leaves", '{"column":"u","value":"deepest"}') in rows
+    assert (3, "html_leaves", '{"column":"u","value":"deepest","language":""}') in rows
 
 
 def test_stream_breaker_matches_batch(spark, tmp_path):

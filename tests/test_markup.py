@@ -6,7 +6,7 @@ import re
 import pytest
 
 from turfline.functions import html_language as lang
-from turfline.functions.html_rows import tree
+from turfline.functions.html_rows import HtmlLeaves, tree
 from turfline.operators import controls
 from turfline.plans.markup import generated
 
@@ -152,6 +152,22 @@ def test_the_nearest_language_is_that_of_a_walk():
     assert {"fr", "en", "de", "ja", "it", "es", "pt", "nl", ""} <= told
 
 
+def test_leaves_have_columns_and_languages():
+    html = """<html lang=it><table><tr><th>Name</th><th>Flag</th></tr><tr><td><span class=x1>Ann</span></td><td lang=fr>Oui</td></tr></table>
+    <label for=a>Told</label><u id=a>1</u><label>Around <u>2</u></label><div data-label=Near><p><u>3</u></p></div><div class='col-3 prix'><u class=row>4</u></div>
+    <p><strong>Robe :</strong> Bai</p><u>5</u><i class=flag-de></i></html>"""
+    rows = list(HtmlLeaves().eval(html, 99))
+    assert ("Name", "Ann", "it") in rows and ("Flag", "Oui", "fr") in rows and ("Told", "1", "it") in rows and ("Around 2", "2", "it") in rows
+    assert ("Near", "3", "it") in rows and ("prix", "4", "it") in rows and ("Robe", "Bai", "it") in rows and ("u", "5", "de") in rows
+
+
+def test_languages_of_leaves_are_those_of_a_walk():
+    html = "<div lang=fr><p>a</p><i class=flag-de></i><p>b</p><p lang=pt>c</p></div><p>d</p><img src=/flags/jp.png>"
+    root = tree(html)
+    by_text = {n.text(): brute_language(root, n) for n in root.walk() if n.tag == "p"}
+    assert {v: code for _, v, code in HtmlLeaves().eval(html, 99)} == by_text == {"a": "de", "b": "de", "c": "pt", "d": "de"}
+
+
 @pytest.mark.parametrize(
     "text, code",
     [("fr", "fr"), ("GB", "en"), ("xx", ""), ("en-US", "en"), ("Version anglais", "en"), ("Flag of Germany with a very long description", "de"), ("a very long text that only happens to name france", ""), ("French", "fr"), ("Norwegian page", "no"), ("", "")],

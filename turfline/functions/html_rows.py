@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .html_language import element_language, page_declaration
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _TEXT = frozenset("h1 h2 h3 h4 h5 h6 p span li td th dt dd blockquote figcaption label strong em b i small".split())
 
@@ -142,11 +144,53 @@ class HtmlMedia:
                 yield n.tag, n.attrs["src"]
 
 
+def _cell_header(node: Node) -> str:
+    """The header over the table cell that a node lies in: the cell of the same place in the first row with a th."""
+    cell = next((n for n in _upwards(node) if n.tag == "td"), None)
+    row = cell.parent if cell else None
+    if row is None or row.tag != "tr":
+        return ""
+    at = next(i for i, c in enumerate(c for c in row.children if c.tag in ("td", "th")) if c is cell)
+    table = next((n for n in _upwards(row) if n.tag == "table"), None)
+    heads = next(([c.text() for c in r.children if c.tag in ("td", "th")] for r in _ordered(table, {"tr"}) if any(c.tag == "th" for c in r.children)), []) if table else []
+    return heads[at] if at < len(heads) else ""
+
+
+def _upwards(node: Node, most: int = 1 << 30) -> Iterator[Node]:
+    """The node and its ancestors, at most so many of these."""
+    at: Node | None = node
+    while at is not None and most >= 0:
+        yield at
+        at, most = at.parent, most - 1
+
+
+#: Classes that only lay a page out, by prefix and whole.
+LAYOUT_PREFIXES = (
+    "col-", "row-", "container", "btn", "mb-", "mt-", "ml-", "mr-", "mx-", "my-", "p-", "pt-", "pb-", "pl-", "pr-", "px-", "py-",
+    "d-", "flex-", "justify-", "align-", "items-", "self-", "order-", "text-", "font-", "fs-", "fw-", "bg-", "border", "rounded",
+    "shadow", "w-", "h-", "min-", "max-", "gap-", "space-", "absolute", "relative", "fixed", "sticky", "static", "z-",
+    "overflow", "cursor-", "opacity-", "hidden", "visible", "block", "inline", "grid", "table-", "list-", "truncate",
+)
+LAYOUT_CLASSES = ("row", "col", "container", "small", "lead", "show", "hide")
+
+
+def column_of(node: Node, labels: dict[str, str]) -> str:
+    """What a leaf's column is called: by the header over its cell, a label for it or around it, a labelling attribute near it, a telling class near it, or its tag."""
+    label = labels.get(node.attrs.get("id", ""), "") or next((n.text() for n in list(_upwards(node, 3))[1:] if n.tag == "label"), "")
+    attribute = next((v for n in _upwards(node, 4) for a in ("data-label", "aria-label", "data-column") if (v := n.attrs.get(a))), "")
+    telling = (c for n in _upwards(node, 4) for c in n.attrs.get("class", "").split() if len(c) >= 3 and c not in LAYOUT_CLASSES and not c.startswith(LAYOUT_PREFIXES))
+    name = _cell_header(node) or label or attribute or next(telling, "") or node.tag
+    return " ".join(name.split())[:80]
+
+
 class HtmlLeaves:
-    """column, value of every leaf down to a depth; the column is a label before ":", a data-label, the class or the tag."""
+    """column, value, language of every leaf down to a depth; a value "Label : text" is its own column (see column_of and html_language)."""
 
     def eval(self, html: str, depth: int):
-        stack = [(tree(html), 0)]
+        root = tree(html)
+        page = page_declaration(root)
+        labels = {n.attrs["for"]: n.text() for n in root.walk() if n.tag == "label" and n.attrs.get("for")}
+        stack = [(root, 0)]
         while stack:
             node, at = stack.pop()
             if at > depth:
@@ -154,10 +198,9 @@ class HtmlLeaves:
             inner = [c for c in node.children if c.tag not in ("script", "style", "br", "b", "i", "em", "strong", "sup")]
             if not inner and node.parent and (value := node.text()):
                 strong = next((c.text() for c in node.children if c.tag == "strong"), "")
-                if ":" in strong and value.startswith(strong):
-                    yield strong.rstrip(": "), value[len(strong) :].lstrip(":- ")
-                else:
-                    yield node.attrs.get("data-label") or next(iter(node.attrs.get("class", "").split()), node.tag), value
+                paired = ":" in strong and value.startswith(strong)
+                column, value = (strong.rstrip(": "), value[len(strong) :].lstrip(":- ")) if paired else (column_of(node, labels), value)
+                yield column, value, element_language(node, page)
             stack.extend((c, at + 1) for c in reversed(inner))
 
 
@@ -185,7 +228,7 @@ _RETURNS = {
     "html_text": (HtmlText, "position int, tag string, text string, attributes string"),
     "html_forms": (HtmlForms, "form int, field string, type string, name string, value string"),
     "html_media": (HtmlMedia, "kind string, src string"),
-    "html_leaves": (HtmlLeaves, "column string, value string"),
+    "html_leaves": (HtmlLeaves, "column string, value string, language string"),
     "html_classes": (HtmlClasses, "parent_class string, instance int, child_class string"),
 }
 

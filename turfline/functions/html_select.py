@@ -1,4 +1,4 @@
-"""Row generators by CSS selectors, table cells, links, calendars, fields and class names, over stored HTML.
+"""Row generators by CSS selectors, table cells, links, calendars and class names, over stored HTML.
 
 As in html_rows these are UDTFs over a projection of key and html; what follows them
 (cleaning, teams, grouping) is done on DataFrames in operators.extraction.
@@ -185,28 +185,6 @@ class HtmlCalendar:
                 yield "calendar_time", n.tag, n.text(), n.attrs.get("datetime", ""), "time"
 
 
-class HtmlFields:
-    """kind, name, label, value of search boxes, dates, other inputs, selects and dropdowns whose options are links."""
-
-    def eval(self, html: str):
-        root = tree(html)
-        labels = {n.attrs["for"]: n.text() for n in root.walk() if n.tag == "label" and n.attrs.get("for")}
-        for n in root.walk():
-            name = n.attrs.get("name") or n.attrs.get("id", "")
-            label = labels.get(n.attrs.get("id", ""), "") or n.attrs.get("placeholder", "")
-            if n.tag == "input" and n.attrs.get("type", "text") not in ("hidden", "submit", "button", "image", "reset"):
-                hint = f"{name} {label} {n.attrs.get('class', '')}".lower()
-                kind = "search" if n.attrs.get("type") == "search" or re.search(r"\b(q|search|recherche|query)\b", hint) else "date" if n.attrs.get("type") in ("date", "datetime-local", "month") or "date" in hint else n.attrs.get("type", "text")
-                yield kind, name, label, n.attrs.get("value", "")
-            elif n.tag == "select":
-                for o in (x for x in n.walk() if x.tag == "option"):
-                    yield "select", name, label or o.text(), o.attrs.get("value", o.text())
-            elif "dropdown-menu" in n.attrs.get("class", "").split():
-                for a in (x for x in n.walk() if x.tag == "a"):
-                    if a.attrs.get("href", "").startswith(("?", "/", "http")):
-                        yield "dropdown", name or n.attrs.get("aria-labelledby", ""), a.text(), a.attrs["href"]
-
-
 class HtmlClassNames:
     """class, position, sample: every class of every element in page order, with the element's text."""
 
@@ -245,7 +223,6 @@ _RETURNS = {
     "html_cells": (HtmlCells, "table int, row int, row_class string, position int, column string, value string, href string"),
     "html_links": (HtmlLinks, "position int, text string, href string"),
     "html_calendar": (HtmlCalendar, "kind string, tag string, title string, date string, source string"),
-    "html_fields": (HtmlFields, "kind string, name string, label string, value string"),
     "html_class_names": (HtmlClassNames, "class string, position int, sample string"),
     "html_extract": (HtmlExtract, "extractor string, position int, row string, error string"),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html_context, html_rows, html_select
-from ..operators import controls, extraction
+from ..operators import chain, controls, extraction
 from .bindings import table
 from .define import query
 
@@ -261,3 +261,55 @@ def selected_entries(spark: SparkSession, d: str) -> DataFrame:
     rows = extraction.selected_records(generated(entry_pages(spark, d), "l_orderkey", "html_select", "html, 'tr > td[data-x], tbody td'"), "l_orderkey")
     r = F.col("record")
     return rows.select("l_orderkey", r["Cheval"].alias("horse"), r["Club"].alias("club"), r["href"].alias("href"))
+
+
+# A site in four levels: regions, nations, customers, orders.
+
+_SITE = "https://site.example"
+
+
+def site_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a site. Nations are linked twice, and to another site; every fourth customer has no segment; the pages of every fifth are not stored."""
+    region, nation, customer, orders = (table(spark, d, n) for n in ("region", "nation", "customer", "orders"))
+    rows_of = lambda df, url, order, row: df.groupBy(url.alias("url")).agg(F.array_sort(F.collect_list(F.struct(order, row.alias("row")))).alias("rows"))
+    cell = lambda label, *parts: F.concat(F.lit(f'<td data-label="{label}">'), *parts, F.lit("</td>"))
+    link = lambda path, key, text: F.concat(F.lit(f'<a href="{path}'), F.col(key), F.lit('">'), text, F.lit("</a>"))
+    regions = rows_of(region, F.lit(f"{_SITE}/"), "r_regionkey", cell("Region", link("./r/", "r_regionkey", F.col("r_name"))))
+    twice = nation.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    path = F.when(F.col("again") < 2, F.concat(F.lit('<a href="/n/'), "n_nationkey", F.when(F.col("again") == 1, "#top").otherwise(""), F.lit('">'))).otherwise('<a href="https://other.example/n">')
+    nations = rows_of(twice, F.concat(F.lit(f"{_SITE}/r/"), "n_regionkey"), F.struct("n_nationkey", "again").alias("k"), cell("Nation", path, F.col("n_name"), F.lit("</a>")))
+    segment = F.when(F.col("c_custkey") % 4 == 0, F.lit("NONE")).otherwise(F.col("c_mktsegment"))
+    customers = rows_of(customer, F.concat(F.lit(f"{_SITE}/n/"), "c_nationkey"), "c_custkey", F.concat(cell("Client", link("../c/", "c_custkey", F.concat(F.lit("Client "), F.col("c_custkey")))), cell("Segment", segment)))
+    stored = orders.where("o_custkey % 5 <> 0")
+    orders = rows_of(stored, F.concat(F.lit(f"{_SITE}/c/"), "o_custkey"), "o_orderkey", F.concat(cell("Commande", F.col("o_orderkey")), cell("Etat", F.col("o_orderstatus"))))
+    every = [x.select("url", F.transform("rows", lambda r: r["row"]).alias("rows")) for x in (regions, nations, customers, orders)]
+    together = every[0].union(every[1]).union(every[2]).union(every[3])
+    return together.select("url", F.concat(F.lit("<table><tr>"), F.array_join("rows", "</tr><tr>"), F.lit("</tr></table>")).alias("html"))
+
+
+_STEPS = [
+    chain.Step("s1", 'td[data-label="Region"]', hand_down=("Region",)),
+    chain.Step("s2", 'td[data-label="Nation"]', ("Nation",), hand_down=("Nation",)),
+    chain.Step("s3", 'td[data-label="Client"], td[data-label="Segment"]', ("Segment",), hand_down=("Client",)),
+    chain.Step("s4", 'td[data-label="Commande"], td[data-label="Etat"]', ("Commande", "Etat")),
+]
+
+
+@query(
+    f"""WITH RECURSIVE pages AS (
+  SELECT '{_SITE}/' AS url, '{_SITE}/r/' || r_regionkey AS target, r_name AS cell, NULL AS segment FROM region
+  UNION ALL SELECT '{_SITE}/r/' || n_regionkey, target, n_name, NULL FROM nation, (SELECT unnest([0, 1, 2]) AS again), LATERAL (SELECT CASE WHEN again < 2 THEN '{_SITE}/n/' || n_nationkey ELSE 'https://other.example/n' END AS target)
+  UNION ALL SELECT '{_SITE}/n/' || c_nationkey, '{_SITE}/c/' || c_custkey, 'Client ' || c_custkey, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0
+  UNION ALL SELECT '{_SITE}/c/' || o_custkey, NULL, o_orderkey::VARCHAR, o_orderstatus FROM orders WHERE o_custkey % 5 <> 0),
+walk(step, source_url, target, cell, segment, path) AS (
+  SELECT 1, url, target, cell, segment, []::VARCHAR[] FROM pages WHERE url = '{_SITE}/'
+  UNION ALL SELECT w.step + 1, p.url, p.target, p.cell, p.segment, list_append(w.path, w.cell)
+  FROM (SELECT DISTINCT step, target, cell, path FROM walk WHERE target IS NOT NULL) w JOIN pages p ON p.url = w.target WHERE w.step < 4)
+SELECT 's' || step AS step_id, source_url, cell, segment, path[1] AS region, path[2] AS nation, path[3] AS client FROM walk"""
+)
+def chained_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a chain of four steps over stored pages, with what they inherit from the pages before."""
+    rows = chain.run_chain(site_pages(spark, d), [f"{_SITE}/"], _STEPS)
+    r, up = F.col("record"), F.col("inherited")
+    cell = F.coalesce(r["Region"], r["Nation"], r["Client"], r["Commande"])
+    return rows.select("step_id", "source_url", cell.alias("cell"), F.coalesce(r["Segment"], r["Etat"]).alias("segment"), up["Region"].alias("region"), up["Nation"].alias("nation"), up["Client"].alias("client"))
