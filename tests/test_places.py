@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turfline.operators import explore, features, places
+from turfline.operators import explore, features, learning, places
+from turfline.streaming import breaker
 
 
 def _rows(seed, n=400):
@@ -79,3 +80,48 @@ def test_history_of_predictions_counts_no_later_result(spark):
     assert told.exceptAll(early.select(*columns)).isEmpty() and early.select(*columns).exceptAll(told).isEmpty()
     asked = rows.where(F.col("contest_time") >= F.lit(scoring.CUT).cast("timestamp")).count()
     assert told.count() + asked == rows.count()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_runs_islands_and_aborts_over_ranges(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["hot"] * 8 + ["a", None]), rng.random() < rng.choice([0.6, 0.95])) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, step string, empty boolean").repartition(6)
+    got = {r.i: (r.place, r.island, r.run) for r in breaker.with_runs(df, F.col("empty"), "step", [F.col("i")]).collect()}
+    state, want, trips = {}, {}, {}
+    for i, step, empty in rows:
+        place, island, run = state.get(step, (0, 0, 0))
+        state[step] = (place + 1, island + (not empty), run + 1 if empty else 0)
+        want[i] = state[step]
+        if state[step][2] == 6:
+            trips.setdefault(step, i)
+    assert got == want
+    kept = {r.i for r in breaker.until_abort(df, F.col("empty"), "step", "i", 6).collect()}
+    assert kept == {i for i, step, _ in rows if i <= trips.get(step, 10**9)}
+    assert {r.step: r.aborted_at for r in breaker.streaks(df, F.col("empty"), "step", "i", 6).collect()} == {step: trips.get(step) for step in {s for _, s, e in rows if e}}
+
+
+def test_no_events_and_no_successes(spark):
+    df = spark.createDataFrame([(i, "s", True) for i in range(40)], "i long, step string, empty boolean")
+    assert [(r.length, r.began, r.ended, r.aborted_at) for r in breaker.streaks(df, F.col("empty"), "step", "i").collect()] == [(40, 0, 39, 29)]
+    assert breaker.until_abort(df, F.col("empty"), "step", "i").count() == 30
+    assert breaker.streaks(df.limit(0), F.col("empty"), "step", "i").count() == 0
+
+
+def test_exact_curves_and_reports(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([0, 1]), rng.choice([0.1, 0.2, 0.2, 0.5, 0.5, 0.9, None])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "won int, proba double").repartition(4).withColumn("prediction", (F.col("proba") >= 0.5).cast("int"))
+    known = [(w, p) for w, p in rows if p is not None]
+    pos, neg = [p for w, p in known if w], [p for w, p in known if not w]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    curve = learning.curve_points(df).orderBy(F.desc("threshold")).collect()
+    assert [(r.threshold, r.tp, r.fp) for r in curve] == [(x, sum(p >= x for p in pos), sum(p >= x for p in neg)) for x in (0.9, 0.5, 0.2, 0.1)]
+    assert abs(sum(r.area for r in curve) - auc) < 1e-12
+    report = {r["class"]: r for r in learning.classification_report(df.where("proba IS NOT NULL")).collect()}
+    hit = sum(p >= 0.5 for p in pos)
+    assert abs(report[1].precision - hit / sum(p >= 0.5 for _, p in known)) < 1e-12 and abs(report[1].recall - hit / len(pos)) < 1e-12
+    assert report[0].support == len(neg) and abs(report[1].auc - auc) < 1e-12
+    one = spark.createDataFrame([(1, 0.5, 1)], "won int, proba double, prediction int")
+    assert {(r.actual, r.predicted): r.n for r in learning.confusion(one).collect()} == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 1}
+    assert learning.classification_report(one.limit(0)).count() == 2 and learning.curve_points(one.limit(0)).count() == 0

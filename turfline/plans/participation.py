@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import explore, features, relational
+from ..operators import explore, features, learning, relational
 from .bindings import FACT, ORDER_SQL, participations, table, total_order
 from .define import query
 
@@ -163,3 +163,43 @@ def median_impute(spark: SparkSession, d: str) -> DataFrame:
     """Nulls to exact medians."""
     x = participations(spark, d).select("contest", "round", F.when(F.col("rk") % 7 != 0, F.col("height").cast("double")).alias("height"), F.when(F.col("rk") % 11 != 0, F.col("pts").cast("double")).alias("points"))
     return explore.impute_medians(x, ["height", "points"]).select("contest", "round", "height", "points")
+
+
+_SCORED = f"""{FACT}, scored AS (
+  SELECT won, round(coalesce(avg(won) OVER (PARTITION BY rider ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.3), 4) AS proba FROM fact),
+c AS (SELECT proba, sum(won)::BIGINT AS p, count(*) - sum(won)::BIGINT AS q FROM scored GROUP BY proba),
+k AS (SELECT proba, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER w - p AS above, sum(p) OVER () AS np, sum(q) OVER () AS nq FROM c WINDOW w AS (ORDER BY proba DESC))"""
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """A rider's prior rate as a score of winning."""
+    rows = features.prior_rates(participations(spark, d), {"rider": "rider"}, "won", total_order())
+    return rows.select("won", F.round("rider_rate", 4).alias("proba")).withColumn("prediction", (F.col("proba") >= 0.3).cast("int"))
+
+
+@query(f"WITH {_SCORED} SELECT proba AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / np, 6) AS tpr, round(fp / nq, 6) AS fpr, round(tp / (tp + fp), 6) AS precision FROM k")
+def score_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Exact ROC and precision-recall curves of a prior rate, ties as one step."""
+    rows = learning.curve_points(_scored(spark, d))
+    return rows.select("threshold", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "precision")])
+
+
+@query(
+    f"""WITH {_SCORED}, m AS (SELECT won AS actual, (proba >= 0.3)::INTEGER AS predicted FROM scored),
+a AS (SELECT round(sum(q * (above + tp)) / (2 * any_value(np) * any_value(nq)), 6) AS auc FROM k)
+SELECT x.class, round(count(*) FILTER (actual = x.class AND predicted = x.class) / count(*) FILTER (predicted = x.class), 6) AS precision,
+       round(count(*) FILTER (actual = x.class AND predicted = x.class) / count(*) FILTER (actual = x.class), 6) AS recall,
+       round(2 * count(*) FILTER (actual = x.class AND predicted = x.class) / (count(*) FILTER (predicted = x.class) + count(*) FILTER (actual = x.class)), 6) AS f1,
+       count(*) FILTER (actual = x.class) AS support, round(count(*) FILTER (actual = predicted) / count(*), 6) AS accuracy, any_value(auc) AS auc
+FROM m, (SELECT unnest([0, 1]) AS class) x, a GROUP BY x.class"""
+)
+def score_report(spark: SparkSession, d: str) -> DataFrame:
+    """Precision, recall, F1 and support per class, with accuracy and the exact area under the curve."""
+    rows = learning.classification_report(_scored(spark, d))
+    return rows.select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy", "auc")])
+
+
+@query(f"WITH {_SCORED} SELECT a AS actual, p AS predicted, count(*) FILTER (won = a AND (proba >= 0.3)::INTEGER = p) AS n FROM scored, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS p) GROUP BY a, p")
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Actual against predicted, all four cells."""
+    return learning.confusion(_scored(spark, d))

@@ -119,10 +119,21 @@ def error_breaker(spark: SparkSession, d: str) -> DataFrame:
     return breaker.rolling_trips(table(spark, d, "events"), F.col("event_type") == "error", "user_id", 172_800, 3).select("event_id", "user_id", "recent", "trips")
 
 
-@query("WITH r AS (SELECT *, event_type <> 'click' AS e, sum(CASE WHEN event_type <> 'click' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events) SELECT user_id, island::BIGINT AS island, count(*) AS length, min(event_id) AS began, max(event_id) AS ended FROM r WHERE e GROUP BY user_id, island")
+_RUNS = """r AS (SELECT *, event_type <> 'click' AS e, sum(CASE WHEN event_type <> 'click' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events),
+s AS (SELECT *, CASE WHEN e THEN sum(e::INTEGER) OVER (PARTITION BY user_id, island ORDER BY event_id) ELSE 0 END AS run FROM r),
+t AS (SELECT user_id, min(event_id) FILTER (run = 10) AS aborted_at FROM s GROUP BY user_id)"""
+
+
+@query(f"WITH {_RUNS} SELECT user_id, island::BIGINT AS island, count(*) AS length, min(event_id) AS began, max(event_id) AS ended, any_value(aborted_at) AS aborted_at FROM s LEFT JOIN t USING (user_id) WHERE e GROUP BY user_id, island")
 def empty_streaks(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of events without a click."""
-    return breaker.streaks(table(spark, d, "events"), F.col("event_type") != "click", ["user_id"], ["event_id"])
+    """Runs of events without a click, and where the first run of ten would end a user's step."""
+    return breaker.streaks(table(spark, d, "events"), F.col("event_type") != "click", "user_id", "event_id", 10)
+
+
+@query(f"WITH {_RUNS} SELECT event_id, user_id, run::BIGINT AS run FROM s LEFT JOIN t USING (user_id) WHERE aborted_at IS NULL OR event_id <= aborted_at")
+def events_until_abort(spark: SparkSession, d: str) -> DataFrame:
+    """Events up to a user's first run of ten without a click."""
+    return breaker.until_abort(table(spark, d, "events"), F.col("event_type") != "click", "user_id", "event_id", 10).select("event_id", "user_id", "run")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id > 500")

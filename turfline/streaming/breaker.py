@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..staging import stage
+
 
 def _micros(column: str) -> Column:
     """Microseconds since 1970 of a time with or without zone, whatever the session's zone."""
@@ -24,11 +26,48 @@ def rolling_trips(events: DataFrame, is_hit: Column, key: str, seconds: int, cou
     return hits.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("trips", F.col("recent") >= count).drop("_us")
 
 
-def streaks(events: DataFrame, is_empty: Column, key: list[str], order: list[str]) -> DataFrame:
-    """Runs of consecutive empty events between successes: key, island, length, first and last order value."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    rows = events.withColumn("_e", is_empty).withColumn("island", F.sum(F.when(F.col("_e"), 0).otherwise(1)).over(w))
-    return rows.where("_e").groupBy(*key, "island").agg(F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("began"), F.max(order[0]).alias("ended"))
+def with_runs(events: DataFrame, is_empty: Column, key: str, order: list[Column]) -> DataFrame:
+    """events with `place` (from 1 in the key's `order`, which must be total), `island` (successes up to it) and `run` (empty ones right up to it).
+
+    Rows are dealt into staged ranges of (key, order), so a hot key is spread over tasks. A range says of each of its
+    keys how many rows and successes it holds and where the last success stands; sums over the ranges before
+    give a row its place in the key and the last success before it. Of these summaries there is one
+    a range for a key that crosses ranges. Null keys are one key.
+    """
+    ranges = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lead = F.col(key).asc_nulls_first()
+    dealt = stage(events.withColumn("_ok", ~F.coalesce(is_empty, F.lit(False))).repartitionByRange(ranges, lead, *order).withColumn("_range", F.spark_partition_id()), "runs")
+    inside = Window.partitionBy("_range", key).orderBy(*order)
+    rows = dealt.withColumn("_place", F.row_number().over(inside)).withColumn("_islands", F.sum(F.col("_ok").cast("int")).over(inside)).withColumn("_last", F.max(F.when(F.col("_ok"), F.col("_place"))).over(inside))
+    per = rows.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_in")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_ok").cast("int")).alias("_s"), F.max("_last").alias("_l"))
+    before = Window.partitionBy("_key").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_n_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_s_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    # The last success of all ranges before, by its place in the key; 0 without any.
+    per = per.withColumn("_l_before", F.coalesce(F.max(F.col("_n_before") + F.col("_l")).over(before), F.lit(0)))
+    rows = rows.join(per.select("_key", "_in", "_n_before", "_s_before", "_l_before"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_in")))
+    place = F.col("_n_before") + F.col("_place")
+    last = F.coalesce(F.col("_n_before") + F.col("_last"), F.col("_l_before"))
+    return rows.select(*events.columns, place.alias("place"), (F.col("_s_before") + F.col("_islands")).alias("island"), (place - last).alias("run"))
+
+
+#: Fixed value: so many empty results in a row end a step.
+ABORT_AFTER = 30
+
+
+def streaks(events: DataFrame, is_empty: Column, key: str, order: str, abort_after: int = ABORT_AFTER) -> DataFrame:
+    """Runs of consecutive empty events between successes: key, island, length, first and last order value, and where the key's first run of `abort_after` ended it (null: nowhere)."""
+    rows = with_runs(events, is_empty, key, [F.col(order)])
+    runs = rows.where("run > 0").groupBy(key, "island").agg(F.count(F.lit(1)).alias("length"), F.min(order).alias("began"), F.max(order).alias("ended"), F.min(F.when(F.col("run") == abort_after, F.col(order))).alias("_trip"))
+    trips = runs.groupBy(F.col(key).alias("_key")).agg(F.min("_trip").alias("aborted_at"))
+    return runs.join(trips, F.col(key).eqNullSafe(F.col("_key"))).drop("_key", "_trip")
+
+
+def until_abort(events: DataFrame, is_empty: Column, key: str, order: str, abort_after: int = ABORT_AFTER) -> DataFrame:
+    """The events of each key up to the one that makes its first run of `abort_after` empty ones; what follows is cut. With `run`."""
+    rows = with_runs(events, is_empty, key, [F.col(order)])
+    trips = rows.where(F.col("run") == abort_after).groupBy(F.col(key).alias("_key")).agg(F.min("place").alias("_trip"))
+    kept = rows.join(trips, F.col(key).eqNullSafe(F.col("_key")), "left").where(F.col("_trip").isNull() | (F.col("place") <= F.col("_trip")))
+    return kept.select(*events.columns, "run")
 
 
 def after_cursor(log: DataFrame, cursor: int, sequence: str = "event_id") -> DataFrame:
