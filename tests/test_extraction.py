@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turfline.functions import html_rows as hr
 from turfline.functions import html_select as hs
+from turfline.functions import text as t
 from turfline.operators import extraction, places
 
 TABLE = """<table id="t_engts"><thead><tr><th>Clt.</th><th>Cavalier</th><th>Club</th><th>Équidé</th></tr></thead>
@@ -87,11 +88,27 @@ def test_repeated_groups(spark):
     assert {(r.parent_class, r.child_class, r.n, r.instances) for r in rows} == {(p, c, 4, 4) for p in ("card", "wide") for c in ("nm", "px")}
 
 
-def test_filters_in_urls():
-    f = hs.with_filters
-    assert f("http://h/p?a=1", {"b": "2"}) == "http://h/p?a=1&b=2" and f("http://h/p?a=1", {"a": "9", "n": ""}) == "http://h/p?a=9"
-    assert f("http://h/p?a=1", {"x": "?c=3", "b": "2"}) == "http://h/p?c=3&b=2"
-    assert f("http://h/p?a=1", {"x": "/q?z=1"}) == "http://h/q?z=1" and f("http://h/p", {"x": "https://o/", "y": "1"}) == "https://o/?y=1"
+@pytest.mark.parametrize(
+    "url, values, want",
+    [
+        ("http://h/p?a=1", {"b": "2"}, "http://h/p?a=1&b=2"),
+        ("http://h/p?a=1", {"a": "9", "n": "", "m": None}, "http://h/p?a=9"),
+        ("http://h/p?a=1", {"x": "?c=3", "b": "2"}, "http://h/p?c=3&b=2"),
+        ("http://h/p?a=1", {"x": "/q?z=1"}, "http://h/q?z=1"),
+        ("http://h/p", {"x": "https://o/", "y": "1"}, "https://o/?y=1"),
+        ("http://h/p?a=1&a=2&c=3#top", {"b": "x y&z"}, "http://h/p?a=1&a=2&c=3&b=x+y%26z#top"),
+        ("http://h/p?a=1&a=2&c=3", {"a": "é"}, "http://h/p?c=3&a=%C3%A9"),
+        ("http://h/p?a%20b=1&c=2", {"a b": "7"}, "http://h/p?c=2&a+b=7"),
+        ("http://h/p?a=1#f", {"x": "?b=2", "y": "/z"}, "http://h/z#f"),
+        ("http://h", {"y": "?"}, "http://h"),
+        ("http://h/p", {"y": "?", "k": " v "}, "http://h/p?k=v"),
+        ("/rel/p?a=1", {"x": "/q"}, "/q"),
+        ("http://h/p", {}, "http://h/p"),
+    ],
+)
+def test_filters_in_urls(spark, url, values, want):
+    df = spark.createDataFrame([(url, list(values.items()))], "u string, v array<struct<k:string,v:string>>")
+    assert df.select(t.url_with_filters(F.col("u"), F.map_from_entries("v"))).first()[0] == want
 
 
 def test_places_in_one_order_and_in_groups(spark):

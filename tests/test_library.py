@@ -117,9 +117,32 @@ def test_versioned_tables(spark, tmp_path):
     assert table.read().count() == 3 and table.versions()[0]["id"] == one
 
 
-def test_generator_repeats_itself(spark):
-    a, b = tabular.generate(spark, 500), tabular.generate(spark, 500)
-    assert a.exceptAll(b).count() == 0 and 0 < a.where("height IS NULL").count() < 80
+def test_generated_rows_are_those_of_any_partitioning(spark):
+    a = tabular.generate(spark, 4000).collect()
+    assert tabular.generate(spark, 4000).repartition(7).exceptAll(spark.createDataFrame(a, tabular.generate(spark, 1).schema)).isEmpty()
+    assert len(a[0]) == 20 and [tuple(r) for r in a[:50]] == [tuple(r) for r in tabular.generate(spark, 4000).coalesce(2).where("pos < 50").orderBy("pos").collect()]
+    assert tabular.generate(spark, 4000, seed=7).where("pos < 50").orderBy("pos").collect() != a[:50]
+
+
+def test_generated_rows_have_the_moments_of_their_laws(spark):
+    df = tabular.generate(spark, 40_000)
+    m = df.agg(F.avg("rider_rate"), F.var_samp("rider_rate"), F.avg("horse_age"), F.avg("won"), F.corr("horse_rate", "won"), F.avg((F.col("level") == "Club").cast("int")), F.corr("rk", "won"), F.min("rk"), F.max(F.col("rk") - F.col("starters"))).first()
+    assert abs(m[0] - 0.4) < 0.01 and abs(m[1] - 0.04) < 0.003  # beta(2, 3), hardly touched by its limits
+    assert abs(m[2] - 12) < 0.15 and 0.2 < m[3] < 0.8 and m[4] > 0.2 and abs(m[5] - 0.35) < 0.01 and m[6] < -0.2 and m[7] == 1 and m[8] == 0
+    for c in ("breed", "rider_age", "horse_rate"):
+        assert abs(df.where(F.col(c).isNull()).count() / 40_000 - 0.05) < 0.006
+    assert df.where("sex IS NULL OR level IS NULL OR club IS NULL OR rk IS NULL").isEmpty()
+
+
+def test_windows_1252_files_keep_their_signs(spark, tmp_path):
+    signs = bytes(b for b in range(0x80, 0x100) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)).decode("cp1252")
+    assert len(tabular.WINDOWS_SIGNS) == 32 and sum(ord(c) > 0xFF for c in tabular.WINDOWS_SIGNS) == 27
+    body = f"cheval;discipline;cavalier\nL’Été – œuvre €;CSO;{signs}\nPlain;CSO;x\n"
+    (tmp_path / "w.csv").write_bytes(body.encode("cp1252"))
+    (tmp_path / "u.csv").write_bytes(body.encode("utf-8-sig"))
+    for name in ("w.csv", "u.csv"):
+        rows = tabular.read_history_file(spark, f"file://{tmp_path}/{name}").orderBy("line").collect()
+        assert [(r.horse, r.family) for r in rows] == [("L’Été – œuvre €", "CSO"), ("Plain", "CSO")] and rows[0].rider == signs
 
 
 def test_models_learn_and_report(spark):

@@ -7,7 +7,7 @@ import pytest
 
 from turfline.functions import html_language as lang
 from turfline.functions.html_rows import HtmlLeaves, tree
-from turfline.operators import controls
+from turfline.operators import chain, controls
 from turfline.plans.markup import generated
 
 
@@ -204,3 +204,80 @@ def test_selection_targets(spark):
 
 def test_html_patterns_hold_no_catastrophe():
     assert not re.search(controls.SEARCH_HINT.replace("(?i)", ""), "x" * 100_000)
+
+
+def brute_submission(html, url, values):
+    """The reference behaviour of a browser-less form: best form, then its body in order."""
+    from urllib.parse import urlencode, urljoin
+
+    root = tree(html)
+    best, score = None, 0
+    for form in (n for n in root.walk() if n.tag == "form"):
+        hits = sum(bool(values.get(n.attrs.get("name", ""))) for n in form.walk() if n.tag in ("input", "select", "textarea") and n.attrs.get("type", "") not in ("submit", "file"))
+        if hits > score:
+            best, score = form, hits
+    if best is None:
+        return None
+    body = {}
+    for tag in ("input", "select", "textarea"):
+        for n in best.walk():
+            name, kind = n.attrs.get("name", ""), n.attrs.get("type", "text")
+            if n.tag != tag or not name or kind in ("submit", "file"):
+                continue
+            if kind == "hidden":
+                body[name] = n.attrs.get("value", "")
+            elif name in values:
+                body[name] = values[name]
+            elif tag == "select":
+                options = [o for o in n.walk() if o.tag == "option"]
+                chosen = next((o for o in options if "selected" in o.attrs), options[0] if options else None)
+                if chosen:
+                    body[name] = chosen.attrs.get("value", chosen.text())
+            elif kind in ("checkbox", "radio"):
+                if "checked" in n.attrs:
+                    body[name] = n.attrs.get("value") or "on"
+            elif tag == "input" and n.attrs.get("value"):
+                body[name] = n.attrs["value"]
+    action = best.attrs.get("action", "").strip()
+    return score, (best.attrs.get("method") or "GET").upper(), url if action in ("", "-", "?") else urljoin(url, action), urlencode(body)
+
+
+def test_the_best_form_is_sent_as_brute_force_has_it(spark):
+    rng = random.Random(8)
+    names = ["a", "b", "c d", "é", ""]
+
+    def control():
+        name = rng.choice(names)
+        value = rng.choice(["", " value=''", " value='1'", " value='x y'"])
+        kind = rng.choice(["text", "hidden", "checkbox", "radio", "submit", "file", "date"])
+        options = "".join(f"<option{rng.choice(['', ' selected', ' value=o1'])}>o {i}</option>" for i in range(rng.randint(0, 3)))
+        return rng.choice([f"<input name='{name}' type={kind}{value}{rng.choice(['', ' checked'])}>", f"<select name='{name}'>{options}</select>", f"<textarea name='{name}'>t</textarea>"])
+
+    pages = []
+    for k in range(120):
+        forms = "".join(f"<form action='{rng.choice(['', '-', '?', '/x?y=1', 'z', 'https://o/'])}' method={rng.choice(['post', 'GET'])}>" + "".join(control() for _ in range(rng.randint(0, 5))) + "</form>" for _ in range(rng.randint(0, 3)))
+        pages.append((k, forms, "https://site.example/p/q?r=1", {n: rng.choice(["", "v", "w &"]) for n in rng.sample(names[:4], rng.randint(0, 3))}))
+    df = spark.createDataFrame(pages, "k int, html string, page_url string, values map<string,string>")
+    rows = controls.submissions(generated(df, "k", "html_submits"), df, "k").collect()
+    assert {r.k: (r.score, r.method, r.target, r.body) for r in rows} == {k: want for k, html, url, values in pages if (want := brute_submission(html, url, values))}
+    assert all(r.url == (r.target.split("?")[0] + (f"?{r.body}" if r.body else "") if r.method == "GET" else r.target) for r in rows)
+
+
+def test_chains_inherit_once_and_end_where_nothing_is_stored(spark):
+    cell = lambda k, v: f"<td data-label='{k}'>{v}</td>"
+    row = lambda *cells: "<tr>" + "".join(cells) + "</tr>"
+    pages = [
+        ("http://s/a", "<table>" + row(cell("N", "<a href='b'>one</a>"), cell("R", "x")) + row(cell("N", "<a href='b#again'>two</a>"), cell("R", "y")) + row(cell("N", "<a href='/gone'>three</a>")) + row(cell("N", "<a href='mailto:x'>four</a>"), cell("R", "NONE")) + "</table>"),
+        ("http://s/b", "<table>" + row(cell("N", "<a href='b'>self</a>"), cell("R", "z")) + "</table>"),
+        ("http://s/never", "<table>" + row(cell("N", "no"), cell("R", "no")) + "</table>"),
+    ]
+    df = spark.createDataFrame(pages, "url string, html string")
+    picked = "td[data-label='N'], td[data-label='R']"
+    steps = [chain.Step("1", picked, hand_down=("N",)), chain.Step("2", picked, ("R",), hand_down=("N", "R")), chain.Step("3", picked), chain.Step("4", picked, ("Absent",))]
+    rows = chain.run_chain(df, ["http://s/a", "http://s/a", "http://s/unknown"], steps).collect()
+    assert sorted((r.step_id, r.source_url, r.record.get("N"), tuple(sorted(r.inherited.items()))) for r in rows) == [
+        ("1", "http://s/a", "four", ()), ("1", "http://s/a", "one", ()), ("1", "http://s/a", "three", ()), ("1", "http://s/a", "two", ()),
+        ("2", "http://s/b", "self", (("N", "one"),)),
+        ("3", "http://s/b", "self", (("N", "self"), ("R", "z"))),
+    ]
+    assert chain.run_chain(df, [], steps[:2]).count() == 0

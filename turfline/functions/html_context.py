@@ -143,6 +143,36 @@ class HtmlControls:
                     position += 1
 
 
+class HtmlSubmits:
+    """What the forms of a page send: form, action, method, position (in the order of sending), name, fixed (a hidden input's value), and default (null: not sent unless asked for).
+
+    Inputs come first, then selects, then text areas; buttons and files send nothing.
+    """
+
+    def eval(self, html: str):
+        for f, form in enumerate(n for n in tree(html).walk() if n.tag == "form"):
+            inside, position = list(form.walk()), 0
+            for n in sorted((n for n in inside if n.tag in ("input", "select", "textarea") and n.attrs.get("name")), key=lambda n: ("input", "select", "textarea").index(n.tag)):
+                kind = (n.attrs.get("type") or "text").lower()
+                if n.tag == "input" and kind in NOT_FILLED - {"hidden"}:
+                    continue
+                yield f, form.attrs.get("action", ""), (form.attrs.get("method") or "GET").upper(), position, n.attrs["name"], n.tag == "input" and kind == "hidden", _default(n, kind)
+                position += 1
+
+
+def _default(node: Node, kind: str) -> str | None:
+    """What a control sends untouched: a hidden value always, a box that is checked, a value that is not empty, the chosen or first option."""
+    if node.tag == "select":
+        options = [o for o in node.walk() if o.tag == "option"]
+        chosen = next((o for o in options if "selected" in o.attrs), next(iter(options), None))
+        return None if chosen is None else chosen.attrs["value"] if "value" in chosen.attrs else _option(chosen)[1]
+    if node.tag == "textarea":
+        return None
+    if kind in ("checkbox", "radio"):
+        return (node.attrs.get("value") or "on") if "checked" in node.attrs else None
+    return node.attrs.get("value", "") or ("" if kind == "hidden" else None)
+
+
 class HtmlAnchors:
     """The anchors of a page with what surrounds them.
 
@@ -214,6 +244,7 @@ _RETURNS = {
         "form int, action string, method string, position int, tag string, type string, role string, name string, value string, placeholder string, selector string, "
         "label_by_id string, label_around string, label_before string, label_own string, label_title string, in_navigation boolean, options array<struct<value: string, label: string>>",
     ),
+    "html_submits": (HtmlSubmits, "form int, action string, method string, position int, name string, fixed boolean, default string"),
     "html_anchors": (
         HtmlAnchors,
         "position int, text string, href string, onclick string, cell boolean, headings array<struct<place: string, text: string>>, near string, inherited string, declared string",

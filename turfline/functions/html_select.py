@@ -9,13 +9,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from urllib.parse import parse_qs, urlencode, urlparse, urlunparse
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .html_rows import HtmlForms, HtmlLeaves, HtmlMedia, HtmlTables, HtmlText, Node, tree
+from .text import SCRIPT_TARGET
 
 #: Attributes that hold a date, and patterns of class names of calendars.
 DATE_ATTRIBUTES = ("data-date", "data-day", "data-timestamp", "datetime", "data-start", "data-event")
@@ -96,7 +95,7 @@ def _address(node: Node) -> str:
     href = node.attrs.get("href", "").strip()
     if href and not href.lower().startswith(("javascript:", "#")):
         return href
-    scripted = re.search(r"""url\s*:\s*['"]([^'"]+)['"]""", node.attrs.get("onclick", ""), re.IGNORECASE)
+    scripted = re.search(SCRIPT_TARGET, node.attrs.get("onclick", ""), re.IGNORECASE)
     return scripted[1].strip() if scripted else ""
 
 
@@ -233,37 +232,6 @@ def register(spark: SparkSession) -> None:
         spark.udtf.register(name, F.udtf(cls, returnType=returns))
 
 
-def with_filters(url: str, values: dict[str, str]) -> str:
-    """A URL with filter values: those that are links replace query, path or all of it, in order; the others become parameters."""
-    plain: dict[str, str] = {}
-    for key, value in values.items():
-        value = (value or "").strip()
-        if value.startswith(("http://", "https://")):
-            url = value
-        elif value.startswith("?"):
-            url = urlunparse(urlparse(url)._replace(query=value.lstrip("?")))
-        elif value.startswith("/"):
-            path, _, query = value.partition("?")
-            url = urlunparse(urlparse(url)._replace(path=path, query=query))
-        elif value:
-            plain[key] = value
-    if plain:
-        at = urlparse(url)
-        query = {k: v[0] for k, v in parse_qs(at.query, keep_blank_values=True).items()} | plain
-        url = urlunparse(at._replace(query=urlencode(query)))
-    return url
-
-
-def url_with_filters() -> object:
-    """A vectorised UDF of with_filters from a URL and a JSON object of values."""
-
-    @F.pandas_udf("string")
-    def build(urls: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([with_filters(u or "", json.loads(v) if v else {}) for u, v in zip(urls, values, strict=True)], dtype="object")
-
-    return build
-
-
 def rows_of(generator: type, html: str, *args: object) -> Iterator[tuple]:
     """A generator's rows outside of Spark, for tests."""
     return iter(generator().eval(html, *args))

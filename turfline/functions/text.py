@@ -217,6 +217,32 @@ def url_template(url: Column) -> Column:
     return F.when(F.coalesce(host, F.lit("")) == "", "").otherwise(F.concat(scheme, F.lit("://"), host, F.lit("/"), F.array_join(parts, "/"), tail))
 
 
+def url_with_filters(url: Column, values: Column) -> Column:
+    """A URL with a map of filter values: links among them move it, in their order, and all others become its parameters.
+
+    A link starts with http:// or https:// (the whole URL), "/" (path and query) or "?" (query); a fragment
+    stays where only a part is replaced. A parameter takes the place of all those of its name; others stay as they
+    are, repeated ones too. Blank values count for nothing.
+    """
+    given = F.filter(F.map_entries(F.transform_values(values, lambda k, v: strip(v))), lambda e: F.coalesce(e["value"] != "", F.lit(False)))
+    is_link = lambda v: v.rlike("^(https?://|/|[?])")
+
+    def moved(at: Column, v: Column) -> Column:
+        site, fragment = F.regexp_extract(at, r"^([a-zA-Z][\w+.-]*://[^/?#]*)?", 0), F.regexp_extract(at, "#.*$", 0)
+        path = F.regexp_extract(at, r"^((?:[a-zA-Z][\w+.-]*://[^/?#]*)?[^?#]*)", 1)
+        query = F.regexp_replace(v, r"^\?+", "")
+        asked = F.concat(path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), fragment)
+        return F.when(v.rlike("^https?://"), v).when(v.startswith("?"), asked).otherwise(F.concat(site, v, fragment))
+
+    base = F.aggregate(F.filter(given, lambda e: is_link(e["value"])), url, lambda at, e: moved(at, e["value"]))
+    plain = F.filter(given, lambda e: ~is_link(e["value"]))
+    names = F.transform(plain, lambda e: F.url_encode(e["key"]))
+    name_of = lambda p: F.regexp_replace(F.regexp_extract(p, "^[^=]*", 0), "%20", "+")
+    held = F.filter(F.split(F.regexp_extract(base, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.array_contains(names, name_of(p)))
+    query = F.array_join(F.concat(held, F.transform(plain, lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"])))), "&")
+    return F.when(F.size(plain) == 0, base).otherwise(F.concat(F.regexp_extract(base, "^[^?#]*", 0), F.lit("?"), query, F.regexp_extract(base, "#.*$", 0)))
+
+
 def slug(x: Column, length: int = 60) -> Column:
     """Lower case, no scheme, runs of other than word characters as one "_", none at the ends, cut."""
     s = F.regexp_replace(F.lower(x), r"^https?://", "")
@@ -224,8 +250,12 @@ def slug(x: Column, length: int = 60) -> Column:
     return F.substring(F.regexp_replace(s, "^_+|_+$", ""), 1, length)
 
 
+#: Fixed value: where a script names the address that it loads.
+SCRIPT_TARGET = r"""url\s*:\s*['"]([^'"]+)['"]"""
+
+
 def onclick_url(x: Column) -> Column:
-    return F.nullif(strip(F.regexp_extract(x, r"""(?i)url\s*:\s*['"]([^'"]+)['"]""", 1)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(x, f"(?i){SCRIPT_TARGET}", 1)), F.lit(""))
 
 
 def is_scripted_page(html: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import html_rows
 from ..functions import text as t
 
 #: Names and hints of search boxes, names of date fields, placeholders that only show a date's form.
@@ -106,6 +107,36 @@ def form_descriptors(fields: DataFrame, key: str) -> DataFrame:
     return fields.where("area = 'form'").groupBy(key, "form", "action", "method").agg(F.array_sort(F.collect_list(one)).alias("fields"))
 
 
+#: Actions that mean the page itself.
+OWN_PAGE = ("", "-", "?")
+
+
+def submissions(submits: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """key, form, score, method, target, body, url: what is sent for a set of values, by the form that takes most of them.
+
+    submits: rows of html_submits. asked: key, page_url and `values` (a map of names to texts). A form's score is how
+    many of its controls ask for a value that is not empty; the first of the best counts, and pages whose
+    forms take none give no row. Hidden values are sent as they are, others as asked or by default; of controls of one
+    name the last counts, in the place of the first. `url` is the target with the body as its query for GET.
+    """
+    c = F.col
+    wanted = c("values")[c("name")]
+    rows = submits.join(asked.select(key, "page_url", "values"), key)
+    rows = rows.withColumn("_hit", F.coalesce(wanted != "", F.lit(False)).cast("int"))
+    scores = rows.groupBy(key, "form").agg(F.sum("_hit").alias("score")).where("score > 0")
+    best = scores.groupBy(key).agg(F.max_by("form", F.struct("score", -F.col("form"))).alias("form"), F.max("score").alias("score"))
+    sent = rows.join(best, [key, "form"]).withColumn("_value", F.when(c("fixed"), c("default")).otherwise(F.coalesce(wanted, c("default"))))
+    of_name = sent.groupBy(key, "form", "score", "action", "method", "page_url", "name").agg(
+        F.min(F.when(c("_value").isNotNull(), c("position"))).alias("place"), F.max_by("_value", F.when(c("_value").isNotNull(), c("position"))).alias("value")
+    )
+    pair = F.when(c("place").isNotNull(), F.struct("place", F.concat(F.url_encode("name"), F.lit("="), F.url_encode("value")).alias("pair")))
+    whole = of_name.groupBy(key, "form", "score", "action", "method", "page_url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["pair"]), "&").alias("body"))
+    action = t.strip(c("action"))
+    whole = whole.withColumn("target", F.when(action.isin(*OWN_PAGE), c("page_url")).otherwise(html_rows.absolute_url()("page_url", action)))
+    bare = F.regexp_replace("target", r"[?#].*$", "")
+    return whole.select(key, "form", "score", "method", "target", "body", F.when(c("method") == "GET", F.concat(bare, F.when(c("body") != "", F.concat(F.lit("?"), "body")).otherwise(""))).otherwise(c("target")).alias("url"))
+
+
 def calendar_date(text: Column, cell: Column, headings: Column) -> Column:
     """The ISO date of a calendar's cell: a text of 1 to 31 under the nearest heading that holds a month and a year."""
     month = F.filter(F.transform(headings, lambda h: t.month_heading(h["text"])), lambda m: m.isNotNull())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from ..staging import stage
 
 DELIMITERS = (";", ",", "\t", "|")
 #: Header spellings per logical column of a history file; a parameter.
@@ -58,20 +59,31 @@ def strip_text(x: str) -> str:
 
 
 def found_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-16 if the file holds NUL bytes, UTF-8 if all its lines are valid, else Latin-1.
+    """UTF-16 if the file holds NUL bytes, UTF-8 if all its lines are valid, else ISO-8859-1, which stands for windows-1252.
 
-    text() keeps the bytes as they are. Spark reads no code page beyond these; Latin-1 takes
-    the place of windows-1252, from which it differs in 27 signs.
+    text() keeps the bytes as they are.
     """
     lines = spark.read.text(path)
     has_nul, broken = lines.agg(F.bool_or(F.contains("value", F.lit("\0"))), F.bool_or(~F.is_valid_utf8("value"))).first()
     return "UTF-16" if has_nul else "ISO-8859-1" if broken else "UTF-8"
 
 
+#: The signs of windows-1252 where Latin-1 has control characters, U+0080 to U+009F; five stay undefined.
+WINDOWS_SIGNS = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
+_LATIN_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
+
+
+def as_windows_text(rows: DataFrame) -> DataFrame:
+    """Text columns and headers read as Latin-1, as windows-1252 has them: Spark decodes no such files, but Latin-1 keeps every byte apart."""
+    signs = str.maketrans(_LATIN_CONTROLS, WINDOWS_SIGNS)
+    return rows.select(*[F.translate(F.col(f"`{c}`"), _LATIN_CONTROLS, WINDOWS_SIGNS).alias(c.translate(signs)) for c in rows.columns])
+
+
 def read_history_file(spark: SparkSession, path: str, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
     """A history file in any of the known encodings, delimiters and header spellings; absent columns are null."""
     encoding = found_encoding(spark, path)
     rows = read_csv(spark, path, encoding)
+    rows = as_windows_text(rows) if encoding == "ISO-8859-1" else rows
     known = resolve(rows.columns, aliases)
     columns = [F.col(f"`{known[n]}`").alias(n) if n in known else F.lit(None).cast("string").alias(n) for n in aliases]
     rows = rows.select(*columns, F.lit(path.rsplit("/", 1)[-1]).alias("file"), F.monotonically_increasing_id().alias("line"))
@@ -101,8 +113,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents, the corrupt ones left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", True).json(path).cache()
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", True).json(path)
+    # Spark won't tell corrupt records where nothing else is read, so the sound ones are staged.
+    return stage(rows.where("_corrupt_record IS NULL"), "metadata").drop("_corrupt_record")
 
 
 def normalised_header(names: list[str]) -> list[str]:
@@ -139,20 +152,65 @@ def write_step(rows: DataFrame, path: str, meta: list[str]) -> None:
     kept.where(some).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Values of the invented participations and their shares; parameters of the generator.
+SHARES = {
+    "sex": (("F", 0.45), ("H", 0.40), ("M", 0.15)),
+    "breed": (("SF", 0.30), ("PFS", 0.20), ("AA", 0.15), ("CO", 0.10), ("ONC", 0.15), ("KWPN", 0.10)),
+    "family": (("CSO", 0.40), ("Dressage", 0.25), ("Hunter", 0.15), ("CCE", 0.10), ("Endurance", 0.10)),
+    "level": (("Club", 0.35), ("Amateur", 0.30), ("Regional", 0.20), ("National", 0.10), ("International", 0.05)),
+    "category": (("Amateur", 0.50), ("Junior", 0.20), ("Pro", 0.20), ("Senior", 0.10)),
+}
+CLUBS = 12
+MISSING_SHARE = 0.05
+
+
 def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """Invented participations: seeded rates with noise, and five per cent nulls in three columns."""
-    rows = spark.range(n).withColumnRenamed("id", "pos")
-    skill = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.3 + 0.15 * F.randn(seed)))
-    some_null = lambda c, s: F.when(F.rand(s) >= 0.05, c)
-    pick = lambda values, s: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(F.rand(s) * len(values)) + 1).cast("int"))
-    rows = rows.select(
+    """Invented participations of 19 columns, pos beside them: a result that follows rates, age, experience and level, with noise and five per cent nulls in three columns.
+
+    Every draw is a hash of seed, draw and row, so rows don't depend on partitions. A beta(2, 3) variate is the second
+    smallest of four uniform ones, a normal one comes from two (Box-Muller).
+    """
+    uniform = lambda draw: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(draw), "pos"), 11) + 0.5) / F.lit(float(1 << 53))
+    whole = lambda draw, low, high: (F.floor(uniform(draw) * F.lit(high - low)) + low).cast("int")
+    beta = lambda draw: F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.sort_array(F.array(*[uniform(f"{draw}{i}") for i in range(4)]))[1]))
+    normal = F.sqrt(-2 * F.log(uniform("normal"))) * F.cos(2 * F.pi() * uniform("angle"))
+
+    def pick(name: str) -> Column:
+        at, cases, below = uniform(name), F.lit(None), 0.0
+        for i, (value, share) in enumerate(SHARES[name]):
+            below += share
+            cases = F.when(at < below, value) if i == 0 else cases.when(at < below, value) if i + 1 < len(SHARES[name]) else cases.otherwise(value)
+        return cases
+
+    level = F.element_at(F.create_map(*[F.lit(x) for i, (v, _) in enumerate(SHARES["level"]) for x in (v, i + 1)]), F.col("level"))
+    rows = spark.range(n).withColumnRenamed("id", "pos").select(
         "pos",
-        (F.floor(F.rand(seed + 1) * F.greatest(F.lit(n // 5), F.lit(1))) + 1).alias("horse"),
-        (F.floor(F.rand(seed + 2) * F.greatest(F.lit(n // 8), F.lit(1))) + 1).alias("rider"),
-        some_null(pick([80, 90, 100, 110, 120], seed + 3), seed + 4).alias("height"),
-        some_null(pick(["CSO", "Dressage", "Hunter", "CCE"], seed + 5), seed + 6).alias("family"),
-        pick(["Club", "Regional", "National", "Pro", "Elite"], seed + 7).alias("level"),
-        some_null(F.floor(F.rand(seed + 8) * 40 + 5).cast("int"), seed + 9).alias("field_size"),
-        skill.alias("skill"),
-    )
-    return rows.withColumn("won", (F.rand(seed + 10) < F.col("skill")).cast("int"))
+        whole("horse", 1, max(2, int(n * 0.4))).alias("horse_id"),
+        whole("rider", 1, max(2, int(n * 0.3))).alias("rider_id"),
+        whole("horse_age", 3, 22).alias("horse_age"),
+        pick("sex").alias("sex"),
+        pick("breed").alias("breed"),
+        whole("rider_age", 10, 65).alias("rider_age"),
+        pick("category").alias("category"),
+        F.format_string("Club_%02d", whole("club", 1, CLUBS + 1)).alias("club"),
+        pick("family").alias("family"),
+        pick("level").alias("level"),
+        whole("starters", 5, 100).alias("starters"),
+        whole("horse_starts", 0, 200).alias("horse_starts"),
+        whole("rider_starts", 0, 300).alias("rider_starts"),
+        beta("horse_rate").alias("horse_rate"),
+        beta("rider_rate").alias("rider_rate"),
+        normal.alias("_noise"),
+    )
+    prime = 1 - F.abs(F.col("horse_age") - 10) / 15
+    experience = F.least(F.col("horse_starts") / 100, F.lit(1.0))
+    score = 0.30 * F.col("horse_rate") + 0.25 * F.col("rider_rate") + 0.15 * prime + 0.15 * experience + 0.15 / level + 0.08 * F.col("_noise")
+    rows = rows.withColumn("_score", score)
+    rank = F.greatest(F.lit(1), (F.col("starters") * (1 - F.col("_score")) + whole("place", -3, 4)).cast("int"))
+    blank = lambda name, x: F.when(uniform(f"missing {name}") >= MISSING_SHARE, x).alias(name)
+    return rows.select(
+        "pos", "horse_id", "rider_id", F.format_string("Cheval_%04d", "horse_id").alias("horse"), F.format_string("Cavalier_%04d", "rider_id").alias("rider"), "horse_age", "sex",
+        blank("breed", F.col("breed")), blank("rider_age", F.col("rider_age")), "category", "club", "family", "level", "starters", "horse_starts", "rider_starts",
+        blank("horse_rate", F.round("horse_rate", 3)), F.round("rider_rate", 3).alias("rider_rate"), F.least(rank, F.col("starters")).alias("rk"),
+        (F.col("_score") > 0.38 + 0.17 * uniform("bar")).cast("int").alias("won"),
+    )
