@@ -205,35 +205,56 @@ def brute_verdicts(rows, prior=100.0):
     def cell(x):
         return 0.0 if x < 1e-4 else 2 * gamma ** np.ceil(np.log(x) / np.log(gamma)) / (gamma + 1)
 
-    ratio = {"word_length": (4, 3), "symbol_share": (5, 3), "dup_line_share": (7, 6), "repeat_share": (8, 3)}
+    def far(x):
+        return -np.log(1 - min(x, 1 - 1e-9))
+
+    ratio = {"word_length": (4, 3), "symbol_share": (5, 3), "dup_line_share": (7, 6), "repeat_share": (8, 3), "length": (3, None)}
     fine = [r for r in rows if not r[9]]
     out = {r[0]: [] for r in fine}
-    for m, (top, bottom) in ratio.items():
-        value = {r[0]: r[top] / r[bottom] if r[bottom] else 0.0 for r in fine}
-        for group in {r[1:3] for r in fine}:
-            every = Counter(cell(value[r[0]]) for r in fine)
-            lang = Counter(cell(value[r[0]]) for r in fine if r[1] == group[0])
-            own = Counter(cell(value[r[0]]) for r in fine if r[1:3] == group)
-            for child, parent in ((lang, every), (own, lang)):
-                total = sum(parent.values())
-                for k, v in parent.items():
-                    child[k] += prior * v / total
-            mass, run, points = sum(own.values()), 0.0, []
-            for k in sorted(own):
-                run += own[k]
-                points.append((run, k))
-            q = lambda x: next(k for at, k in points if at >= mass * (x - 1e-9))
-            for r in fine:
-                x, n = value[r[0]], r[bottom]
-                if r[1:3] != group:
+    groups = {r[1:3] for r in fine}
+
+    def points(m, group):
+        """(running weight, value) of the group's smoothed sketch, and its weight."""
+        top, bottom = ratio[m]
+
+        def spread(some):
+            weight, number = Counter(), 0
+            for r in some:
+                x = r[top] if bottom is None else r[top] / r[bottom] if r[bottom] else 0.0
+                weight[cell(x)] += r[3] if m == "symbol_share" else 1.0
+                number += 1
+            return weight, number
+
+        levels = [spread(fine), spread([r for r in fine if r[1] == group[0]]), spread([r for r in fine if r[1:3] == group])]
+        weight, number = levels[0]
+        for own, n in levels[1:]:
+            weight, number = Counter({k: own[k] + prior * weight[k] / number for k in set(own) | set(weight)}), n + prior
+        run, told = 0.0, []
+        for k in sorted(weight):
+            run += weight[k]
+            told.append((run, k))
+        return told, run
+
+    for group in groups:
+        quantile = {}
+        for m in ratio:
+            told, mass = points(m, group)
+            quantile[m] = lambda x, told=told, mass=mass: next(k for at, k in told if at >= mass * (x - 1e-9))
+        room = 1 / quantile["length"](0.5) ** 0.5
+        for r in fine:
+            if r[1:3] != group:
+                continue
+            for m, (top, bottom) in ratio.items():
+                if m == "length":
                     continue
+                q, x, n = quantile[m], r[top] / r[bottom] if r[bottom] else 0.0, r[bottom]
                 if m == "word_length":
                     width, error = 3 * (q(0.75) - q(0.25)), 0.5 * q(0.5) / n**0.5
                     bad = x > q(0.75) + width + error or x < q(0.25) - width - error
                 elif m == "symbol_share":
-                    bad = x**0.5 > 4 * q(0.75) ** 0.5 - 3 * q(0.25) ** 0.5 + 2.5 / n**0.5
+                    bad = x**0.5 > 8 * q(0.5) ** 0.5 - 7 * q(0.25) ** 0.5 + room + 2.5 / n**0.5
                 else:
-                    bad = x > 4 * q(0.99) - 3 * q(0.5)
+                    bad = far(x) > 4 * far(q(0.99)) - 3 * far(q(0.5))
                 out[r[0]] += [m] * bool(bad)
     return out
 
@@ -252,10 +273,10 @@ def planted_groups():
     add("prose", 200, 1000, 60, 100, 0, 0)  # as code has it, but not prose
     add("code", 200, 1300, 60, 100, 0, 0)
     add("prose", 200, 1300, 0, 100, 0, 0)  # words as long as in code
-    add("prose", 200, 1000, 0, 100, 48, 0)  # lines repeat as in poems
-    add("poems", 200, 850, 0, 100, 48, 0)
-    add("prose", 200, 1000, 0, 100, 0, 95)
-    add("poems", 200, 850, 0, 100, 0, 95)
+    add("prose", 200, 1000, 0, 100, 40, 0)  # lines repeat as in poems
+    add("poems", 200, 850, 0, 100, 40, 0)
+    add("prose", 200, 1000, 0, 100, 0, 80)
+    add("poems", 200, 850, 0, 100, 0, 80)
     add(None, 60, 300, 0, 10, 0, 0, None)  # groups of one row follow their parents
     add("new", 60, 300, 55, 10, 0, 0, "fr")
     add("prose", 10, 50, 0, 1, 0, 0, "en", True)
@@ -275,7 +296,37 @@ def test_fences_follow_their_groups_as_brute_force_has_it(spark):
     assert want[base + 5] == ["repeat_share"] and want[base + 6] == []
     assert sum(map(bool, want.values())) <= 8  # ordinary rows of every group stay
     one_fence = {r[0]: f for r, f in zip(rows, brute_verdicts([(*r[:1], "x", "x", *r[3:]) for r in rows], 5).values(), strict=False)}
-    assert one_fence[base] == [] and one_fence[base + 2] == []  # a fence for all would miss them
+    # A fence for all would miss the long words, and drop the code for its symbols.
+    assert one_fence[base + 2] == [] and sum(one_fence[r[0]] == ["symbol_share"] for r in rows if r[2] == "code") > 200
+
+
+@pytest.mark.parametrize("share", [0.0, 0.0005, 0.002, 0.02])
+def test_symbols_are_judged_alike_in_short_and_long_texts(spark, share):
+    """Most texts are short and hold no symbol, so their quartiles are 0, whatever the share is."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(600):
+        n = int(np.exp(rng.uniform(np.log(50), np.log(300)))) if k % 6 else int(np.exp(rng.uniform(np.log(300), np.log(20_000))))
+        rows.append((k, "en", "web", n, int(5 * n + rng.normal(0, 0.1) * n + rng.normal(0, 2.5) * n**0.5), int(rng.poisson(share * n)), 10, 0, 0, False))
+    junk = [(1000 + i, "en", "web", n, 5 * n, int(n * (5 * share + 0.3)), 10, 0, 0, False) for i, n in enumerate([50, 200, 1000, 5000, 20_000] * 8)]
+    stats = spark.createDataFrame(rows + junk, STATS)
+    got = {r.doc_id: r for r in quality_rules.verdict(stats, quality_rules.fences(quality_rules.sketch(stats), 100)).collect()}
+    assert sum(not got[r[0]].kept for r in rows) <= 1
+    assert all(got[r[0]].failed_rules == ["symbol_share"] for r in junk)
+    few = [(2000 + i, "en", "web", n, 5 * n, 7, 10, 0, 0, False) for i, n in enumerate([60, 400, 3000, 20_000])]
+    told = spark.createDataFrame(rows + junk + few, STATS)
+    kept = {r.doc_id: r.kept for r in quality_rules.verdict(told, quality_rules.fences(quality_rules.sketch(told), 100)).collect()}
+    assert kept[2001] and kept[2002] and kept[2003]  # seven symbols in a long text are nothing
+
+
+def test_every_rule_can_fire(spark):
+    rows = planted_groups()
+    fired = {rule for rules in brute_verdicts(rows, 5).values() for rule in rules}
+    assert fired == set(quality_rules.METRICS)
+    # However many lines repeat in a group, a document of nothing else fails.
+    rough = [(k, "en", "s", 200, 1000, 0, 100, (k % 10) * 4, 0, False) for k in range(200)] + [(999, "en", "s", 200, 1000, 0, 100, 99, 0, False)]
+    stats = spark.createDataFrame(rough, STATS)
+    assert [r.doc_id for r in quality_rules.verdict(stats, quality_rules.fences(quality_rules.sketch(stats), 5)).where("NOT kept").collect()] == [999]
 
 
 def labelled(spark, n=400):

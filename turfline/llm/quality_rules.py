@@ -10,13 +10,17 @@ Small groups: a group's sketch is its own counts plus `prior` further rows that
 as in its language, and a language's plus `prior` rows spread as everything. So a fence
 moves from its parent's place to its own as a group grows, without a switch.
 
-Fences, with quantiles of the group: the mean word length fails beyond 3 quartile ranges from
-the quartiles; the share of symbols, by its square root (which has the same sampling error at
-any share), above the same fence; both by more than the document's own sampling error: one
-standard error of a mean of n word lengths, five of a share among n words. The shares of repeats
-are 0 in most documents, so that quartiles say nothing of them: these fail above
-Q99 + 3 * (Q99 - median), which in a clean group lies far below the base cutoff. Documents that
-fail the base rules are outside the sketches, so that plain junk cannot move a fence.
+Fences, with quantiles of the group:
+* The mean word length fails beyond 3 quartile ranges from the quartiles, by more than one standard error of a
+  mean of n word lengths.
+* The share of symbols is read by its square root, which has the same sampling error at any share. Its quantiles are
+  weighted by words, so that long texts, whose shares are sure, say what is usual, and not the zeros of short ones.
+  It fails above Q50 + 7 * (Q50 - Q25), which junk can't move while it holds under half of a group's words, by more than
+  one symbol in a text of the group's median length and five standard errors of a share among n words. So a
+  short text and a long one of equal habits are judged alike.
+* The shares of repeats are 0 in most documents, so that quartiles say nothing of them: by -log(1 - x), on which no fence lies
+  beyond 1, these fail above Q99 + 3 * (Q99 - Q50), which in a clean group lies far below the base cutoff.
+Documents that fail the base rules are outside the sketches, so that plain junk cannot move a fence.
 
 Defined results: a null text has no words and fails the base rules; null lang or
 source are groups of their own; repeated rows count each; an empty table gives no
@@ -39,15 +43,15 @@ from .skew import small_or_joined
 from .text_stats import text_stats
 from .workers import give_back
 
-#: metric -> (numerator, denominator, lower and upper quantile, sampling error by the root of the denominator, whether low values fail too)
+#: metric -> (numerator, denominator, weight, lower and upper quantile, how far beyond the upper one its fence lies in distances of the two, sampling error by the root of the denominator, whether low values fail too)
 METRICS = {
-    "word_length": ("word_chars", "n_words", 0.25, 0.75, 0.5, True),
-    "symbol_share": ("n_symbols", "n_words", 0.25, 0.75, 2.5, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.5, 0.99, 0.0, False),
-    "repeat_share": ("n_repeat_words", "n_words", 0.5, 0.99, 0.0, False),
+    "word_length": ("word_chars", "n_words", None, 0.25, 0.75, 3, 0.5, True),
+    "symbol_share": ("n_symbols", "n_words", "n_words", 0.25, 0.5, 7, 2.5, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", None, 0.5, 0.99, 3, 0.0, False),
+    "repeat_share": ("n_repeat_words", "n_words", None, 0.5, 0.99, 3, 0.0, False),
 }
-#: How far beyond the upper quantile a fence lies, in distances of the two quantiles.
-STRETCH = 3
+#: Sketched beside them: the number of words.
+LENGTH = "length"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _GAMMA = 1.02 / 0.98
 _LEAST = 1e-4
@@ -75,15 +79,19 @@ def _ratio(metric: str) -> F.Column:
 
 
 def _scaled(metric: str, x: F.Column) -> F.Column:
-    return F.sqrt(x) if metric == "symbol_share" else x
+    if metric == "symbol_share":
+        return F.sqrt(x)
+    return -F.log(1 - F.least(x, F.lit(1 - 1e-9))) if METRICS[metric][1] == "n_lines" or metric == "repeat_share" else x
 
 
 def sketch(stats: DataFrame) -> DataFrame:
-    """lang, source, metric, bucket, n. Bucket i holds (g^(i-1), g^i]; null bucket -1000: about 0."""
-    ratios = F.array(*[F.struct(F.lit(m).alias("metric"), _ratio(m).alias("x")) for m in METRICS])
-    long = stats.where(~F.col("base_failed")).select("lang", "source", F.explode(ratios).alias("r")).select("lang", "source", "r.metric", "r.x")
+    """lang, source, metric, bucket, n, w: documents and their weight. Bucket i holds (g^(i-1), g^i]; bucket -1000: about 0."""
+    weighed = lambda m: F.col(METRICS[m][2]).cast("double") if METRICS[m][2] else F.lit(1.0)
+    ratios = [F.struct(F.lit(m).alias("metric"), _ratio(m).alias("x"), weighed(m).alias("weight")) for m in METRICS]
+    ratios.append(F.struct(F.lit(LENGTH).alias("metric"), F.col("n_words").cast("double").alias("x"), F.lit(1.0).alias("weight")))
+    long = stats.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*ratios)).alias("r")).select("lang", "source", "r.*")
     bucket = F.when(F.col("x") < _LEAST, F.lit(-1000)).otherwise(F.ceil(F.log(F.col("x")) / math.log(_GAMMA)).cast("int"))
-    return long.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -98,41 +106,44 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
 
 
 def smoothed(sketched: DataFrame, prior: float) -> DataFrame:
-    """The sketch of each (lang, source) with `prior` rows spread as in its language, whose own has as many spread as everything."""
-    parent = sketched.groupBy("metric", "bucket").agg(F.sum("n").cast("double").alias("n"))
+    """The sketch of each (lang, source) with `prior` documents spread as in its language, whose own has as many spread as everything."""
+    total = [F.sum("n").cast("double").alias("n"), F.sum("w").alias("w")]
+    parent = sketched.groupBy("metric", "bucket").agg(*total)
     keys: list[str] = []
     for group in (["lang"], ["lang", "source"]):
         every = parent.groupBy(*keys, "metric").agg(F.sum("n").alias("_all"))
         parent = _same(parent, every.toDF(*[f"_k{i}" for i in range(len(keys))], "_metric", "_all").withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keys)} | {"_metric": "metric"}), [*keys, "metric"], "inner")
-        parent = parent.select(*keys, "metric", "bucket", (F.lit(float(prior)) * F.col("n") / F.col("_all")).alias("n"))
-        own = sketched.groupBy(*group, "metric", "bucket").agg(F.sum("n").cast("double").alias("n"))
+        parent = parent.select(*keys, "metric", "bucket", *[(F.lit(float(prior)) * F.col(c) / F.col("_all")).alias(c) for c in ("n", "w")])
+        own = sketched.groupBy(*group, "metric", "bucket").agg(*total)
         groups = own.select(*group, "metric").distinct()
         spread = _same(groups, parent, [*keys, "metric"], "inner")
-        parent = spread.unionByName(own).groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
+        parent = spread.unionByName(own).groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
         keys = group
     return parent
 
 
 def quantiles(sketched: DataFrame, group: list[str]) -> DataFrame:
-    """Merge sketches to `group` and read the quantiles: group, metric, total, q25, q50, q75, q99."""
-    merged = sketched.groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
+    """Merge sketches to `group` and read the weighted quantiles: group, metric, total (the weight), q25, q50, q75, q99."""
+    merged = sketched.groupBy(*group, "metric", "bucket").agg(F.sum("w").alias("w"))
     part = Window.partitionBy(*group, "metric")
-    run = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket"))).withColumn("total", F.sum("n").over(part))
+    run = merged.withColumn("upto", F.sum("w").over(part.orderBy("bucket"))).withColumn("total", F.sum("w").over(part))
     value = F.when(F.col("bucket") == -1000, F.lit(0.0)).otherwise(2 * F.pow(F.lit(_GAMMA), F.col("bucket")) / (_GAMMA + 1))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * (q - 1e-12), value)).alias(f"q{round(100 * q)}")
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * (q - 1e-9), value)).alias(f"q{round(100 * q)}")
     return run.groupBy(*group, "metric").agg(F.max("total").alias("total"), *map(at, (0.25, 0.5, 0.75, 0.99)))
 
 
 def fences(sketched: DataFrame, prior: float) -> DataFrame:
     """lang, source and per metric a lower and an upper fence and the unit of sampling error, on the metric's scale."""
     found = quantiles(smoothed(sketched, prior), ["lang", "source"])
+    length = F.max(F.when(F.col("metric") == LENGTH, F.col("q50")))
     out = []
-    for m, (_, _, low, high, error, both) in METRICS.items():
+    for m, (_, _, _, low, high, stretch, error, both) in METRICS.items():
         at = lambda q, m=m: F.max(F.when(F.col("metric") == m, _scaled(m, F.col(f"q{round(100 * q)}"))))
-        width = STRETCH * (at(high) - at(low))
+        width = stretch * (at(high) - at(low))
+        room = 1 / F.sqrt(length) if m == "symbol_share" else F.lit(0.0)
         out += [
             (at(low) - width if both else F.lit(None).cast("double")).alias(f"{m}_lower"),
-            (at(high) + width).alias(f"{m}_upper"),
+            (at(high) + width + room).alias(f"{m}_upper"),
             (error * at(0.5) if m == "word_length" else F.lit(error)).alias(f"{m}_error"),
         ]
     return found.groupBy("lang", "source").agg(*out)
