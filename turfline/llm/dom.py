@@ -19,6 +19,7 @@ BLOCKS = frozenset(
     "blockquote pre address figure figcaption details summary hgroup hr center dialog menu search".split()
 )
 SKIPPED = frozenset("head script style noscript template svg math iframe object canvas audio video select textarea button title datalist".split())
+TO_THE_END = frozenset("script style noscript iframe textarea title".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
 #: The tag of a run's own node right under the root.
 TEXT = "#text"
@@ -108,8 +109,8 @@ def parse(html: str | None) -> Page:
         rest = m[3] if m[2] else m[6]
         if name in SKIPPED:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            if close and not rest.endswith("/"):
-                at = close.end()
+            if not rest.endswith("/"):  # without an end tag these hold the rest of the page
+                at = close.end() if close else end if name in TO_THE_END else at
             if name in ("select", "textarea", "button"):
                 page.inputs[stack[-1]] += 1
             continue

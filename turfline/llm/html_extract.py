@@ -1,15 +1,18 @@
 """Main text of HTML pages by boosted trees over DOM nodes and hierarchical decoding.
 
-Every block element, and every run of text right under the root, is a node with features of its tag, attribute words, subtree
-(text, link density, punctuation, paragraphs), depth, place and siblings. Boosted trees
-give the probability that its subtree holds main text. Decoding then picks the most
+Every block element, and every run of text right under the root, is a node with features of its tag, attribute tokens, subtree
+(text, link density, punctuation, paragraphs), depth, place and siblings (how long they are, and how many have
+the same shape, as comments do). Attribute tokens are hashed, and a token counts by how often elements with it held main
+text in training, which says nothing of tokens that were not seen there. Boosted trees
+give the probability that a node's subtree holds main text. Decoding then picks the most
 likely consistent labelling of the tree: below a dropped node everything is
 dropped, and a kept node without text of its own has a kept child, so ancestors and
 descendants never contradict each other. The kept nodes' runs of text, in page
 order, are the result.
 
 The trees are fitted on invented pages with known main text (page_templates), once on
-the driver; the pages are a parameter and no page of the input is needed.
+the driver; the pages are a parameter and no page of the input is needed. Half of them have meaningless names throughout,
+so that structure must do where names don't help. Odds of tokens are taken from other pages than those whose nodes they describe.
 
 Scale: one pass over the pages without a shuffle; the model is a few kilobytes.
 
@@ -21,8 +24,11 @@ input columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -31,27 +37,39 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .dom import TEXT, Page, parse
-from .page_templates import CONTENT_NAMES, NOISE_NAMES, ROLES, labelled_page, loose_page
+from .page_templates import labelled_page, loose_page
 
 _TAG_GROUPS = ("p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "article", "main", "section", "div center", "nav menu", "header hgroup", "footer address", "aside", "form fieldset search dialog", "table thead tbody tfoot tr td th", "blockquote pre figure", TEXT)
-_PLAIN = {"box", "inner", "wide", "col", "main", "site", "page", "top", "bottom", "right", "column", "area", "list", "section", "body", "text", "user", "side", "bar", "most", "read", "slot", "links", "link", "buttons", "popup", "message", "credits", "contact", "reader"}
-_NOISE_WORDS = {k: {w for n in names for w in n.split("-")} - _PLAIN | ({ROLES[k]} if k in ROLES else set()) for k, names in NOISE_NAMES.items()}
-_NOISE_WORDS["comments"] |= {"comment", "reply", "response"}
-_NOISE_WORDS["header"] -= {"logo"}
-_CONTENT_WORDS = {w for n in CONTENT_NAMES for w in re.split("[-_]+", n)} - {"page", "main"} | {"articlebody"}
-_KINDS = [*_NOISE_WORDS, "hidden"]
 _GROUP = {t: i for i, g in enumerate(_TAG_GROUPS) for t in g.split()}
 _WORDS = re.compile("[a-z]+")
 
 
+#: Log-odds that are added to every node of a page without main text.
+BENEFIT = 2.5
+#: Buckets of attribute tokens, and elements that a bucket counts for without any of its own.
+TOKENS, DOUBT = 4096, 4.0
+
+
 @lru_cache(maxsize=100_000)
-def _attribute_flags(attributes: str) -> tuple[float, ...]:
-    words = set(_WORDS.findall(attributes))
-    return (*(float(bool(words & _NOISE_WORDS[k])) for k in _NOISE_WORDS), float("hidden" in words), float(bool(words & _CONTENT_WORDS)))
+def token_buckets(attributes: str) -> tuple[int, ...]:
+    """Buckets of the names in an element's attributes and of the words in them."""
+    return tuple(sorted({crc32(t.encode()) % TOKENS for t in (*attributes.split(), *_WORDS.findall(attributes))}))
+
+
+def token_odds(pages: list[Page], kept: list[list[bool]]) -> np.ndarray:
+    """Per bucket how much likelier its elements hold main text than others: log-odds, 0 for what was hardly seen."""
+    held, every = np.zeros(TOKENS), np.zeros(TOKENS)
+    for page, labels in zip(pages, kept, strict=True):
+        for attributes, keep in zip(page.attributes[1:], labels[1:], strict=True):
+            at = list(token_buckets(attributes))
+            every[at] += 1
+            held[at] += keep
+    share = min(max(held.sum() / max(every.sum(), 1.0), 0.01), 0.99)
+    return np.log((held + DOUBT * share) / (every - held + DOUBT * (1 - share))) - np.log(share / (1 - share))
 
 
-def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all nodes of some pages, and where each page begins."""
+def node_features(pages: list[Page], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all nodes of some pages, and where each page begins; odds: see token_odds."""
     starts = np.concatenate([[0], np.cumsum([len(p.tags) for p in pages])])
     n = int(starts[-1])
     page_of = np.repeat(np.arange(len(pages)), np.diff(starts))
@@ -63,18 +81,18 @@ def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
         depth[i] = depth[parent[i]] + 1
     depth[root] = 0
     group = np.array([_GROUP.get(t, 7) for p in pages for t in p.tags], int)
-    flags = np.array([_attribute_flags(a) for p in pages for a in p.attributes]).reshape(n, -1)
+    told = [odds[list(token_buckets(a))] if a else odds[:0] for p in pages for a in p.attributes]
+    # How far an element's tokens speak against main text and for it, and whether it is hidden.
+    flags = np.array([(-min(0.0, x.min(initial=0.0)), max(0.0, x.max(initial=0.0)), float("hidden" in a.split())) for x, a in zip(told, (a for p in pages for a in p.attributes), strict=True)]).reshape(n, 3)
     own = np.zeros((n, 8))  # chars, words, marks, runs, link chars, inputs, paragraphs, items
     first = np.zeros(n)
     for p, s in zip(pages, starts, strict=False):
-        at = 0
         for node, text in p.runs:
             row = own[s + node]
             row[0] += len(text)
             row[1] += text.count(" ") + 1
             row[2] += text.count(".") + text.count(",")
             row[3] += 1
-            at += len(text)
         own[s : s + len(p.tags), 4] = p.links
         own[s : s + len(p.tags), 5] = p.inputs
     own[:, 6] = group == 0
@@ -99,6 +117,28 @@ def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         rank[i] = seen.get(parent[i], 0)
         seen[parent[i]] = int(rank[i]) + 1
+    # The shape of an element: its tag and its children's shapes, repeats of a kind as one. Siblings of one shape are twins.
+    shape = np.zeros(n, np.int64)
+    inner_shapes: dict[int, list[int]] = {}
+    names: dict[tuple, int] = {}
+    for i in range(n - 1, -1, -1):  # children come first
+        below = inner_shapes.pop(i, [])
+        plain = [c for k, c in enumerate(below) if k == 0 or below[k - 1] != c]
+        shape[i] = names.setdefault((group[i], *plain), len(names))
+        if parent[i] != i:
+            inner_shapes.setdefault(int(parent[i]), []).append(int(shape[i]))
+    kin = Counter(zip(parent.tolist(), shape.tolist(), strict=True))
+    twins = np.array([kin[p, c] for p, c in zip(parent.tolist(), shape.tolist(), strict=True)], float)
+    bushy = children > 0
+    most_twins = np.zeros(n)  # among an element's children that have children themselves
+    np.maximum.at(most_twins, parent[bushy], twins[bushy])
+    opening, dated = np.zeros(n), np.zeros(n)  # the first run inside an element with others: an author's name and a date are short
+    for p, s in zip(pages, starts, strict=False):
+        for node, text in reversed(p.runs):
+            at, digits = p.parents[node], sum(map(text.count, "0123456789"))
+            while at > 0:
+                opening[s + at], dated[s + at] = len(text), digits / len(text)
+                at = p.parents[at]
     # the sibling before and after: their text and whether they are plain paragraphs
     prior, after = np.full(n, -1), np.full(n, -1)
     last: dict[int, int] = {}
@@ -114,8 +154,12 @@ def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
             *(group == g for g in range(len(_TAG_GROUPS))),
             flags,
             before,
-            flags[:, : len(_KINDS)].max(axis=1),
-            before[:, : len(_KINDS)].max(axis=1),
+            np.log1p(twins),
+            np.log1p(twins) * bushy,
+            np.log1p(most_twins),
+            np.log1p(most_twins[parent]),
+            np.log1p(opening),
+            dated,
             *(group[parent] == g for g in (2, 4, 5, 7, 8, 9, 10, 11, 12)),
             np.log1p(total[:, 0]),
             np.log1p(own[:, 0]),
@@ -176,31 +220,47 @@ def decode(parents: list[int], own_text: np.ndarray, margin: np.ndarray) -> np.n
     return keep
 
 
+@dataclass(frozen=True)
+class Extractor:
+    """Boosted trees and the odds of attribute tokens."""
+
+    trees: boosting.Boosted
+    odds: np.ndarray
+
+
 @lru_cache(maxsize=4)
-def fit_extractor(pages: int = 800, seed: int = 2) -> boosting.Boosted:
-    """Boosted trees fitted on that many invented pages and half as many with text right in the body; the same arguments give the same trees."""
-    made = [labelled_page(seed * 1_000_003 + i) for i in range(pages)] + [loose_page(seed * 1_000_003 + i) for i in range(pages // 2)]
-    parsed = [parse(html) for html, _ in made]
-    for p, (_, kept) in zip(parsed, made, strict=True):
-        if len(p.tags) != len(kept):
+def fit_extractor(pages: int = 800, seed: int = 2) -> Extractor:
+    """Fitted on that many invented pages and half as many with text right in the body, every second one with meaningless names; the same arguments give the same trees."""
+    made = [labelled_page(seed * 1_000_003 + i, bool(i % 2)) for i in range(pages)] + [loose_page(seed * 1_000_003 + i, bool(i % 2)) for i in range(pages // 2)]
+    parsed, kept = [parse(html) for html, _ in made], [k for _, k in made]
+    for p, labels in zip(parsed, kept, strict=True):
+        if len(p.tags) != len(labels):
             raise AssertionError("a template's elements don't match its labels")
-    x, _ = node_features(parsed)
-    return boosting.fit(x, np.array([k for _, kept in made for k in kept], float))
+    # Two neighbours, one with names and one without, go to the same half.
+    halves = [[i for i in range(len(made)) if i // 2 % 2 == h] for h in (0, 1)]
+    x, y = [], []
+    for mine, others in (halves, halves[::-1]):
+        odds = token_odds([parsed[i] for i in others], [kept[i] for i in others])
+        x.append(node_features([parsed[i] for i in mine], odds)[0])
+        y += [k for i in mine for k in kept[i]]
+    return Extractor(boosting.fit(np.concatenate(x), np.array(y, float)), token_odds(parsed, kept))
 
 
-def extract_pages(pages: list[Page], model: boosting.Boosted) -> list[str]:
-    x, starts = node_features(pages)
-    margin = model.margin(x)
+def extract_pages(pages: list[Page], model: Extractor) -> list[str]:
+    x, starts = node_features(pages, model.odds)
+    margin = model.trees.margin(x)
     out = []
     for p, s, e in zip(pages, starts[:-1], starts[1:], strict=True):
         own = np.zeros(e - s, bool)
         own[[node for node, _ in p.runs]] = True
         keep = decode(p.parents, own, margin[s:e])
+        if not keep[1:].any():  # most pages have a main text, so one that seems to have none gets the benefit of the doubt
+            keep = decode(p.parents, own, margin[s:e] + BENEFIT)
         out.append("\n".join(text for node, text in p.runs if keep[node]))
     return out
 
 
-def extract_main_text(pages: DataFrame, model: boosting.Boosted | None = None, chunk: int = 500) -> DataFrame:
+def extract_main_text(pages: DataFrame, model: Extractor | None = None, chunk: int = 500) -> DataFrame:
     """page_id, url, text, n_chars: one row per page, from its whole html."""
     model = model or fit_extractor()
 

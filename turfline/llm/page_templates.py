@@ -8,6 +8,7 @@ syllables, the same for both kinds, so that only structure can tell them apart.
 from __future__ import annotations
 
 import random
+import re
 
 #: Names that sites commonly give to parts of a page.
 CONTENT_NAMES = "content article-body post-content entry-content story article post main-content body-text text page-content entry blog-post news-article article__content storytext".split()
@@ -27,9 +28,21 @@ _SYLLABLES = "ba co di fu ge ha in jo ku le mi no or pa qui re sa ti un ver wa x
 
 
 class _Maker:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, meaningless: bool = False):
         self.r = random.Random(seed)
         self.kept: list[bool] = []
+        self.meaningless, self.renamed = meaningless, {}
+
+    def attributes(self, text: str) -> str:
+        """Attributes as they are, or with each name replaced by a meaningless one, the same for the whole page."""
+        if not self.meaningless or not text:
+            return text
+
+        def other(m: re.Match) -> str:
+            made = [self.renamed.setdefault(n, "".join(self.r.choices("abcdefghijklmnopqrstuvwxyz", k=self.r.randint(2, 8))) + self.r.choice(["", "-" + self.r.choice("abcdefgh"), str(self.r.randint(0, 99))])) for n in m[2].split()]
+            return f'{m[1]}="{" ".join(made)}"'
+
+        return re.sub(' role="[^"]*"', "", re.sub(r'(class|id)="([^"]*)"', other, text))
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -41,7 +54,7 @@ class _Maker:
         """A block element; `inner` is text or a function that makes the children."""
         self.kept.append(kept)
         body = inner() if callable(inner) else inner
-        return f"<{tag}{attributes}>{body}</{tag}>"
+        return f"<{tag}{self.attributes(attributes)}>{body}</{tag}>"
 
     def named(self, names: list[str], sure: float = 0.9) -> str:
         r = self.r
@@ -77,7 +90,7 @@ class _Maker:
         if kind == "nav":
             tag = r.choice(["nav", "nav", "div", "ul"])
             if tag == "ul":
-                return self.links().replace("<ul>", f"<ul{self.named(NOISE_NAMES[kind])}>", 1)
+                return self.links().replace("<ul>", f"<ul{self.attributes(self.named(NOISE_NAMES[kind]))}>", 1)
             return self.el(tag, False, lambda: r.choice([self.links, lambda: " ".join(self.link() for _ in range(r.randint(3, 9)))])(), self.named(NOISE_NAMES[kind], 0.4 if tag == "nav" else 1))
         if kind == "header":
             tag = r.choice(["header", "div"])
@@ -111,9 +124,22 @@ class _Maker:
             item = "li" if tag in ("ol", "ul") else r.choice(["div", "article", "p"])
             name = r.choice(["comment", "reply", "response", "comment-body"])
 
+            marked, signed, plain = r.random() < 0.7, r.random() < 0.6, r.random() < 0.3
+            if self.meaningless and item != "li":  # without names, bare paragraphs could be an article's
+                item, signed = "div" if item == "p" else item, True
+            signature = r.choice(["div", "p", "header", "h4"])
+
+            def sign() -> str:
+                date = r.choice([f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{r.randint(10, 25)}", f"{r.randint(1, 59)} min", f"20{r.randint(10, 25)}-0{r.randint(1, 9)}-1{r.randint(0, 9)} 1{r.randint(0, 9)}:3{r.randint(0, 9)}"])
+                who = r.choice(["<b>{}</b>", "{}", '<a href="/u">{}</a>']).format(self.words(1, 2).strip(".!"))
+                return r.choice([f"{who} {date}", f"{date} - {who}", who])
+
             def one() -> str:
-                mark = f' class="{name}"' if r.random() < 0.7 else ""
-                body = (lambda: self.words(3, 70)) if item == "p" or r.random() < 0.4 else (lambda: self.paragraph(False, 3, 70))
+                mark = f' class="{name}"' if marked else ""
+                text = lambda: "".join(self.paragraph(False, 3, 70) for _ in range(r.choice([1, 1, 1, 2])))
+                body = (lambda: self.words(3, 70)) if item == "p" or plain else text
+                if signed and item != "p":
+                    return self.el(item, False, lambda: self.el(signature, False, sign()) + text() + (self.el("div", False, '<a href="#">' + self.words(1, 1) + "</a>") if plain else ""), mark)
                 return self.el(item, False, body, mark)
 
             head = (lambda: self.el(r.choice(["h2", "h3"]), False, self.words(1, 4))) if item != "li" else (lambda: "")
@@ -236,13 +262,13 @@ class _Maker:
         return out
 
 
-def labelled_page(seed: int) -> tuple[str, list[bool]]:
-    """A page and, for the root and every block element in page order, whether it holds main text."""
-    maker = _Maker(seed)
+def labelled_page(seed: int, meaningless: bool = False) -> tuple[str, list[bool]]:
+    """A page and, for the root and every block element in page order, whether it holds main text; with `meaningless` its names say nothing."""
+    maker = _Maker(seed, meaningless)
     return maker.page(), maker.kept
 
 
-def loose_page(seed: int) -> tuple[str, list[bool]]:
+def loose_page(seed: int, meaningless: bool = False) -> tuple[str, list[bool]]:
     """As labelled_page, with runs of text right in the body, each with its own label."""
-    maker = _Maker(seed)
+    maker = _Maker(seed, meaningless)
     return maker.loose(), maker.kept
