@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html_context, html_rows, html_select
+from ..functions import text as t
 from ..operators import chain, controls, extraction
 from .bindings import table
 from .define import query
@@ -313,3 +314,57 @@ def chained_rows(spark: SparkSession, d: str) -> DataFrame:
     r, up = F.col("record"), F.col("inherited")
     cell = F.coalesce(r["Region"], r["Nation"], r["Client"], r["Commande"])
     return rows.select("step_id", "source_url", cell.alias("cell"), F.coalesce(r["Segment"], r["Etat"]).alias("segment"), up["Region"].alias("region"), up["Nation"].alias("nation"), up["Client"].alias("client"))
+
+
+# Forms: a page a supplier.
+
+
+def form_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Three forms that take different names, and values that fit the first, two alike, the third or none of them."""
+    nations = table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))  # one row, as many entries as nations
+    rows = table(spark, d, "supplier").join(F.broadcast(nations))
+    options = _joined(F.transform("nations", lambda n: F.concat(F.lit("<option"), F.when(n["n_nationkey"] == F.col("s_nationkey"), " selected").otherwise(""), F.lit(">"), n["n_name"], F.lit("</option>"))))
+    html = F.concat(
+        F.lit('<form action="-"><input name="q" value="vide"></form><form action="../f1" method="post"><textarea name="note"></textarea><input type="hidden" name="jeton" value="'), F.col("s_suppkey"),
+        F.lit('"><input name="nom" value="x"><select name="pays">'), options, F.lit('</select><input type="checkbox" name="actif" checked><input type="checkbox" name="autre"><input type="submit" name="ok" value="1"></form>'
+        '<form action="https://other.example/f2"><input name="nom"><input name="ville"><input type="hidden" name="ville" value="caché"><textarea name="note"></textarea></form>'),
+    )
+    values = F.element_at(
+        F.array(
+            F.create_map(F.lit("q"), F.lit("a b&c"), F.lit("vide"), F.lit("")),
+            F.create_map(F.lit("nom"), F.col("s_name"), F.lit("note"), F.lit("é")),
+            F.create_map(F.lit("ville"), F.lit("X"), F.lit("nom"), F.lit("")),
+            F.create_map(F.lit("inconnu"), F.lit("1"), F.lit("inconnu2"), F.lit("")),
+        ),
+        (F.col("s_suppkey") % 4 + 1).cast("int"),
+    )
+    return rows.select("s_suppkey", html.alias("html"), F.concat(F.lit(f"{_SITE}/s/"), "s_suppkey", F.lit("/?p=1")).alias("page_url"), values.alias("values"))
+
+
+@query(
+    f"""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS form, CASE s_suppkey % 4 WHEN 0 THEN 1 ELSE 2 END AS score, CASE s_suppkey % 4 WHEN 1 THEN 'POST' ELSE 'GET' END AS method,
+  CASE s_suppkey % 4 WHEN 0 THEN '{_SITE}/s/' || s_suppkey || '/?p=1' WHEN 1 THEN '{_SITE}/s/f1' ELSE 'https://other.example/f2' END AS target,
+  CASE s_suppkey % 4 WHEN 0 THEN 'q=a+b%26c' WHEN 1 THEN 'jeton=' || s_suppkey || '&nom=' || replace(url_encode(s_name), '%20', '+') || '&actif=on&pays=' || replace(url_encode(n_name), '%20', '+') || '&note=%C3%A9' ELSE 'nom=&ville=cach%C3%A9' END AS body,
+  CASE s_suppkey % 4 WHEN 0 THEN '{_SITE}/s/' || s_suppkey || '/?q=a+b%26c' WHEN 1 THEN '{_SITE}/s/f1' ELSE 'https://other.example/f2?nom=&ville=cach%C3%A9' END AS url
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 < 3"""
+)
+def form_submissions(spark: SparkSession, d: str) -> DataFrame:
+    """What the best form of every page sends for a set of values."""
+    pages = form_pages(spark, d)
+    return controls.submissions(generated(pages, "s_suppkey", "html_submits"), pages, "s_suppkey").withColumn("score", F.col("score").cast("int"))
+
+
+@query(
+    f"""WITH x AS (SELECT s_suppkey, '{_SITE}/s/' || s_suppkey || '?a=1&a=2#top' AS url FROM supplier)
+SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '{_SITE}/s/' || s_suppkey || '?a=1&a=2&b=x+y#top' WHEN 1 THEN '{_SITE}/s/' || s_suppkey || '?a=' || s_suppkey || '#top'
+  WHEN 2 THEN '{_SITE}/s/' || s_suppkey || '?cs=4.' || s_suppkey || '&b=2#top' WHEN 3 THEN '{_SITE}/autre?z=1#top' ELSE 'https://other.example/?c=1' END AS url FROM x"""
+)
+def filtered_urls(spark: SparkSession, d: str) -> DataFrame:
+    """URLs moved and completed by filter values: links among them, and parameters."""
+    m = lambda *pairs: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in pairs])
+    key = F.col("s_suppkey").cast("string")
+    values = F.element_at(
+        F.array(m("b", "x y", "c", ""), m("a", key), m("u", F.concat(F.lit("?cs=4."), key), "b", "2"), m("u", "?q=0", "v", "/autre?z=1"), m("u", "https://other.example/", "c", "1")), (F.col("s_suppkey") % 5 + 1).cast("int")
+    )
+    rows = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit(f"{_SITE}/s/"), key, F.lit("?a=1&a=2#top")).alias("url"), values.alias("values"))
+    return rows.select("s_suppkey", t.url_with_filters(F.col("url"), F.col("values")).alias("url"))
