@@ -206,6 +206,16 @@ def _table_headings(table: Node) -> Iterator[tuple[str, str]]:
         yield from (("ancestor", t) for n in above.children if n.tag in _HEADINGS and (t := n.text()))
 
 
+class HtmlMenus:
+    """menu, position, label, href: the entries of every dropdown menu of a page."""
+
+    def eval(self, html: str):
+        entry = lambda n: n.tag == "a" and "dropdown-item" in n.attrs.get("class", "").split()
+        for m, menu in enumerate(n for n in tree(html).walk() if n.tag == "div" and "dropdown-menu" in n.attrs.get("class", "").split()):
+            for i, n in enumerate(x for x in menu.walk() if entry(x)):
+                yield m, i, n.text(), n.attrs.get("href", "")
+
+
 class HtmlTargets:
     """kind, number, selector, name, position, sample: data rows of tables that have an id or a telling class, and cells by class that hold a link."""
 
@@ -249,6 +259,7 @@ _RETURNS = {
         HtmlAnchors,
         "position int, text string, href string, onclick string, cell boolean, headings array<struct<place: string, text: string>>, near string, inherited string, declared string",
     ),
+    "html_menus": (HtmlMenus, "menu int, position int, label string, href string"),
     "html_targets": (HtmlTargets, "kind string, number int, selector string, name string, position int, sample string"),
 }
 

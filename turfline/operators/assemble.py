@@ -40,6 +40,15 @@ def raw_fact(contests: DataFrame, rounds: DataFrame, entries: DataFrame, cards:
     return e.select("pos", *[t.first_value(F.try_element_at(F.col(m), F.lit(k))).alias(c) for c, (m, k) in source.items()])
 
 
+def future_fact(contests: DataFrame, rounds: DataFrame, entries: DataFrame) -> DataFrame:
+    """raw_fact of entries to come: no card, no rank and no points, but contest_url and date_raw."""
+    dated = rounds.select(normalised_url(F.col("href")).alias("_key"), t.first_value(F.col("attrs")["date"]).alias("date_raw"), normalised_url(F.col("source_url")).alias("_contest"), F.col("pos").alias("_pos"))
+    dated = relational.last_wins(dated, "_key", [F.desc("_pos")]).drop("_pos")
+    known = entries.select("pos", normalised_url(F.col("source_url")).alias("_key")).join(dated, "_key", "left").drop("_key")
+    rows = raw_fact(contests, rounds, entries).withColumns({"rank_raw": F.lit(t.MISSING), "points_raw": F.lit(t.MISSING)})
+    return rows.join(known, "pos").select("pos", *RAW, F.coalesce("_contest", F.lit("")).alias("contest_url"), F.coalesce("date_raw", F.lit(t.MISSING)).alias("date_raw"))
+
+
 def propagated_header(rows: DataFrame, table: str, position: str, header: str, value: str) -> DataFrame:
     """A team header fills the empty cells of the rows below it, up to the next header."""
     w = Window.partitionBy(table).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)

@@ -174,6 +174,31 @@ def enriched_rows(rows: DataFrame, anchors: DataFrame, key: str, step: str) -> D
     return out.select(*rows.columns[: rows.columns.index("href")], link.alias("href"), F.lit(step).alias("step_id"), F.coalesce("_date", F.lit("")).alias("date"), _first_told(F.col("_language"), F.col("_page")).alias("language"))
 
 
+#: How the first entry of a calendar's menus begins, and what stands for a menu that no page gives.
+MENU_KINDS = {"region": "toutes régions", "departement": "tous départements", "discipline": "toutes disciplines", "championnat": "championnats"}
+FALLBACK_LABELS = {"region": ("Toutes régions",), "departement": ("Tous départements",), "championnat": ("Championnats : tous concours",)}
+
+
+def calendar_menus(menus: DataFrame, pages: DataFrame, key: str, disciplines: tuple[str, ...]) -> DataFrame:
+    """key, kind, options (label and absolute url), selected, degraded: the four menus of every page, from html_menus.
+
+    A menu's kind is told by its first entry; of several of a kind the last counts. Pages without any such menu get
+    fallback entries that lead to the page itself, and are marked. pages: key, page_url.
+    """
+    told = F.lower("label")
+    kind = F.coalesce(*[F.when(told.startswith(begin), k) for k, begin in MENU_KINDS.items()])
+    heads = menus.where("position = 0").withColumn("kind", kind).where("kind IS NOT NULL")
+    chosen = heads.groupBy(key, "kind").agg(F.max("menu").alias("menu"))
+    found = menus.join(chosen, [key, "menu"]).join(pages.select(key, "page_url"), key).withColumn("url", html_rows.absolute_url()("page_url", "href"))
+    entries = found.groupBy(key, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "label", "url"))), lambda x: F.struct(x["label"].alias("label"), x["url"].alias("url"))).alias("options"))
+    labels = FALLBACK_LABELS | {"discipline": disciplines}
+    option = lambda x: F.struct(F.lit(x).alias("label"), F.col("page_url").alias("url"))
+    fallback = [F.struct(F.lit(k).alias("kind"), F.array(*[option(x) for x in labels[k]]).alias("options")) for k in MENU_KINDS]
+    rest = pages.join(chosen.select(key).distinct(), key, "left_anti").select(key, F.inline(F.array(*fallback)))
+    both = entries.withColumn("degraded", F.lit(False)).unionByName(rest.withColumn("degraded", F.lit(True)))
+    return both.select(key, "kind", "options", F.col("options")[0]["label"].alias("selected"), "degraded")
+
+
 def selection_targets(targets: DataFrame, key: str) -> DataFrame:
     """key, kind, number, selector, name, n, samples: tables with two data rows or more, classes with three linked cells or more; from html_targets."""
     groups = targets.groupBy(key, "kind", "number", "selector", "name")
