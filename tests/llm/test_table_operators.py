@@ -229,6 +229,21 @@ def test_top_k_is_exact(spark):
     assert mips.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_many_query_blocks_and_stripes(spark, monkeypatch):
+    for name, value in (("QUERY_BLOCK", 24), ("VECTOR_BLOCK", 16), ("STRIPE", 2), ("GROUP", 2)):
+        monkeypatch.setattr(mips, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8) * rng.choice([0.5, 1, 3])]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mips.top_k(df, F.col("vec_id") % 5 == 0, k=4).collect()}
+    whole = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows}
+    want = {}
+    for q in range(0, 150, 5):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in whole if i != q)[:4]
+        want |= {(q, place): (i, -s) for place, (s, i) in enumerate(best, 1)}
+    assert got == want
+
+
 def test_bounds_leave_few_pairs_to_score(spark):
     """On the test embeddings, if they are here; else on vectors of falling spectrum."""
     path = "/root/testdata/sf0.1/embeddings.parquet"

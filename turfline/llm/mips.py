@@ -8,8 +8,8 @@ vector into its first coordinates.
 
 1. Some vectors - the longest and the sample - are scored for every query; the k-th best
    of these is a lower bound of the query's final k-th score.
-2. A block meets a block of queries only if the greatest length in it can still reach the
-   lowest bound per unit of query length (Cauchy-Schwarz).
+2. A block meets a group of query blocks only if the greatest length in it can still reach the
+   group's lowest bound per unit of query length (Cauchy-Schwarz).
 3. Blocks are dealt to stripes in turn, so that each begins with long vectors. Inside a
    stripe a block of queries goes through the blocks in descending length. At several
    cuts the partial sum over the leading rotated coordinates plus the product of the
@@ -18,8 +18,8 @@ vector into its first coordinates.
    so far is its bound for the next block.
 
 Queries are a stated set against all rows, in blocks: only keys and bounds decide which
-blocks meet. Partial sums are kept in single precision, so bounds carry a relative slack of
-1e-5, above its rounding; pruning never loses a result.
+blocks meet. Partial sums are kept in single precision, so bounds carry a relative slack
+above its rounding, which grows with the width; pruning never loses a result.
 
 Scale: the sample and the seeds have fixed sizes; all other data stays in tables. Blocks
 and stripes have fixed sizes in bytes, whatever the width of the vectors.
@@ -46,8 +46,8 @@ from ..staging import arrow_batches, stage, unstage
 from .skew import small_or_joined
 
 SCALE = 1024
-#: Components of a block of queries, and of vectors; blocks of a stripe.
-QUERY_BLOCK, VECTOR_BLOCK, STRIPE = 1 << 17, 1 << 16, 32
+#: Components of a block of queries, and of vectors; blocks of vectors in a stripe, and of queries in a group: a task meets a stripe and a group.
+QUERY_BLOCK, VECTOR_BLOCK, STRIPE, GROUP = 1 << 17, 1 << 16, 32, 16
 #: Fixed numbers of vectors that go to the driver.
 SAMPLE, SEEDS = 2048, 1024
 #: Shares of the coordinates after which pairs are dropped: of whole blocks, then of single pairs.
@@ -55,6 +55,11 @@ WHOLE_CUTS, PAIR_CUTS = (0.5, 0.75), (0.875,)
 _SLACK = 1e-5
 
 
+def _slack(width: int) -> float:
+    """A bound of the relative rounding of a single-precision sum of that many products."""
+    return max(_SLACK, width * 2.0**-22)
+
+
 def integer_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array of whole doubles), norm: of the vectors that take part."""
     inf = F.lit(float("inf"))
@@ -114,17 +119,18 @@ def search(q: Block, bounds: np.ndarray, blocks: Iterator[Block], k: int, unit:
     width, n = q.rotated.shape[1], len(q.ids)
     bounds = bounds.astype(np.float64).copy()
     best = pd.DataFrame({"at": np.zeros(0, np.int64), "score": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64)})
+    slack = _slack(width)
     whole_cuts = sorted({max(1, int(width * x)) for x in WHOLE_CUTS})
     pair_cuts = sorted({int(width * x) for x in PAIR_CUTS} - {0, *whole_cuts})
     scored = 0
     for block in blocks:
         longest = float(block.norm.max(initial=0.0))
-        live = np.flatnonzero(q.norm.astype(np.float64) * longest * (1 + _SLACK) + 1 >= bounds / unit**2)
+        live = np.flatnonzero(q.norm.astype(np.float64) * longest * (1 + slack) + 1 >= bounds / unit**2)
         fresh = []
         for at in (live[i : i + rows] for i in range(0, len(live), rows)):
             limit = (bounds[at] / unit**2).astype(np.float32)[:, None]
             # A bound is never rounded up, and partial sums get the slack of single precision.
-            room = _SLACK * np.outer(q.norm[at], block.norm) + 1 + np.abs(limit) * np.float32(1e-6)
+            room = np.float32(slack) * np.outer(q.norm[at], block.norm) + 1 + np.abs(limit) * np.float32(1e-6)
             partial, begin = np.zeros((len(at), len(block.ids)), np.float32), 0
             alive = q.ids[at][:, None] != block.ids[None, :]
             for cut in whole_cuts:
@@ -196,21 +202,22 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 10) -> DataFrame:
     stripes = max(1, -(-c.count() // STRIPE))
     # The upper bits of cb are the partition, in descending length; the lower ones the place in it.
     c = c.withColumn("_stripe", F.pmod(F.shiftright("cb", 33) * 7 + F.col("cb").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(stripes)).cast("int"))
-    needs = small_or_joined(q.select(F.col("qb").alias("_qb"), "need"))
-    c = c.join(needs, F.col("longest") * (1 + _SLACK) + unit >= F.col("need")).drop("need")
+    # Neighbouring blocks of queries travel together, so a block of vectors is sent once a group.
+    q = q.withColumn("qg", F.shiftleft(F.shiftright("qb", 33), 33) + F.floor(F.col("qb").bitwiseAND(F.lit((1 << 33) - 1)) / GROUP).cast("bigint"))
+    needs = small_or_joined(q.groupBy(F.col("qg").alias("_qg")).agg(F.min("need").alias("need")))
+    c = c.join(needs, F.col("longest") * (1 + _slack(width)) + unit >= F.col("need")).drop("need")
     q = q.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
 
     def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        if len(left) and len(right):
-            one = left.iloc[0]
-            block = Block.read(one["ids"], one["m"], one["r"], width, kind)
-            ordered = right.sort_values(["longest", "cb"], ascending=[False, True])
-            best, _ = search(block, np.frombuffer(one["bounds"]), (Block.read(*x, width, kind) for x in zip(ordered["ids"], ordered["m"], ordered["r"], strict=True)), k, unit)
-            out = pd.DataFrame({"query_id": block.ids[best["at"]], "vec_id": best["vec_id"], "score": best["score"]})
-        return out
-
-    met = q.groupBy("qb", "stripe").cogroup(c.groupBy("_qb", "_stripe")).applyInPandas(found, "query_id bigint, vec_id bigint, score bigint")
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
+        ordered = right.sort_values(["longest", "cb"], ascending=[False, True])
+        for one in left.itertuples() if len(right) else ():
+            block = Block.read(one.ids, one.m, one.r, width, kind)
+            best, _ = search(block, np.frombuffer(one.bounds), (Block.read(*x, width, kind) for x in zip(ordered["ids"], ordered["m"], ordered["r"], strict=True)), k, unit)
+            out.append(pd.DataFrame({"query_id": block.ids[best["at"]], "vec_id": best["vec_id"], "score": best["score"]}))
+        return pd.concat(out, ignore_index=True)
+
+    met = q.groupBy("qg", "stripe").cogroup(c.groupBy("_qg", "_stripe")).applyInPandas(found, "query_id bigint, vec_id bigint, score bigint")
     with arrow_batches(spark, 64):
         met = stage(met, "mips-found")
     unstage(rows, blocks, asked)
