@@ -134,6 +134,12 @@ def test_generated_rows_have_the_moments_of_their_laws(spark):
     assert df.where("sex IS NULL OR level IS NULL OR club IS NULL OR rk IS NULL").isEmpty()
 
 
+def test_serving_tables_have_keys_of_names(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("cheval;cavalier\n éole ;Ann\n;\n")
+    rows = tabular.read_serving(spark, f"file://{tmp_path}/s.csv", {"cheval": "horse_key", "cavalier": "rider_key"}).collect()
+    assert (rows[0].horse_key, rows[0].rider_key) == ("ÉOLE", "ANN") and len(rows) == 2
+
+
 def test_windows_1252_files_keep_their_signs(spark, tmp_path):
     signs = bytes(b for b in range(0x80, 0x100) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)).decode("cp1252")
     assert len(tabular.WINDOWS_SIGNS) == 32 and sum(ord(c) > 0xFF for c in tabular.WINDOWS_SIGNS) == 27

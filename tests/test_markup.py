@@ -281,3 +281,11 @@ def test_chains_inherit_once_and_end_where_nothing_is_stored(spark):
         ("3", "http://s/b", "self", (("N", "self"), ("R", "z"))),
     ]
     assert chain.run_chain(df, [], steps[:2]).count() == 0
+
+
+def test_dates_are_sent_as_the_control_shows_them(spark):
+    html = "<form action=a><input name=d placeholder='JJ/MM/AAAA'><input name=e value='01/02/2020'><input name=f title='yyyy-mm-dd'><input name=g pattern='dd/mm'></form>"
+    df = spark.createDataFrame([(1, html, "http://h/p", dict.fromkeys("def", "2026-03-04") | {"g": "no date"})], "k int, html string, page_url string, values map<string,string>")
+    submits = generated(df, "k", "html_submits")
+    assert controls.submissions(submits, df, "k").first().body == "d=04%2F03%2F2026&e=04%2F03%2F2026&f=2026-03-04&g=no+date"
+    assert {r.name: r.value for r in controls.current_values(submits, "k").collect()} == {"d": "", "e": "01/02/2020", "f": "", "g": ""}

@@ -144,7 +144,7 @@ class HtmlControls:
 
 
 class HtmlSubmits:
-    """What the forms of a page send: form, action, method, position (in the order of sending), name, fixed (a hidden input's value), and default (null: not sent unless asked for).
+    """What the forms of a page send: form, action, method, position (in the order of sending), name, fixed (a hidden input's value), default (null: not sent unless asked for), and whether it shows dates day first.
 
     Inputs come first, then selects, then text areas; buttons and files send nothing.
     """
@@ -156,10 +156,19 @@ class HtmlSubmits:
                 kind = (n.attrs.get("type") or "text").lower()
                 if n.tag == "input" and kind in NOT_FILLED - {"hidden"}:
                     continue
-                yield f, form.attrs.get("action", ""), (form.attrs.get("method") or "GET").upper(), position, n.attrs["name"], n.tag == "input" and kind == "hidden", _default(n, kind)
+                yield f, form.attrs.get("action", ""), (form.attrs.get("method") or "GET").upper(), position, n.attrs["name"], n.tag == "input" and kind == "hidden", _default(n, kind), _day_first(n)
                 position += 1
 
 
+#: How an input shows that it takes days first.
+_DAY_FIRST, _DAY_HINT = re.compile(r"\d{2}/\d{2}/\d{4}"), re.compile("(DD|JJ|dd|jj)/(MM|mm)")
+
+
+def _day_first(node: Node) -> bool:
+    shown = " ".join(node.attrs.get(a, "") for a in ("placeholder", "pattern", "title"))
+    return node.tag == "input" and bool(_DAY_FIRST.fullmatch(node.attrs.get("value", "").strip()) or _DAY_HINT.search(shown))
+
+
 def _default(node: Node, kind: str) -> str | None:
     """What a control sends untouched: a hidden value always, a box that is checked, a value that is not empty, the chosen or first option."""
     if node.tag == "select":
@@ -254,7 +263,7 @@ _RETURNS = {
         "form int, action string, method string, position int, tag string, type string, role string, name string, value string, placeholder string, selector string, "
         "label_by_id string, label_around string, label_before string, label_own string, label_title string, in_navigation boolean, options array<struct<value: string, label: string>>",
     ),
-    "html_submits": (HtmlSubmits, "form int, action string, method string, position int, name string, fixed boolean, default string"),
+    "html_submits": (HtmlSubmits, "form int, action string, method string, position int, name string, fixed boolean, default string, day_first boolean"),
     "html_anchors": (
         HtmlAnchors,
         "position int, text string, href string, onclick string, cell boolean, headings array<struct<place: string, text: string>>, near string, inherited string, declared string",

@@ -107,6 +107,11 @@ def form_descriptors(fields: DataFrame, key: str) -> DataFrame:
     return fields.where("area = 'form'").groupBy(key, "form", "action", "method").agg(F.array_sort(F.collect_list(one)).alias("fields"))
 
 
+def current_values(submits: DataFrame, key: str) -> DataFrame:
+    """key, name, value: what the first control of each name holds; "" if that is nothing."""
+    return submits.groupBy(key, "name").agg(F.coalesce(F.min_by("default", F.struct("form", "position")), F.lit("")).alias("value"))
+
+
 #: Actions that mean the page itself.
 OWN_PAGE = ("", "-", "?")
 
@@ -117,10 +122,12 @@ def submissions(submits: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     submits: rows of html_submits. asked: key, page_url and `values` (a map of names to texts). A form's score is how
     many of its controls ask for a value that is not empty; the first of the best counts, and pages whose
     forms take none give no row. Hidden values are sent as they are, others as asked or by default; of controls of one
-    name the last counts, in the place of the first. `url` is the target with the body as its query for GET.
+    name the last counts, in the place of the first; an ISO date is turned round for a control that shows days first. `url` is the target with the body as its query for GET.
     """
     c = F.col
-    wanted = c("values")[c("name")]
+    given = c("values")[c("name")]
+    iso = r"^(\d{4})-(\d{2})-(\d{2})$"
+    wanted = F.when(c("day_first") & given.rlike(iso), F.regexp_replace(given, iso, "$3/$2/$1")).otherwise(given)
     rows = submits.join(asked.select(key, "page_url", "values"), key)
     rows = rows.withColumn("_hit", F.coalesce(wanted != "", F.lit(False)).cast("int"))
     scores = rows.groupBy(key, "form").agg(F.sum("_hit").alias("score")).where("score > 0")

@@ -71,3 +71,10 @@ def dominant_share(rows: DataFrame, template: str) -> DataFrame:
     total = rows.agg(F.count(F.lit(1)).alias("_total"))  # one row
     out = clusters.join(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("_total"), 6)).drop("_total")
     return out
+
+
+def structure_similarity(rows: DataFrame, group: str, fingerprint: str) -> DataFrame:
+    """group, pages, clusters, similarity, dominant, dominant_pages: 1 - clusters / pages over all pages of a group, and its largest cluster, the smallest digest on ties."""
+    clusters = rows.groupBy(group, F.col(fingerprint).alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
+    of_group = clusters.groupBy(group).agg(F.sum("_n").alias("pages"), F.count(F.lit(1)).alias("clusters"), F.max("_n").alias("dominant_pages"), F.min_by("_f", F.struct(-F.col("_n"), "_f")).alias("dominant"))
+    return of_group.select(group, "pages", "clusters", F.round(1 - F.col("clusters") / F.col("pages"), 3).alias("similarity"), "dominant", "dominant_pages")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import html_context, html_rows, html_select
 from ..functions import text as t
 from ..operators import chain, controls, extraction
+from ..operators import documents as docs
 from .bindings import table
 from .define import query
 
@@ -368,3 +369,15 @@ def filtered_urls(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit(f"{_SITE}/s/"), key, F.lit("?a=1&a=2#top")).alias("url"), values.alias("values"))
     return rows.select("s_suppkey", t.url_with_filters(F.col("url"), F.col("values")).alias("url"))
+
+
+@query(
+    """WITH x AS (SELECT l_orderkey % 7 AS shelf, l_orderkey, l_orderkey % 3 = 0 AS mark, count(*) AS n, count(*) FILTER (l_quantity::INTEGER > 3) AS members FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT shelf, mark, n, members, count(*) AS k FROM x GROUP BY ALL)
+SELECT shelf, sum(k)::BIGINT AS pages, count(*) AS clusters, round(1 - count(*) / sum(k), 3) AS similarity, max(k) AS dominant_pages FROM c GROUP BY shelf"""
+)
+def structure_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """How alike the pages of a group are by their skeletons: tables of the same class, rows and members are one cluster."""
+    digest = html_rows.dom_fingerprint()
+    pages = entry_pages(spark, d).select((F.col("l_orderkey") % 7).alias("shelf"), digest("html").alias("fingerprint"))
+    return docs.structure_similarity(pages, "shelf", "fingerprint").drop("dominant")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import strip
+from ..functions.text import name_key, strip
 from ..staging import stage
 
 DELIMITERS = (";", ",", "\t", "|")
@@ -48,6 +48,12 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", separator:
     return spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", False).csv(path)
 
 
+def read_serving(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """A feature table for lookups: a CSV with a key beside each name, which spelling of case and blanks doesn't change: {column: key}."""
+    rows = read_csv(spark, path)
+    return rows.withColumns({key: name_key(F.col(f"`{c}`")) for c, key in names.items()})
+
+
 def resolve(header: list[str], aliases: dict[str, list[str]] = ALIASES) -> dict[str, str]:
     """logical column -> column of the file, spelling and case aside."""
     seen = {strip_text(h): h for h in header}
