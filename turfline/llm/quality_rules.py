@@ -68,8 +68,11 @@ def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def with_text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The `keep` columns and the statistics of `text`; whole texts, one pass, only texts go to Python."""
-    measured = _measured(F.coalesce(F.col("text"), F.lit("")))
+    """The `keep` columns and the statistics of `text`; whole texts, one pass, only texts go to Python.
+
+    Called non-deterministic, or a later filter on a statistic would measure every text once more.
+    """
+    measured = _measured.asNondeterministic()(F.coalesce(F.col("text"), F.lit("")))
     return docs.select(*keep, measured.alias("_stats")).select(*keep, "_stats.*")
 
 
