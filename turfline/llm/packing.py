@@ -35,6 +35,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +148,7 @@ def plan_windows(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[
     return plan
 
 
-_ENTRY = "array<struct<first:bigint,per:bigint,sequence:bigint,offset:bigint>>"
+_PLAN = pa.schema([("_r", pa.int32()), ("_full_base", pa.int64()), ("_entries", pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "per", "sequence", "offset")])))])
 
 
 def _placement(plan: list[tuple[int, dict[int, int]]]) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
@@ -180,6 +181,8 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, keep: list[str], cl
                 lengths.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
             yield frame.drop(columns="_text").assign(doc_tokens=lengths, ids_crc32s=sums)
+        word_tokenizer.cache_clear()  # read again in a tenth of a second; an idle worker holds nothing
+        del ids_of
         give_back()
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
@@ -203,9 +206,11 @@ def place_remainders(rows: DataFrame, plan_of: Callable[[dict[int, int]], list[t
     entries, sequences = _placement(plan_of({k: n for k, (n, _) in histogram.items() if k}))
     table, full_base = [], sequences
     for rem in sorted(histogram):
-        table.append((rem, full_base, entries.get(rem, [])))
+        table.append((rem, full_base, [dict(zip(("first", "per", "sequence", "offset"), e, strict=True)) for e in entries.get(rem, [])]))
         full_base += histogram[rem][1]
-    plan = rows.sparkSession.createDataFrame(table, f"_r int, _full_base bigint, _entries {_ENTRY}")
+    # By Arrow: rows of Python objects would start workers of their own.
+    plan = pa.table(list(zip(*table, strict=True)) or [[], [], []], schema=_PLAN)
+    plan = rows.sparkSession.createDataFrame(plan)
     ranked = add_group_ranks(rows, ["_rem"], "_key", ["doc_id", "doc_tokens"], "_rank", {"_full": "_full_before"})
     placed = ranked.join(F.broadcast(plan), F.col("_rem") == F.col("_r"))
     rank = F.col("_rank") - 1

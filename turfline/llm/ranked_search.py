@@ -383,5 +383,5 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, report: list |
 
 def _numbered(spark: SparkSession, found: DataFrame, items: np.ndarray) -> DataFrame:
     """found with the items' own numbers in place of columns of the block."""
-    table = spark.createDataFrame([(c, int(x)) for c, x in enumerate(items)], "_column long, _item long")
+    table = spark.createDataFrame(pa.table({"_column": np.arange(len(items)), "_item": items.astype(np.int64)}))
     return found.join(F.broadcast(table), F.col("item") == F.col("_column")).select(F.col("_item").alias("item"), "doc_id", "score", "row")
