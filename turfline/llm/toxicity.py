@@ -66,7 +66,7 @@ IDENTITY_GROUPS = (
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 #: Remembered words per worker process; bounds memory, never changes a score.
-WORD_LIMIT = 100_000
+WORD_LIMIT = 20_000
 #: Rows with a text in an Arrow batch.
 TEXTS = 256
 
