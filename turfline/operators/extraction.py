@@ -12,15 +12,15 @@ from ..functions import text as t
 TEAM_ROW, MEMBER_ROW, SINGLE, TEAM_LABEL = "ligneequipe", "tablesorter-childRow", "INDIVIDUEL", r"(?i)^Équipe\s*:\s*"
 #: Categories of class names, in the order in which they are tried, and their order in reports.
 CATEGORY_PATTERNS = {
-    "title": r"title|titre|heading|headline|name|nom|\bh[1-3]\b",
-    "description": r"desc|summary|abstract|excerpt|synopsis|overview|content|text|body|detail|info|bio|about",
-    "price": r"price|prix|cost|amount|tarif|rate|fee|sale|promo|discount|reduction",
-    "date": r"date|time|posted|publish|created|updated|when|ago|since|schedule",
-    "image": r"image|img|photo|picture|thumb|avatar|cover|poster|banner|media|visual|illustration",
-    "link": r"link|url|href|anchor|nav|btn|button|action|cta",
-    "tag": r"tag|label|badge|categ|genre|type|status|chip",
-    "rating": r"rating|score|star|review|note|vote",
-    "author": r"author|auteur|writer|creator|user|member|artist",
+    "title": (r"title|titre|heading|headline|name|nom", r"\bh[1-3]\b", r"product.?name|item.?name|card.?title"),
+    "description": (r"desc|description|summary|abstract|excerpt|synopsis|overview|content|text|body", r"detail|info|bio|about"),
+    "price": (r"price|prix|cost|amount|tarif|rate|fee", r"sale|promo|discount|reduction"),
+    "date": (r"date|time|posted|publish|created|updated|when|timestamp", r"ago|since|schedule"),
+    "image": (r"image|img|photo|picture|thumb|avatar|cover|poster|banner", r"media|visual|illustration"),
+    "link": (r"link|url|href|anchor|nav|permalink", r"btn|button|action|cta"),
+    "tag": (r"tag|label|badge|category|categ|genre|type|status|chip",),
+    "rating": (r"rating|rate|score|star|review|note|vote",),
+    "author": (r"author|auteur|writer|creator|user|member|artist",),
 }
 
 
@@ -78,7 +78,7 @@ def content_classes(names: DataFrame, key: str, least: int = 2) -> DataFrame:
 
     names: key, class, position, sample. A class with no category, or in fewer than `least` elements, is left out.
     """
-    category = F.coalesce(*[F.when(F.col("class").rlike(f"(?i){p}"), c) for c, p in CATEGORY_PATTERNS.items()])
+    category = F.coalesce(*[F.when(F.col("class").rlike("(?i)" + "|".join(p)), c) for c, p in CATEGORY_PATTERNS.items()])
     counts = names.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("pages"), F.min_by("sample", F.struct(key, "position")).alias("sample"))
     rows = counts.where(F.col("n") >= least).withColumn("category", category).where("category IS NOT NULL")
     order = F.array_position(F.array(*[F.lit(c) for c in CATEGORY_PATTERNS]), F.col("category"))
