@@ -5,6 +5,11 @@ are an order-preserving bucket. Counts and sums per (group, bucket) are small an
 pre-aggregated before the shuffle; their running totals are the offsets that turn a
 rank inside one bucket into a rank inside the group. A bucket of a group that holds
 a third of 10^10 rows has under 10^6 rows with the default of 4096 buckets.
+
+Defined results: nulls in a group column are one group; rows that agree in key and ties, such as repeated rows, get
+neighbouring ranks in an order that may change from run to run, so ties should name every column that a
+rank decides on; a null id has the key of the empty string, and so all rows without ids fall into one bucket
+unless other columns enter the key; nulls in a summed column count as nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations

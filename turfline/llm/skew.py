@@ -1,4 +1,12 @@
-"""Joins to a table with one row per key, without a task that holds a hot key."""
+"""Joins to a table with one row per key, without a task that holds a hot key.
+
+What is broadcast is counted first: at most BROADCAST_ROWS rows of a key and a few numbers, some 64 bytes each in
+memory and so 64 MB; tables with wider rows should be joined by their keys first.
+
+Defined results: a null key matches nothing in join_spread, and is a key like any other in beside_key; repeated
+rows stay repeated; empty tables give no rows (inner) or rows with nulls (left); columns of the table that
+are named like those of the rows must be renamed by the caller.
+"""
 
 from __future__ import annotations
 
