@@ -4,6 +4,11 @@ quality rules -> toxicity -> near duplicates -> mixing -> packing. Every functio
 (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 `documents`. run() writes each result as Parquet into the shared folder and reads it
 back, so a lost executor costs one stage at most.
+
+Defined results: a document without text or words fails the base rules and goes in the first stage; a null lang
+or source is a group of its own; a null doc_id keeps its document, which has no label; rows that repeat a doc_id with
+its text are near copies of each other, of which one stays; an empty table runs through all stages and gives no
+rows; columns beyond those of COLUMNS are dropped at the start.
 """
 
 from __future__ import annotations
