@@ -59,3 +59,11 @@ def progress_of(events: DataFrame) -> DataFrame:
     """session, step, rows, urls, finished, failed: counters of every step from its events."""
     count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
     return events.where("step IS NOT NULL").groupBy("session", "step").agg(count("row").alias("rows"), count("url_row").alias("urls"), (count("finished", "finalized") > 0).alias("finished"), (count("error") > 0).alias("failed"))
+
+
+def jobs_of(events: DataFrame) -> DataFrame:
+    """session, started, seen, steps, rows, urls, state of every job, from its events; running until it is done or tells an error outside of a step."""
+    kind = F.col("kind")
+    failed, done = F.bool_or((kind == "error") & F.col("step").isNull()), F.bool_or(kind == "done")
+    counts = [F.count_distinct(F.when(kind == "step_started", F.col("step"))).alias("steps"), F.count_if(kind == "row").alias("rows"), F.count_if(kind == "url_row").alias("urls")]
+    return events.groupBy("session").agg(F.min("ts").alias("started"), F.max("ts").alias("seen"), *counts, F.when(failed, "error").when(done, "done").otherwise("running").alias("state"))
