@@ -13,7 +13,7 @@ are integers, so every engine and rerun gets the same targets.
 Scale: text is read once; after that only (doc_id, source, size) moves. Running sums
 inside a source come from bucketed offsets (see ranking), so a source with a third
 of all rows is never in one task. The table of sources (one row each) is ordered in
-one task; it grows with the number of sources and not with documents.
+ranges with running sums, so as many sources as there are domains don't meet in one task.
 
 Defined results: a null text has size 0; rows with a null source form the last
 source; a source without words has target 0; with no words at all every target is 0;
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from ..operators.places import with_place, with_running
 from ..staging import stage
 from .ranking import add_group_ranks, bucket_of, shuffle_key
 from .text_stats import WORD_PATTERN
@@ -45,25 +46,19 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
 
     Weights repeat over the sources in code-point order, null last.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     big = "decimal(38,0)"
-    ranked = sources.withColumn("_i", F.row_number().over(order) - 1).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int"))
-    )
-    ranked = ranked.withColumn("_cap", F.col("source_size") * max_epochs)
-    fill = Window.partitionBy(F.lit(0)).orderBy(F.col("_cap") / F.col("weight"), "_i")
-    whole = Window.partitionBy(F.lit(0))
+    ranked = with_place(sources, [F.col("source").asc_nulls_last()], "_i").withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("_i") - 1) % len(weights) + 1).cast("int")))
+    ranked = with_running(ranked.withColumn("_cap", F.col("source_size") * max_epochs), [F.col("_cap") / F.col("weight"), F.col("_i")], {"_cap": "_cap_before", "weight": "_weight_before"})
+    whole = ranked.agg(F.sum("source_size").alias("_total"), F.sum("weight").alias("_weights"))  # one row
     ranked = (
-        ranked.withColumn("_total", F.sum("source_size").over(whole))
-        .withColumn("_cap_before", F.coalesce(F.sum("_cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_weight_left", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
+        ranked.join(F.broadcast(whole))
+        .withColumn("_weight_left", F.col("_weights") - F.col("_weight_before"))
         .withColumn("_left", F.col("_total") - F.col("_cap_before"))
         .withColumn("_clamped", F.col("weight").cast(big) * F.col("_left").cast(big) >= F.col("_cap").cast(big) * F.col("_weight_left").cast(big))
     )
     # What the clamped sources leave, and the weight that shares it.
-    ranked = ranked.withColumn("_pool", F.col("_total") - F.coalesce(F.sum(F.when(F.col("_clamped"), F.col("_cap"))).over(whole), F.lit(0))).withColumn(
-        "_pool_weight", F.coalesce(F.sum(F.when(~F.col("_clamped"), F.col("weight"))).over(whole), F.lit(0))
-    )
+    kept = ranked.agg(F.coalesce(F.sum(F.when(F.col("_clamped"), F.col("_cap"))), F.lit(0)).alias("_held"), F.coalesce(F.sum(F.when(~F.col("_clamped"), F.col("weight"))), F.lit(0)).alias("_pool_weight"))  # one row
+    ranked = ranked.join(F.broadcast(kept)).withColumn("_pool", F.col("_total") - F.col("_held"))
     target = F.when(F.col("_clamped"), F.col("_cap").cast("double")).otherwise((F.col("weight") * F.col("_pool")).cast("double") / F.greatest(F.col("_pool_weight"), F.lit(1)))
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
