@@ -6,8 +6,10 @@ import re
 import pytest
 
 from turfline.functions import html_language as lang
+from turfline.functions import html_rows
 from turfline.functions.html_rows import HtmlLeaves, tree
 from turfline.operators import chain, controls
+from turfline.plans import markup, registry
 from turfline.plans.markup import generated
 
 
@@ -289,3 +291,33 @@ def test_dates_are_sent_as_the_control_shows_them(spark):
     submits = generated(df, "k", "html_submits")
     assert controls.submissions(submits, df, "k").first().body == "d=04%2F03%2F2026&e=04%2F03%2F2026&f=2026-03-04&g=no+date"
     assert {r.name: r.value for r in controls.current_values(submits, "k").collect()} == {"d": "", "e": "01/02/2020", "f": "", "g": ""}
+
+
+def test_plain_markup_gives_the_parsers_tree():
+    def parsed(html):
+        parser = html_rows._Tree()
+        parser.feed(html)
+        parser.close()
+        return parser.root
+
+    def told(n):
+        return n.tag, n.attrs, [x if isinstance(x, str) else told(x) for x in n.texts], [c.tag for c in n.children]
+
+    rng = random.Random(5)
+    bits = ["<p>", "</p>", "<br>", '<div class="a b">', "</div>", "text ", "\n é", '<input name="x" checked>', '<a href="/u?a=1"  b>', "</a>", '<textarea name="n"></textarea>', "<option>", '<td data-x="">', '<h1 a="1" a="2" >']
+    odd = ["a &amp; b", "<IMG SRC=x>", "<!-- c -->", "<script>", "</script>", "x < y", "<textarea>", "<li/>", "<title>", "<p a='1'>", "</>", "<style>", "<a", '"', "<plaintext>"]
+    for i in range(3000):
+        html = "".join(rng.choice(bits if i % 2 else bits + odd) for _ in range(rng.randrange(12)))
+        assert told(tree(html)) == told(parsed(html)), html
+
+
+@pytest.mark.parametrize("pages", ["control_pages", "calendar_pages", "entry_pages", "card_pages", "form_pages"])
+def test_pages_are_written_and_parsed_in_tasks_for_all_cores(spark, pages):
+    rows = getattr(markup, pages)(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_pages_of_cards_and_links_are_parsed_once(spark):
+    for name in ("card_groups", "enriched_links"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") <= 1

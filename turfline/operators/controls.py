@@ -167,7 +167,8 @@ def enriched_rows(rows: DataFrame, anchors: DataFrame, key: str, step: str) -> D
     """rows (key, row, text, href) with step_id, the target of a scripted link, the calendar date and the language.
 
     rows meet the anchors of their page: by text for script and date, by href for the language; the
-    first anchor that answers counts. A row without an own link takes the script's.
+    first anchor that answers counts. A row without an own link takes the script's. anchors are read three times: staged
+    ones spare a page from being parsed as often.
     """
     text = t.strip(F.col("text"))
     scripted = F.lower(F.coalesce("href", F.lit(""))).startswith("javascript") | (F.coalesce("href", F.lit("")) == "")

@@ -6,24 +6,57 @@ place a page uses depends on its key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import html_context, html_rows, html_select
 from ..functions import text as t
 from ..operators import chain, controls, extraction
 from ..operators import documents as docs
+from ..staging import stage
 from .bindings import table
 from .define import query
 
 
-def generated(pages: DataFrame, key: str, generator: str, arguments: str = "html") -> DataFrame:
-    """A row generator over pages of key and html."""
-    spark = pages.sparkSession
-    for module in (html_rows, html_select, html_context):
-        module.register(spark)
-    pages.select(key, "html").createOrReplaceTempView(f"markup_{generator}")
-    return spark.sql(f"SELECT m.{key}, t.* FROM markup_{generator} m, LATERAL {generator}({arguments}) t")
+def generated(pages: DataFrame, key: str, generator: str, *arguments: object) -> DataFrame:
+    """A row generator over pages of key and html, as its UDTF gives them, with whole batches of rows handed back through Arrow."""
+    make, returns = (html_rows.GENERATORS | html_select.GENERATORS | html_context.GENERATORS)[generator]
+    source = pages.select(key, "html")
+    schema = StructType([source.schema[0], *StructType.fromDDL(returns).fields])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+        for batch in batches:
+            found: list[tuple] = []
+            for k, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found += [(k, *row) for row in make().eval(html, *arguments)]
+                if len(found) >= ROWS_BACK:
+                    yield _record_batch(found, types)
+                    found = []
+            if found:
+                yield _record_batch(found, types)
+
+    return source.mapInArrow(rows, schema)
+
+
+#: Rows that a generator hands back at once: a batch of pages may hold many more.
+ROWS_BACK = 10_000
+
+
+def _record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def spread(rows: DataFrame, key: str | Column) -> DataFrame:
+    """rows dealt by key over tasks for all cores, whatever their bytes: a page is written and parsed from a few hundred bytes, so files and shuffled blocks that are small tell nothing of the work."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, key)
 
 
 def _joined(parts: Column) -> Column:
@@ -41,7 +74,7 @@ def _case(key: str, n: int, texts: list[str]) -> Column:
 def control_pages(spark: SparkSession, d: str) -> DataFrame:
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     peers = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("peers"))
-    rows = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).drop("n_nationkey")
+    rows = spread(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).drop("n_nationkey")
     rows = rows.join(F.broadcast(peers), "n_regionkey").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     links = _joined(F.transform("peers", lambda n: F.concat(F.lit('<a class="dropdown-item'), F.when(n["n_nationkey"] == F.col("c_nationkey"), " active").otherwise(""), F.lit('" href="./?cs=4.'), n["n_nationkey"], F.lit('">'), n["n_name"], F.lit("</a>"))))
     choices = _joined(F.transform("peers", lambda n: F.concat(F.lit('<option value="'), n["n_nationkey"], F.lit('">'), n["n_name"], F.lit("</option>"))))
@@ -119,7 +152,7 @@ def calendar_pages(spark: SparkSession, d: str) -> DataFrame:
     """Days of orders in a table cell each; the month stands in the caption, a header cell, the second element before, or a heading of the grandparent."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     cell = F.concat(F.lit('<td class="on"><a href="/o/'), F.col("o_orderkey"), F.lit('">'), F.dayofmonth("o_orderdate"), F.lit("</a></td>"))
-    rows = orders.groupBy("o_custkey", "month").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", cell.alias("cell")))).alias("cells"))
+    rows = spread(orders, "o_custkey").groupBy("o_custkey", "month").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", cell.alias("cell")))).alias("cells"))
     year, name = F.substring("month", 1, 4), F.element_at(F.array(*[F.lit(m) for m in _MONTH_NAMES]), F.substring("month", 6, 2).cast("int"))
     rows = rows.withColumn("head", F.when(F.col("o_custkey") % 2 == 0, F.concat_ws(" ", name, year)).otherwise(F.concat_ws(", ", year, name)))
     before = _case("o_custkey", 4, ["'<section><div>'", "'<section><div>'", "concat('<section><div><p>', head, '</p><p>2 jours</p>')", "concat('<section><h3>', head, '</h3><div>')"])
@@ -154,7 +187,7 @@ def entry_pages(spark: SparkSession, d: str) -> DataFrame:
     place = F.when(F.col("q") % 10 == 0, F.lit("Non partant")).when(F.col("q") == 1, F.lit("1 er")).otherwise(F.concat("q", F.lit(" e")))
     # A first cell between the ranks of a team's row and its members.
     cell = F.concat(F.lit('<tr class="'), F.when(F.col("q") > 3, "tablesorter-childRow").otherwise("solo"), F.lit('"><td>'), place, F.lit('</td><td data-label="Cheval">Cheval '), F.col("l_partkey"), F.lit('</td><td data-label="Club"><a href="/c/'), F.col("l_suppkey"), F.lit('">Club '), F.col("l_suppkey"), F.lit("</a></td></tr>"))
-    rows = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("q") > 3, 1).otherwise(0).alias("team"), "l_linenumber", cell.alias("cell")))).alias("rows"))
+    rows = spread(line, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("q") > 3, 1).otherwise(0).alias("team"), "l_linenumber", cell.alias("cell")))).alias("rows"))
     name = _case("l_orderkey", 3, ["' id=\"t_engts\"'", "' class=\"table mt-2 tarifs\"'", "' class=\"table\"'"])
     team = F.concat(F.lit('<tr class="ligneequipe"><td>7</td><td data-label="Cheval">Équipe : Rouge '), F.col("l_orderkey"), F.lit("</td><td></td></tr>"))
     members = lambda t: _joined(F.transform(F.filter("rows", lambda r: r["team"] == t), lambda r: r["cell"]))
@@ -198,7 +231,7 @@ def card_pages(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit('<b class="prix">'), F.format_string("%.2f", "o_totalprice"), F.lit("</b>"))).otherwise(""),
         F.lit('<p class="lien"><a '), link, flag, F.lit(">"), inner, F.lit("Voir "), F.col("o_orderkey"), F.lit("</a>"), after, F.lit("</p></div>"),
     )
-    orders = table(spark, d, "orders").select(*cols, card.alias("card"))
+    orders = spread(table(spark, d, "orders").select(*cols), "o_custkey").select(*cols, card.alias("card"))
     rows = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "card"))).alias("cards"))
     page = _case("o_custkey", 3, ["'<html lang=\"de-AT\"><body>'", "'<html><head><meta property=\"og:locale\" content=\"it_IT\"></head><body>'", "'<html><body><div lang=\"es\">'"])
     return rows.select("o_custkey", F.concat(page, _joined(F.transform("cards", lambda c: c["card"])), F.lit("</body></html>")).alias("html"))
@@ -221,7 +254,7 @@ FROM orders"""
 )
 def enriched_links(spark: SparkSession, d: str) -> DataFrame:
     """Link rows with step, the target of scripted links, and language; scripted links share one address, so the first on the page tells their language."""
-    anchors = generated(card_pages(spark, d), "o_custkey", "html_anchors")
+    anchors = stage(generated(card_pages(spark, d), "o_custkey", "html_anchors"), "anchors")
     rows = anchors.select("o_custkey", F.col("position").alias("row"), "text", "href")
     out = controls.enriched_rows(rows, anchors, "o_custkey", "fiches")
     return out.select(F.regexp_extract("text", r"(\d+)$", 1).cast("bigint").alias("o_orderkey"), "href", "step_id", "language")
@@ -260,7 +293,7 @@ UNION ALL SELECT DISTINCT l_orderkey, 'Équipe : Rouge ' || l_orderkey, NULL, NU
 )
 def selected_entries(spark: SparkSession, d: str) -> DataFrame:
     """Records of cells picked by selectors; cells of one row are one record."""
-    rows = extraction.selected_records(generated(entry_pages(spark, d), "l_orderkey", "html_select", "html, 'tr > td[data-x], tbody td'"), "l_orderkey")
+    rows = extraction.selected_records(generated(entry_pages(spark, d), "l_orderkey", "html_select", "tr > td[data-x], tbody td"), "l_orderkey")
     r = F.col("record")
     return rows.select("l_orderkey", r["Cheval"].alias("horse"), r["Club"].alias("club"), r["href"].alias("href"))
 
@@ -323,7 +356,7 @@ def chained_rows(spark: SparkSession, d: str) -> DataFrame:
 def form_pages(spark: SparkSession, d: str) -> DataFrame:
     """Three forms that take different names, and values that fit the first, two alike, the third or none of them."""
     nations = table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))  # one row, as many entries as nations
-    rows = table(spark, d, "supplier").join(F.broadcast(nations))
+    rows = spread(table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name"), "s_suppkey").join(F.broadcast(nations))
     options = _joined(F.transform("nations", lambda n: F.concat(F.lit("<option"), F.when(n["n_nationkey"] == F.col("s_nationkey"), " selected").otherwise(""), F.lit(">"), n["n_name"], F.lit("</option>"))))
     html = F.concat(
         F.lit('<form action="-"><input name="q" value="vide"></form><form action="../f1" method="post"><textarea name="note"></textarea><input type="hidden" name="jeton" value="'), F.col("s_suppkey"),
