@@ -91,8 +91,10 @@ def repeated_groups(rows: DataFrame, key: str, least: int = 3, share: float = 0.
     rows: key, parent_class, instance, child_class. At most the 8 most frequent children of
     a parent and the 10 most frequent parents of a page are the feature's limits.
     """
-    parents = rows.groupBy(key, "parent_class").agg(F.count_distinct("instance").alias("instances")).where(F.col("instances") >= least)
-    children = rows.groupBy(key, "parent_class", "child_class").agg(F.count_distinct("instance").alias("n")).join(parents, [key, "parent_class"])
+    # Both counts in one pass over the pages: a parent's instances are gathered from those of its children.
+    seen = rows.groupBy(key, "parent_class", "child_class").agg(F.collect_set("instance").alias("_seen")).withColumn("n", F.size("_seen").cast("long"))
+    whole = seen.groupBy(key, "parent_class").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_seen")))).cast("long").alias("instances"), F.collect_list(F.struct("child_class", "n")).alias("_children"))
+    children = whole.where(F.col("instances") >= least).select(key, "parent_class", "instances", F.inline("_children"))
     children = children.where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("instances") * share)))
     by_parent = Window.partitionBy(key, "parent_class")
     kept = children.withColumn("_n", F.row_number().over(by_parent.orderBy(F.desc("n"), "child_class"))).withColumn("_all", F.count(F.lit(1)).over(by_parent))
