@@ -125,3 +125,21 @@ def test_exact_curves_and_reports(spark):
     one = spark.createDataFrame([(1, 0.5, 1)], "won int, proba double, prediction int")
     assert {(r.actual, r.predicted): r.n for r in learning.confusion(one).collect()} == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 1}
     assert learning.classification_report(one.limit(0)).count() == 2 and learning.curve_points(one.limit(0)).count() == 0
+
+
+def test_keys_are_told_hot_by_whole_counts_of_few_hashes(spark, monkeypatch):
+    monkeypatch.setattr(places, "HASHES", 4)
+    rows = spark.range(1000).selectExpr("CASE WHEN id < 300 THEN NULL WHEN id < 700 THEN 7 ELSE id END AS a", "id AS b")
+    hot = places._hot_keys(rows, ["a", "b"], 300)
+    assert sorted(map(tuple, hot.collect()), key=str) == [("a", "7"), ("a", None)]
+    assert places._hot_keys(rows, ["b"], 300).count() == 0
+
+
+def test_history_computes_only_what_a_query_needs(spark):
+    from turfline.plans import scoring
+
+    plan = lambda *columns: scoring._history_rows(spark, "/root/testdata/sf0.001", columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan("horse", "family")
+    of_horse = plan("horse", "height", "horse_rate")
+    windows = [x for x in of_horse.splitlines() if "Window " in x]
+    assert 1 <= len(windows) <= 3 and not any("l_tax" in x or "rider" in x.split("windowspecdefinition")[-1] for x in windows[:1])

@@ -29,14 +29,33 @@ q AS (SELECT DISTINCT horse, rider, CASE WHEN horse % 7 = 0 THEN 'UNKNOWN' ELSE
       FROM fact WHERE contest_time >= TIMESTAMP '{CUT}')"""
 
 
-def _history(spark: SparkSession, d: str) -> DataFrame:
-    """History with its features, staged: a prediction reads it a dozen times."""
-    rows = features.prior_rates(participations(spark, d), _KEYS, "won", time_order())
-    rows = rows.withColumn("field", F.count(F.lit(1)).over(Window.partitionBy("contest")))
-    rows = rows.where(F.col("contest_time") < F.lit(CUT).cast("timestamp"))
-    rows = rows.withColumns({c: F.expr(e) for c, e in _CATEGORY.items()})
-    rows = rows.withColumn("team", F.when(F.col("team") == "O", 1).otherwise(0))
-    return stage(rows.select(*_HISTORY), "history")
+def _history_rows(spark: SparkSession, d: str, columns: tuple[str, ...]) -> DataFrame:
+    """History with these of its columns. Only what they need is computed and shuffled.
+
+    A row's place in its contest stands for the columns that only order rows, and rows of a later
+    day, which no rate of history counts, go before the rates. Horses come last, so that their rows lie together.
+    """
+    keys = {k: k for k in ("rider", "club", "horse") if {f"{k}_rate", f"{k}_starts"} & set(columns)}
+    rows, contest = participations(spark, d), Window.partitionBy("contest")
+    day, cut = F.col("contest_time"), F.lit(CUT).cast("timestamp")
+    rates = [f"{k}_{x}" for k in keys for x in ("rate", "starts")]
+    made = {c: F.expr(e) for c, e in _CATEGORY.items()} | {"team": F.when(F.col("team") == "O", 1).otherwise(0)}
+    sources = {"sex": ("job",), "coat": ("team",), "size": ("round",), "kind": ("job", "team")}
+    if "field" in columns:
+        rows = rows.withColumn("field", F.count(F.lit(1)).over(contest))
+    needs = [x for c in columns if c not in rates for x in sources.get(c, (c,))]
+    if keys:
+        rows = rows.withColumn("_place", F.row_number().over(contest.orderBy(*time_order())))
+        needs += ["contest", "_place", "won", *keys]
+    rows = rows.where(day.isNull() | (day < cut)).select(*dict.fromkeys([*needs, "contest_time"]))
+    if keys:
+        rows = features.prior_rates(rows, keys, "won", [day.asc_nulls_first(), F.col("contest").asc_nulls_first(), F.col("_place")])
+    return rows.where(day < cut).select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
+
+
+def _history(spark: SparkSession, d: str, columns: tuple[str, ...] = _HISTORY) -> DataFrame:
+    """History staged: a prediction reads it a dozen times."""
+    return stage(_history_rows(spark, d, columns), "history")
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +80,7 @@ JOIN h ON h.horse = r.horse AND (s NOT LIKE 'height%' OR h.height = r.height) AN
 @query(f"WITH {_HISTORY_SQL} {_NARROW_SQL}")
 def exact_narrowing(spark: SparkSession, d: str) -> DataFrame:
     """The rows of a horse at exactly the height, then at exactly the level, where there are any."""
-    found = scoring.narrowed(_history(spark, d), _requests(spark, d), "horse", ("horse_rate",), "horse_starts")
+    found = scoring.narrowed(_history_rows(spark, d, ("horse", "height", "level", "horse_rate", "horse_starts")), _requests(spark, d), "horse", ("horse_rate",), "horse_starts")
     return found.select("horse", "height", "level", "scope", "starts", F.round("horse_rate", 6).alias("horse_rate"), F.col("horse_starts").cast("bigint").alias("horse_starts"))
 
 
@@ -78,7 +97,7 @@ r AS (SELECT q.horse, q.rider, q.family AS given, q.height AS asked_height, q.le
 @query(f"WITH {_HISTORY_SQL}, {_FAMILY_SQL} SELECT horse, rider, given, asked_height AS height, asked_level AS level, family FROM r")
 def family_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The family that a request counts in: as given if known, else the horse's usual one, else everyone's."""
-    return scoring.resolved_family(_history(spark, d), _requests(spark, d)).select("horse", "rider", "given", "height", "level", "family")
+    return scoring.resolved_family(_history(spark, d, ("horse", "family")), _requests(spark, d)).select("horse", "rider", "given", "height", "level", "family")
 
 
 def _portrait_sql(name: str, keys: str) -> str:
