@@ -224,3 +224,12 @@ def test_every_query_has_a_docstring_and_a_plan(spark):
 
     assert len(registry.QUERIES) > 55 and set(registry.ORACLES) <= set(registry.QUERIES)
     assert all(q.__doc__ for q in registry.QUERIES.values())
+
+
+def test_combinations_are_never_shuffled(spark):
+    from turfline.plans import registry
+
+    plan = registry.QUERIES["combo_means"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "posexplode" in line)
+    assert not any(word in line for line in plan[:at] for word in ("Join", "Aggregate", "Window", "Repartition"))
+    assert any("RepartitionByExpression" in line for line in plan[at : at + 3])

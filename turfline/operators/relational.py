@@ -57,3 +57,10 @@ def dedup_rows(rows: DataFrame, attributes: str, position: str, leave_out: list[
     keyed = rows.withColumn("_key", content_key(attributes, leave_out)).where("_key IS NOT NULL")
     w = Window.partitionBy("_key").orderBy(position)
     return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys over tasks for all cores, whatever their bytes: where few bytes make much work (a page to write and parse, rows to explode), files and shuffled blocks that are small tell nothing of it."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)

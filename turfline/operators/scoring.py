@@ -14,10 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import pseudo_age, verdict
 from . import profiles
 from .features import FIRST_RATE
+from .relational import spread
 
 CATEGORIES = ("sex", "coat", "size", "kind")
 #: What an unknown sex and coat count as.
@@ -84,15 +86,24 @@ def feature_vectors(history: DataFrame, requests: DataFrame, density: str = "")
     else from all its rows; of an unknown horse from the family's rows, else from all.
     Rates come from the rows at exactly the requested height and level where there are any.
     """
-    rows = resolved_family(history, requests).withColumns({"_asked_height": F.col("height"), "_asked_level": F.col("level")})
+    rows = _described(history, requests).withColumns({"_asked_height": F.col("height"), "_asked_level": F.col("level")})
+    horse = narrowed(history, requests, "horse", ("horse_rate", "club_rate"), "horse_starts")
+    rider = narrowed(history, requests, "rider", ("rider_rate",), "rider_starts")
+    return _computed(_join_narrowed(_join_narrowed(rows, horse, "horse", "eh"), rider, "rider", "er"), density)
+
+
+def _described(history: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests with their resolved family and what the history says of horse and family, whatever height and level are asked."""
+    rows = resolved_family(history, requests)
     for keys, name in ((["horse", "family"], "_hf"), (["horse"], "_h"), (["family"], "_f")):
         rows = rows.join(_portraits(history, keys, name), keys, "left")
     rows = rows.join(F.broadcast(_portraits(history, [], "_a")), how="left")  # one row
-    horse = narrowed(history, requests, "horse", ("horse_rate", "club_rate"), "horse_starts")
-    rider = narrowed(history, requests, "rider", ("rider_rate",), "rider_starts")
-    rows = _join_narrowed(_join_narrowed(rows, horse, "horse", "eh"), rider, "rider", "er")
     points = history.groupBy("horse").agg(F.avg("pts").alias("_points"))
-    rows = rows.join(points, "horse", "left")
+    return rows.join(points, "horse", "left")
+
+
+def _computed(rows: DataFrame, density: str = "") -> DataFrame:
+    """The features of described rows with their narrowed statistics (_eh_, _er_)."""
     basis = F.when(F.col("_h").isNull(), F.coalesce("_f", "_a")).when(F.col("_hf.n") >= 2, F.col("_hf")).otherwise(F.col("_h"))
     rows = rows.withColumn("_b", basis)
     either = lambda c: F.coalesce(F.col(f"_b.{c}"), F.col(f"_a.{c}"))
@@ -141,12 +152,16 @@ def _means(history: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return history.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}_runs"), F.avg("rk").alias(f"{prefix}_mean"))
 
 
+def _percent(proba: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(proba).cast("int")))
+
+
 def predictions(history: DataFrame, requests: DataFrame, proba: Column) -> DataFrame:
     """feature_vectors with proba (0 to 100, of `proba` over the features), totals of horse, rider and pair, age and cold.
 
     A pair is cold if its horse or its rider has no history.
     """
-    rows = feature_vectors(history, requests).withColumn("proba", F.greatest(F.lit(0), F.least(F.lit(100), F.bround(proba).cast("int"))))
+    rows = feature_vectors(history, requests).withColumn("proba", _percent(proba))
     for keys, name in ((["horse"], "horse"), (["rider"], "rider"), (["horse", "rider"], "pair")):
         rows = rows.join(history.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_runs"), F.sum("won").alias(f"{name}_wins")), keys, "left")
     rows = rows.withColumn("cold", F.col("horse_runs").isNull() | F.col("rider_runs").isNull())
@@ -156,7 +171,10 @@ def predictions(history: DataFrame, requests: DataFrame, proba: Column) -> DataF
 
 def _with_rank(rows: DataFrame, fields: DataFrame) -> DataFrame:
     """rank from proba, the family's median field and the exact mean ranks horse_mean and rider_mean."""
-    rows = rows.join(fields, "family", "left")
+    return _ranked(rows.join(fields, "family", "left"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
     raw = profiles.estimated_rank(F.col("proba"), F.col("median_field"))
     rows = rows.withColumn("raw_rank", raw)
     return rows.withColumn("rank", profiles.blended_rank(F.col("raw_rank"), F.col("proba"), F.col("horse_mean"), F.col("rider_mean")))
@@ -175,23 +193,74 @@ def by_family(history: DataFrame, pairs: DataFrame, fields: DataFrame, proba: Co
     return profiles.ranked_within(rows, ["horse", "rider"], [F.desc("proba"), F.col("family")], "place")
 
 
+def _scopes(history: DataFrame, entity: str, means: tuple[str, ...], greatest: str, name: str) -> DataFrame:
+    """entity and `name`: what `narrowed` can leave of an entity, as maps by height, by level and by both, and of all its rows."""
+    sums = [x for c in means for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))]
+    cells = history.where(F.col(entity).isNotNull()).groupBy(entity, "height", "level").agg(F.max(greatest).alias("max"), *sums)
+
+    def told(*keys: str) -> Column:
+        of = Window.partitionBy(entity, *keys)
+        values = [(F.sum(f"s_{c}").over(of) / F.nullif(F.sum(f"n_{c}").over(of), F.lit(0))).alias(c) for c in means]
+        return F.struct(*values, F.max("max").over(of).alias(greatest))
+
+    cells = cells.withColumns({"_tall": told("height"), "_same": told("level"), "_exact": told("height", "level"), "_all": told()})
+    known = {"tall": ("height",), "same": ("level",), "exact": ("height", "level")}
+    maps = []
+    for scope, keys in known.items():
+        key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+        found = F.when(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull(), F.struct(key.alias("key"), F.col(f"_{scope}").alias("value")))
+        maps.append(F.map_from_entries(F.collect_set(found)).alias(scope))
+    return cells.groupBy(entity).agg(F.struct(*maps, F.first("_all").alias("all")).alias(name))
+
+
+def _picked(name: str) -> Column:
+    """The statistics at exactly the height, and of these at the level; else at the level; else all."""
+    c = F.col
+    tall, same, exact = c(f"{name}.tall")[c("height")], c(f"{name}.same")[c("level")], c(f"{name}.exact")[F.struct("height", "level")]
+    return F.when(tall.isNotNull(), F.coalesce(F.when(c("level").isNotNull(), exact), tall)).otherwise(F.coalesce(same, c(f"{name}.all")))
+
+
+def _combo_means(history: DataFrame, entity: str) -> DataFrame:
+    """entity, family and a map from (height, level) to runs and mean rank of exactly that combination."""
+    exact = _means(history.where("family IS NOT NULL AND height IS NOT NULL AND level IS NOT NULL"), [entity, "family", "height", "level"], entity)
+    entry = F.struct(F.struct("height", "level").alias("key"), F.struct(f"{entity}_runs", f"{entity}_mean").alias("value"))
+    return exact.groupBy(entity, "family").agg(F.map_from_entries(F.collect_list(entry)).alias(f"_of_{entity}"))
+
+
 def by_combo(history: DataFrame, asked: DataFrame, fields: DataFrame, proba: Column) -> DataFrame:
     """A prediction for each height and level that anyone has run in the asked family, with means of exactly that combination.
 
     asked: horse, rider, family and, to fix an axis, height or level. `place` orders a
-    request's rows by height (none first), then level.
+    request's rows by height (none first), then level. Everything that the history says is joined to the
+    requests, as maps by height and level; combinations come last, and are never shuffled.
     """
-    height = F.when(F.col("height") > 0, F.col("height"))
-    combos = history.select("family", height.alias("_height"), F.col("level").alias("_level")).distinct()
-    rows = asked.join(combos, "family").where((F.col("height").isNull() | (F.col("height") == F.col("_height"))) & (F.col("level").isNull() | (F.col("level") == F.col("_level"))))
-    rows = rows.drop("height", "level").withColumnsRenamed({"_height": "height", "_level": "level"}).distinct()
-    rows = predictions(history, rows, proba).drop("horse_runs", "rider_runs")
-    rows = rows.drop("height", "level").withColumnsRenamed({"_asked_height": "height", "_asked_level": "level"})
+    c = F.col
+    height = F.when(c("height") > 0, c("height"))
+    combos = history.select("family", height.alias("height"), "level").distinct()
+    combos = combos.groupBy(c("family").alias("_of")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("height", F.lit(0)).alias("at"), "level", "height"))).alias("_combos"))
+    axes = asked.where("family IS NOT NULL").groupBy("horse", "rider", "family").agg(F.collect_set(F.struct("height", "level")).alias("_axes"))
+    rows = _described(history, axes)
+    rows = rows.join(_scopes(history, "horse", ("horse_rate", "club_rate"), "horse_starts", "_eh"), "horse", "left").join(_scopes(history, "rider", ("rider_rate",), "rider_starts", "_er"), "rider", "left")
+    for keys, name in ((["horse"], "horse"), (["rider"], "rider"), (["horse", "rider"], "pair")):
+        known = F.sum("won").alias(f"{name}_wins"), F.count(F.lit(1)).alias(f"_{name}_n")
+        rows = rows.join(history.groupBy(*keys).agg(*known), keys, "left")
     for e in ("horse", "rider"):
-        exact = _means(history, [e, "family", "height", "level"], e)
-        rows = rows.join(exact, [e, "family", "height", "level"], "left")
-    rows = _with_rank(rows, fields).fillna(0, ["horse_runs", "rider_runs"])
-    return profiles.ranked_within(rows, ["horse", "rider", "family"], [F.coalesce("height", F.lit(0)), F.col("level")], "place")
+        rows = rows.join(_combo_means(history, e), [e, "family"], "left")
+    rows = rows.join(fields, "family", "left").join(combos, c("given") == c("_of")).drop("_of")
+    # An axis that is not asked takes any value.
+    fits = lambda x: F.exists("_axes", lambda a: (a["height"].isNull() | F.coalesce(a["height"] == x["height"], F.lit(False))) & (a["level"].isNull() | F.coalesce(a["level"] == x["level"], F.lit(False))))
+    rows = spread(rows, "horse", "rider", "given").select("*", F.posexplode(F.filter("_combos", fits)).alias("_at", "_c")).drop("_combos", "_axes")
+    rows = rows.withColumns({"place": c("_at") + 1, "height": c("_c.height"), "level": c("_c.level")}).drop("_at", "_c")
+    rows = rows.withColumns({"_asked_height": c("height"), "_asked_level": c("level"), "_eh": _picked("_eh"), "_er": _picked("_er")})
+    both = F.struct("height", "level")
+    exact = {e: F.when(c("height").isNotNull() & c("level").isNotNull(), c(f"_of_{e}")[both]) for e in ("horse", "rider")}
+    rows = rows.withColumns({f"{e}_{k}": x[f"{e}_{k}"] for e, x in exact.items() for k in ("runs", "mean")}).drop("_of_horse", "_of_rider")
+    rows = rows.withColumns({"_eh_horse_rate": c("_eh.horse_rate"), "_eh_club_rate": c("_eh.club_rate"), "_eh_horse_starts": c("_eh.horse_starts"), "_er_rider_rate": c("_er.rider_rate"), "_er_rider_starts": c("_er.rider_starts")}).drop("_eh", "_er")
+    rows = _computed(rows).withColumn("proba", _percent(proba)).withColumn("cold", c("_horse_n").isNull() | c("_rider_n").isNull())
+    rows = rows.withColumn("age", pseudo_age(F.coalesce("_horse_n", F.lit(0)))).withColumn("pair_runs", c("_pair_n")).drop("_horse_n", "_rider_n", "_pair_n")
+    rows = rows.drop("height", "level").withColumnsRenamed({"_asked_height": "height", "_asked_level": "level"})
+    rows = rows.fillna(0, ["horse_wins", "rider_wins", "pair_wins", "pair_runs", "horse_runs", "rider_runs"])
+    return _ranked(rows)
 
 
 def batch(history: DataFrame, entries: DataFrame, proba: Column) -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions import html_context, html_rows, html_select
 from ..functions import text as t
 from ..operators import chain, controls, extraction
 from ..operators import documents as docs
+from ..operators.relational import spread
 from ..staging import stage
 from .bindings import table
 from .define import query
@@ -52,13 +53,6 @@ def _record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def spread(rows: DataFrame, key: str | Column) -> DataFrame:
-    """rows dealt by key over tasks for all cores, whatever their bytes: a page is written and parsed from a few hundred bytes, so files and shuffled blocks that are small tell nothing of the work."""
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, key)
-
-
 def _joined(parts: Column) -> Column:
     return F.array_join(parts, "")
 
