@@ -54,3 +54,8 @@ def test_a_model_of_earlier_contests_beats_chance_on_later_ones(spark):
     rows = registry.QUERIES["fit_and_score"](spark, SF_DIR)
     late = rows.where("is_test").agg(F.count(F.lit(1)).alias("n"), F.corr("proba", "won").alias("r"), F.min("proba").alias("lo"), F.max("proba").alias("hi")).first()
     assert 0.1 * rows.count() < late.n < 0.3 * rows.count() and 0 <= late.lo < late.hi <= 1 and late.r > -0.05
+
+
+def test_staged_rows_hold_no_column_that_only_orders_them(spark):
+    plan = lambda name: registry.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().analyzed().toString()
+    assert "price" not in plan("stratified_split") and "Window" not in plan("fit_and_score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..operators import explore, features, learning, relational
@@ -153,8 +154,10 @@ def label_codes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {FACT} SELECT contest, round, horse, won, row_number() OVER (PARTITION BY won ORDER BY md5('42:' || contest || ':' || round || ':' || horse), {ORDER_SQL}) * 5 <= count(*) OVER (PARTITION BY won) AS is_test FROM fact")
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     """A fifth of every class as test rows, by seeded hash."""
-    rows = participations(spark, d).withColumn("_key", F.md5(F.concat_ws(":", F.lit("42"), "contest", "round", "horse")))
-    order = F.struct("_key", *[F.col(c) for c in ("contest", "round", "rider", "club", "horse", "rk", "ship", "price", "tax", "pts", "job", "team")])
+    # Rows of one hash go by their place in the contest, which stands for all columns that tell rows apart.
+    place = F.row_number().over(Window.partitionBy("contest").orderBy(*total_order()))
+    rows = participations(spark, d).select("contest", "round", "horse", "won", F.unhex(F.md5(F.concat_ws(":", F.lit("42"), "contest", "round", "horse"))).alias("_key"), place.alias("_nth"))
+    order = F.struct("_key", "contest", "_nth")
     return explore.stratified_test(rows, "won", order).select("contest", "round", "horse", "won", "is_test")
 
 
