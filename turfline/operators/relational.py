@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,3 +64,23 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return rows.repartition(tasks, *keys)
+
+
+#: Fixed value: about so many rows go to a task of a large join, window or deduplication.
+ROWS_A_TASK = 500_000
+
+
+def is_dealt(spark: SparkSession, n: int) -> bool:
+    """Whether n rows are more than ROWS_A_TASK in each of the tasks that run at once, or of the session's shuffle partitions if these are fewer."""
+    return n > ROWS_A_TASK * min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows, n of them or about that, dealt by keys into tasks of ROWS_A_TASK for what goes by these keys next; unchanged if they are few (is_dealt).
+
+    A task's sorts and hash tables then keep their size when the input grows, where Spark's own shuffles have a fixed
+    number of partitions and join those with few bytes. A join takes the number over for its other side. A key's rows stay in one task.
+    """
+    spark = rows.sparkSession
+    tasks = max(-(-n // ROWS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, *keys) if is_dealt(spark, n) else rows

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import outcome
+from ..operators import relational
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def participations(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
     head = F.substring("o_orderpriority", 1, 1)
+    n = li.count()  # from the files' footers
+    if relational.is_dealt(spark, n):
+        # Spark goes by bytes of files, which tell little of what a million parts take as a hash table.
+        few = part.count() <= relational.ROWS_A_TASK
+        li, part = (li, F.broadcast(part)) if few else (relational.dealt(li, n, "l_partkey"), part.hint("merge"))
     # Orders last: a contest's rows then lie together, for all that goes by contest.
-    joined = li.join(part, li["l_partkey"] == part["p_partkey"], "left").join(orders, li["l_orderkey"] == orders["o_orderkey"], "left")
+    joined = relational.dealt(li.join(part, F.col("l_partkey") == F.col("p_partkey"), "left"), n, "l_orderkey")
+    joined = joined.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     rows = joined.select(
         F.col("l_orderkey").alias("contest"),
         F.col("l_linenumber").alias("round"),
