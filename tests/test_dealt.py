@@ -39,3 +39,16 @@ def test_few_rows_stay_as_they_are(spark):
     rows = spark.range(4000)
     assert relational.dealt(rows, 4 * relational.ROWS_A_TASK, "id") is rows
     assert relational.dealt(rows, 4 * relational.ROWS_A_TASK + 1, "id").rdd.getNumPartitions() == 5
+
+
+def test_a_task_of_clean_rows_holds_few_rows_with_many_shuffle_partitions_too(spark, oracle, monkeypatch):
+    # Spark joins partitions of few bytes, so that their number alone bounds nothing.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        assert largest_task(registry.QUERIES["clean_rows"](spark, SF_DIR)) > 1000
+        monkeypatch.setattr(relational, "ROWS_A_TASK", 150)
+        assert largest_task(registry.QUERIES["clean_rows"](spark, SF_DIR)) <= 450
+        assert same_as_twin(spark, oracle, "clean_rows")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
