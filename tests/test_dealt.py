@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from turfline.operators import relational
+from turfline.operators import profiles, relational
 from turfline.plans import registry
 
 from .test_queries import SF_DIR, TABLES, comparable, pytestmark  # noqa: F401
@@ -52,3 +52,21 @@ def test_a_task_of_clean_rows_holds_few_rows_with_many_shuffle_partitions_too(sp
         assert same_as_twin(spark, oracle, "clean_rows")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("rows_a_task", [2, relational.ROWS_A_TASK])
+def test_families_of_pairs_hold_missing_and_repeated_ones_and_unfold_last(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr(relational, "ROWS_A_TASK", rows_a_task)
+    facts = [(1, 7, "a"), (1, 7, "a"), (1, None, "b"), (None, 7, None), (None, 7, "c"), (2, 8, None), (2, 7, None), (3, 9, "a"), (3, 9, "d"), (None, 9, "d"), (4, None, "e"), (None, None, "f")]
+    got = profiles.pair_families(spark.createDataFrame(facts, "horse long, rider long, family string"))
+    pairs = {(h, r) for h, r, _ in facts if h is not None and r is not None}
+    want = {(h, r, f) for h, r in pairs for x, y, f in facts if x == h or y == r}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    # The plan's top: pairs are unfolded, nothing is shuffled or made unique afterwards.
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate explode") < min(plan.index(x) for x in ("Aggregate", "Join"))
+
+
+def test_discipline_explosion_gives_the_same_rows_when_dealt(spark, oracle, monkeypatch):
+    monkeypatch.setattr(relational, "ROWS_A_TASK", 150)
+    assert same_as_twin(spark, oracle, "discipline_explosion")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..staging import stage
+from .relational import dealt
+
 
 def totals(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.sum("won").alias("wins"), F.count(F.lit(1)).alias("starts"), F.round(F.avg("rk"), 6).alias("mean_rank"))
@@ -49,6 +52,24 @@ def family_or_all(history: DataFrame, requests: DataFrame, entity: str) -> DataF
     return out.select(entity, "family", basis.alias("basis"), n.alias("starts"), w.alias("wins"))
 
 
+def pair_families(rows: DataFrame) -> DataFrame:
+    """horse, rider, family, each once: for every pair that ran, all families (null is one) in which its horse or its rider has a history.
+
+    Families are gathered by horse and by rider, so shuffles carry a row a pair or participation, and pairs are unfolded last.
+    """
+    rows = stage(rows.select("horse", "rider", "family"), "pair-families")
+    n = rows.count()
+
+    def gathered(entity: str) -> DataFrame:
+        held = dealt(rows.where(F.col(entity).isNotNull()).select(entity, "family"), n, entity)
+        sets = held.groupBy(entity).agg(F.collect_set("family").alias("_held"), F.bool_or(F.col("family").isNull()).alias("_none"))
+        return sets.select(entity, F.when(F.col("_none"), F.array_append("_held", F.lit(None))).otherwise(F.col("_held")).alias(f"_by_{entity}"))
+
+    pairs = dealt(rows.where("horse IS NOT NULL AND rider IS NOT NULL").select("horse", "rider"), n, "horse").distinct()
+    both = dealt(pairs.join(gathered("horse"), "horse"), n, "rider").join(gathered("rider"), "rider")
+    return both.select("horse", "rider", F.explode(F.array_union("_by_horse", "_by_rider")).alias("family"))
+
+
 def estimated_rank(percent: Column, median_field: Column) -> Column:
     """1 + half-even((100 - p) / 100 * (n - 1)), with n the whole part of the median field, 12 without, 2 at least."""
     n = F.greatest(F.lit(2), F.coalesce(median_field.cast("int"), F.lit(12)))

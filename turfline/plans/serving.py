@@ -128,11 +128,7 @@ def combo_explosion(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {FACT}, p AS (SELECT DISTINCT horse, rider FROM fact WHERE horse IS NOT NULL AND rider IS NOT NULL) SELECT horse, rider, family FROM p JOIN (SELECT DISTINCT horse, family FROM fact) USING (horse) UNION SELECT horse, rider, family FROM p JOIN (SELECT DISTINCT rider, family FROM fact) USING (rider)")
 def discipline_explosion(spark: SparkSession, d: str) -> DataFrame:
     """All families in which a pair's horse or rider has a history."""
-    rows = participations(spark, d)
-    pairs = rows.where("horse IS NOT NULL AND rider IS NOT NULL").select("horse", "rider").distinct()
-    by_horse = pairs.join(rows.select("horse", "family").distinct(), "horse").select("horse", "rider", "family")
-    by_rider = pairs.join(rows.select("rider", "family").distinct(), "rider").select("horse", "rider", "family")
-    return by_horse.union(by_rider).distinct()
+    return profiles.pair_families(participations(spark, d))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R'), l_quantity DESC, l_partkey, l_suppkey, l_shipdate, l_extendedprice)::INTEGER AS predicted_rank, CASE WHEN l_returnflag = 'R' THEN 'cold-start' WHEN l_quantity * 2 >= 60 THEN 'favori' WHEN l_quantity * 2 >= 35 THEN 'outsider+' ELSE 'outsider' END AS verdict FROM lineitem")
