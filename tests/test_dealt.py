@@ -54,6 +54,32 @@ def test_a_task_of_clean_rows_holds_few_rows_with_many_shuffle_partitions_too(sp
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+# 12 parts are dealt at 5 rows a task and broadcast at 20; 600 rows are dealt at both.
+@pytest.mark.parametrize("rows_a_task", [5, 20, relational.ROWS_A_TASK])
+def test_clean_rows_of_odd_rows_are_the_same_however_they_are_dealt(spark, tmp_path, monkeypatch, rows_a_task):
+    db = duckdb.connect()
+    odd = {
+        # Each row three times; orders and parts that are null, missing, repeated or without a size or type; ranks below 0 and null ones.
+        "lineitem": f"""SELECT nullif(i % 23, 22)::BIGINT AS l_orderkey, nullif(i % 17, 16)::BIGINT AS l_partkey, (i % 3)::INTEGER AS l_linenumber,
+                        CASE WHEN i % 11 < 10 THEN i % 11 - 1 END::DOUBLE AS l_quantity, l.* EXCLUDE (l_orderkey, l_partkey, l_linenumber, l_quantity, i)
+                        FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS i FROM '{SF_DIR}/lineitem.parquet' LIMIT 200) l, range(3) AS copies""",
+        "orders": f"SELECT nullif(i % 19, 18)::BIGINT AS o_orderkey, o.* EXCLUDE (o_orderkey, i) FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i FROM '{SF_DIR}/orders.parquet' LIMIT 40) o",
+        "part": f"""SELECT nullif(i % 10, 9)::BIGINT AS p_partkey, CASE WHEN i % 10 < 7 THEN p_size END AS p_size, CASE WHEN i % 10 > 2 THEN p_type END AS p_type, p.* EXCLUDE (p_partkey, p_size, p_type, i)
+                    FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS i FROM '{SF_DIR}/part.parquet' LIMIT 12) p""",
+    }
+    for name, sql in odd.items():
+        db.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    monkeypatch.setattr(relational, "ROWS_A_TASK", rows_a_task)
+    got, want = registry.QUERIES["clean_rows"](spark, str(tmp_path)), db.execute(registry.ORACLES["clean_rows"])
+    rows = [tuple(r) for r in got.collect()]
+    assert 0 < len(rows) < 600 and any(None in r for r in rows)
+    assert comparable(got.columns, rows) == comparable([d[0] for d in want.description], want.fetchall())
+    # Rows are dealt before they are made unique.
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert ("REPARTITION_BY_NUM" in plan[plan.index("Aggregate") :]) == (rows_a_task < 500)
+
+
 @pytest.mark.parametrize("rows_a_task", [2, relational.ROWS_A_TASK])
 def test_families_of_pairs_hold_missing_and_repeated_ones_and_unfold_last(spark, monkeypatch, rows_a_task):
     monkeypatch.setattr(relational, "ROWS_A_TASK", rows_a_task)
