@@ -82,5 +82,9 @@ def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     number of partitions and join those with few bytes. A join takes the number over for its other side. A key's rows stay in one task.
     """
     spark = rows.sparkSession
-    tasks = max(-(-n // ROWS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(tasks, *keys) if is_dealt(spark, n) else rows
+    return rows.repartition(tasks_for(spark, n), *keys) if is_dealt(spark, n) else rows
+
+
+def tasks_for(spark: SparkSession, n: int) -> int:
+    """The session's shuffle partitions, or as many as n rows ask for if these are more."""
+    return max(-(-n // ROWS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))

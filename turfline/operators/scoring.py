@@ -14,12 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import pseudo_age, verdict
+from ..staging import stage
 from . import profiles
 from .features import FIRST_RATE
-from .relational import spread
+from .relational import tasks_for
 
 CATEGORIES = ("sex", "coat", "size", "kind")
 #: What an unknown sex and coat count as.
@@ -71,12 +71,64 @@ def resolved_family(history: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.withColumn("family", family).drop("_known", "_usual", "_every")
 
 
-def _portraits(history: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """What the history rows of a key say of its horses and contests, as one struct."""
-    modes = [F.mode(c, True).alias(f"_{c}") for c in (*CATEGORIES, "level")]
-    means = [F.avg(c).alias(a) for c, a in (("team", "_team"), ("field", "_field"), ("level", "_level_num"))]
-    agg = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *modes, F.percentile("height", F.lit(0.5)).alias("_height"), *means)
-    return agg.select(*keys, F.struct(*[F.col(c).alias(c[1:]) for c in agg.columns if c not in keys]).alias(name))
+def _portraits(history: DataFrame, keys: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """keys and, as `portrait`, what the history rows of a key say of its horses and contests, with sums of more columns."""
+    modes = [F.mode(c, True).alias(c) for c in (*CATEGORIES, "level")]
+    means = [F.avg(c).alias(a) for c, a in (("team", "team"), ("field", "field"), ("level", "level_num"), ("pts", "points"))]
+    agg = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *modes, F.percentile("height", F.lit(0.5)).alias("height"), *means, *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    return agg.select(*keys, F.struct(*[F.col(c) for c in agg.columns if c not in keys]).alias("portrait"))
+
+
+def _horses(history: DataFrame, n: int, *sums: str) -> DataFrame:
+    """horse, `_usual`, its most frequent family, `_h`, its portrait, and `_by`, its portraits by family; staged.
+
+    Portraits are made where all rows of a horse are. A horse of one family has one; the others' rows are read again.
+    """
+    tasks = tasks_for(history.sparkSession, n)
+    columns = dict.fromkeys(["horse", "family", "team", "field", "level", "height", "pts", *CATEGORIES, *sums])
+    rows = history.where("horse IS NOT NULL").select(*columns)
+    entry = F.when(F.col("family").isNotNull(), F.struct("family", "portrait"))
+    most = F.min(F.when(F.col("family").isNotNull(), F.struct((-F.col("portrait.n")).alias("n"), "family")))["family"]
+    by = _portraits(rows.repartition(tasks, "horse"), ["horse", "family"], sums).groupBy("horse")
+    found = by.agg(most.alias("_usual"), F.max("portrait").alias("_h"), F.count(F.lit(1)).alias("_n"), F.map_from_entries(F.collect_list(entry)).alias("_by"))
+    found = stage(found, "horses", free=True, partitions=tasks)
+    several = found.where("_n > 1").select("horse")
+    if several.isEmpty():
+        return found.drop("_n")
+    whole = stage(_portraits(rows.join(several, "horse", "left_semi"), ["horse"], sums), "horses-of-families", free=True, partitions=tasks)
+    return found.join(whole, "horse", "left").withColumn("_h", F.coalesce("portrait", "_h")).drop("_n", "portrait")
+
+
+def _families(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`_family` and its portrait `_f`, a row a family; one row of the most frequent family, `_every`, and everyone's portrait, `_a`. Staged.
+
+    Values are counted together before they are counted one by one, so that few rows reach modes and medians.
+    """
+    kinds, c = dict(history.dtypes), F.col
+    numbers = ("level", "height")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    means = {"team": "team", "field": "field", "level": "level_num"}
+    held = [x for m in means for x in (F.sum(m).alias(f"s_{m}"), F.count(m).alias(f"n_{m}"))]
+    totals = ["n", *[f"{k}_{m}" for m in means for k in "sn"]]
+    rows = history.groupBy("family", *CATEGORIES, *numbers).agg(F.count(F.lit(1)).alias("n"), *held)
+    values = [(text, number), *[(c(x).cast("string"), number) for x in CATEGORIES], *[(text, c(x).cast("double")) for x in numbers]]
+    values = [F.struct(F.lit(i).alias("which"), t.alias("text"), x.alias("number")) for i, (t, x) in enumerate(values)]
+    rows = rows.select("family", *totals, F.inline(F.array(*values))).where("which = 0 OR text IS NOT NULL OR number IS NOT NULL")
+    counts = stage(rows.groupBy("family", "which", "text", "number").agg(*[F.sum(x).alias(x) for x in totals]), "families", free=True)
+
+    def portraits(*keys: str) -> DataFrame:
+        own = counts.groupBy(*keys, "which", "text", "number").agg(*[F.sum(x).alias(x) for x in totals])
+        mode = lambda i, of: F.min(F.when(c("which") == i, F.struct((-c("n")).alias("n"), of)))[of]
+        modes = [mode(i + 1, "text").cast(kinds[x]).alias(x) for i, x in enumerate(CATEGORIES)]
+        at = len(CATEGORIES) + 1
+        modes += [mode(at, "number").cast(kinds["level"]).alias("level"), F.percentile(F.when(c("which") == at + 1, c("number")), F.lit(0.5), c("n")).alias("height")]
+        whole = lambda x: F.sum(F.when(c("which") == 0, c(x)))
+        agg = own.groupBy(*keys).agg(whole("n").alias("n"), *modes, *[(whole(f"s_{m}") / F.nullif(whole(f"n_{m}"), F.lit(0))).alias(a) for m, a in means.items()])
+        return agg.select(*keys, F.struct(*[c(x) for x in agg.columns if x not in keys]).alias("portrait"))
+
+    known = portraits("family").where("family IS NOT NULL").select(c("family").alias("_family"), c("portrait").alias("_f"))
+    most = known.agg(F.min(F.struct((-c("_f.n")).alias("n"), "_family"))["_family"].alias("_every"))
+    return known, most.join(F.broadcast(portraits().select(c("portrait").alias("_a"))))  # one row each
 
 
 def feature_vectors(history: DataFrame, requests: DataFrame, density: str = "") -> DataFrame:
@@ -86,38 +138,54 @@ def feature_vectors(history: DataFrame, requests: DataFrame, density: str = "")
     else from all its rows; of an unknown horse from the family's rows, else from all.
     Rates come from the rows at exactly the requested height and level where there are any.
     """
-    rows = _described(history, requests).withColumns({"_asked_height": F.col("height"), "_asked_level": F.col("level")})
-    horse = narrowed(history, requests, "horse", ("horse_rate", "club_rate"), "horse_starts")
-    rider = narrowed(history, requests, "rider", ("rider_rate",), "rider_starts")
-    return _computed(_join_narrowed(_join_narrowed(rows, horse, "horse", "eh"), rider, "rider", "er"), density)
+    return _vectors(history, requests, history.count(), density=density).drop("_h")
+
+
+def _vectors(history: DataFrame, requests: DataFrame, n: int, *sums: str, density: str = "") -> DataFrame:
+    """feature_vectors of n rows of history; `_h` has the horse's number of rows and its sums.
+
+    What history says is staged by entity, step by step, so that a step's shuffles are gone before the next one's; requests meet it when it is small.
+    """
+    tasks = tasks_for(history.sparkSession, n)
+    found = lambda entity, means: stage(narrowed(history, requests, entity, means, f"{entity}_starts"), f"narrowed-{entity}", free=True, partitions=tasks)
+    rows = requests.withColumns({"_asked_height": F.col("height"), "_asked_level": F.col("level")})
+    rows = _join_narrowed(rows, found("rider", ("rider_rate",)), "rider", "er")
+    rows = _join_narrowed(rows, found("horse", ("horse_rate", "club_rate")), "horse", "eh")
+    return _computed(_based(_described(history, rows, n, *sums)), density)
 
 
-def _described(history: DataFrame, requests: DataFrame) -> DataFrame:
+def _described(history: DataFrame, requests: DataFrame, n: int, *sums: str) -> DataFrame:
     """requests with their resolved family and what the history says of horse and family, whatever height and level are asked."""
-    rows = resolved_family(history, requests)
-    for keys, name in ((["horse", "family"], "_hf"), (["horse"], "_h"), (["family"], "_f")):
-        rows = rows.join(_portraits(history, keys, name), keys, "left")
-    rows = rows.join(F.broadcast(_portraits(history, [], "_a")), how="left")  # one row
-    points = history.groupBy("horse").agg(F.avg("pts").alias("_points"))
-    return rows.join(points, "horse", "left")
+    rows = requests.join(_horses(history, n, *sums), "horse", "left")
+    families, every = _families(history)
+    rows = rows.join(F.broadcast(every), how="left")  # one row
+    rows = rows.withColumnRenamed("family", "given").join(families.select("_family", F.lit(True).alias("_known")), F.col("given") == F.col("_family"), "left").drop("_family")
+    rows = rows.withColumn("family", F.when(F.col("_known"), F.col("given")).otherwise(F.coalesce("_usual", "_every"))).drop("_known", "_usual", "_every")
+    rows = rows.join(families, F.col("family") == F.col("_family"), "left").drop("_family")
+    return rows.withColumns({"_hf": F.col("_by")[F.col("family")], "_points": F.col("_h.points")})
+
+
+def _based(rows: DataFrame) -> DataFrame:
+    """Described rows with `_b`, the portrait that counts, in place of the others; what it lacks is everyone's, but for sex, coat and team."""
+    c = F.col
+    told = lambda x: F.when(c("_h").isNull(), F.when(c("_f").isNull(), c(f"_a.{x}")).otherwise(c(f"_f.{x}"))).when(c("_hf.n") >= 2, c(f"_hf.{x}")).otherwise(c(f"_h.{x}"))
+    fields = [told(x).alias(x) for x in ("sex", "coat", "team")] + [F.coalesce(told(x), c(f"_a.{x}")).alias(x) for x in ("size", "kind", "level", "height", "field", "level_num")]
+    return rows.withColumn("_b", F.struct(*fields)).drop("_hf", "_f", "_a", "_by")
 
 
 def _computed(rows: DataFrame, density: str = "") -> DataFrame:
-    """The features of described rows with their narrowed statistics (_eh_, _er_)."""
-    basis = F.when(F.col("_h").isNull(), F.coalesce("_f", "_a")).when(F.col("_hf.n") >= 2, F.col("_hf")).otherwise(F.col("_h"))
-    rows = rows.withColumn("_b", basis)
-    either = lambda c: F.coalesce(F.col(f"_b.{c}"), F.col(f"_a.{c}"))
+    """The features of based rows (_based) with their narrowed statistics (_eh_, _er_)."""
     rows = rows.withColumns(
         {
             "sex": F.coalesce("_b.sex", F.lit(USUAL_SEX)),
             "coat": F.coalesce("_b.coat", F.lit(USUAL_COAT)),
-            "size": either("size"),
-            "kind": either("kind"),
-            "height": F.coalesce(F.col("_asked_height").cast("double"), either("height")),
-            "level": F.coalesce(F.col("_asked_level"), either("level")),
+            "size": F.col("_b.size"),
+            "kind": F.col("_b.kind"),
+            "height": F.coalesce(F.col("_asked_height").cast("double"), F.col("_b.height")),
+            "level": F.coalesce(F.col("_asked_level"), F.col("_b.level")),
             "team": F.bround(F.coalesce("_b.team", F.lit(0.0))).cast("int"),
-            "field": F.bround(either("field")).cast("int"),
-            "level_num": either("level_num"),
+            "field": F.bround(F.col("_b.field")).cast("int"),
+            "level_num": F.col("_b.level_num"),
             "horse_rate": F.coalesce("_eh_horse_rate", F.lit(FIRST_RATE)),
             "horse_starts": F.coalesce("_eh_horse_starts", F.lit(0)),
             "rider_rate": F.coalesce("_er_rider_rate", F.lit(FIRST_RATE)),
@@ -139,7 +207,7 @@ def _computed(rows: DataFrame, density: str = "") -> DataFrame:
             "synergy_x_level": synergy * F.col("level_num"),
         }
     )
-    return rows.drop("_b", "_hf", "_h", "_f", "_a", "_points", *[c for c in rows.columns if c.startswith(("_eh_", "_er_"))])
+    return rows.drop("_b", "_points", *[c for c in rows.columns if c.startswith(("_eh_", "_er_"))])
 
 
 FEATURES = (
@@ -148,10 +216,6 @@ FEATURES = (
 )
 
 
-def _means(history: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    return history.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}_runs"), F.avg("rk").alias(f"{prefix}_mean"))
-
-
 def _percent(proba: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(proba).cast("int")))
 
@@ -161,20 +225,27 @@ def predictions(history: DataFrame, requests: DataFrame, proba: Column) -> DataF
 
     A pair is cold if its horse or its rider has no history.
     """
-    rows = feature_vectors(history, requests).withColumn("proba", _percent(proba))
-    for keys, name in ((["horse"], "horse"), (["rider"], "rider"), (["horse", "rider"], "pair")):
-        rows = rows.join(history.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_runs"), F.sum("won").alias(f"{name}_wins")), keys, "left")
-    rows = rows.withColumn("cold", F.col("horse_runs").isNull() | F.col("rider_runs").isNull())
+    n = history.count()
+    rows = _vectors(history, requests, n, "won").withColumn("proba", _percent(proba))
+    rows = rows.withColumns({"horse_runs": F.col("_h.n"), "horse_wins": F.col("_h.sum_won")})
+    rows = rows.join(_totals(history, ["rider"], "rider"), "rider", "left").join(_pairs(history, requests, n), ["horse", "rider"], "left")
+    rows = rows.withColumn("cold", F.col("horse_runs").isNull() | F.col("rider_runs").isNull()).drop("_h")
     rows = rows.fillna(0, [f"{n}_{k}" for n in ("horse", "rider", "pair") for k in ("runs", "wins")])
     return rows.withColumn("age", pseudo_age(F.col("horse_runs")))
 
 
-def _with_rank(rows: DataFrame, fields: DataFrame) -> DataFrame:
-    """rank from proba, the family's median field and the exact mean ranks horse_mean and rider_mean."""
-    return _ranked(rows.join(fields, "family", "left"))
+def _totals(history: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return history.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_runs"), F.sum("won").alias(f"{name}_wins"))
+
+
+def _pairs(history: DataFrame, requests: DataFrame, n: int) -> DataFrame:
+    """Totals of the requested pairs of horse and rider, staged."""
+    found = requests.select("horse", "rider").distinct().join(_totals(history, ["horse", "rider"], "pair"), ["horse", "rider"])
+    return stage(found, "pairs", free=True, partitions=tasks_for(history.sparkSession, n))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
+    """rank from proba, the family's median field and the exact mean ranks horse_mean and rider_mean."""
     raw = profiles.estimated_rank(F.col("proba"), F.col("median_field"))
     rows = rows.withColumn("raw_rank", raw)
     return rows.withColumn("rank", profiles.blended_rank(F.col("raw_rank"), F.col("proba"), F.col("horse_mean"), F.col("rider_mean")))
@@ -185,32 +256,69 @@ def by_family(history: DataFrame, pairs: DataFrame, fields: DataFrame, proba: Co
 
     fields: family, median_field. `place` orders a pair's rows by proba, then family.
     """
-    seen = [pairs.join(history.select(e, "family").where("family IS NOT NULL").distinct(), e).select("horse", "rider", "family") for e in ("horse", "rider")]
-    asked = seen[0].union(seen[1]).distinct().withColumns({"height": F.lit(None).cast("int"), "level": F.lit(None).cast("int")})
-    rows = predictions(history, asked, proba).drop("horse_runs", "rider_runs")
-    rows = rows.join(_means(history, ["horse", "family"], "horse"), ["horse", "family"], "left").join(_means(history, ["rider", "family"], "rider"), ["rider", "family"], "left")
-    rows = _with_rank(rows, fields).fillna(0, ["horse_runs", "rider_runs"])
+    n = history.count()
+    keep = lambda entity, means, prefix: stage(_overall(history, entity, means, prefix), f"overall-{entity}", free=True, partitions=tasks_for(history.sparkSession, n))
+    pairs = pairs.select("horse", "rider").distinct()
+    rows = pairs.join(_pairs(history, pairs, n), ["horse", "rider"], "left")
+    rows = rows.join(_horses(history, n), "horse", "left").drop("_usual").join(keep("horse", ("horse_rate", "club_rate"), "eh"), "horse", "left")
+    # Riders last: a pair's families are unfolded and placed where its rider's rows are.
+    rows = rows.join(keep("rider", ("rider_rate",), "er"), "rider", "left")
+    seen = [F.coalesce(F.map_keys(f"_of_{e}"), F.array().cast(f"array<{dict(history.dtypes)['family']}>")) for e in ("horse", "rider")]
+    rows = rows.withColumn("family", F.explode(F.array_union(*seen)))
+    rows = rows.withColumns({f"{e}_{k}": F.col(f"_of_{e}")[F.col("family")][k] for e in ("horse", "rider") for k in ("runs", "mean")}).drop("_of_horse", "_of_rider")
+    rows = rows.withColumns({"given": F.col("family"), "_hf": F.col("_by")[F.col("family")], "_points": F.col("_h.points"), "_asked_height": F.lit(None).cast("int"), "_asked_level": F.lit(None).cast("int")})
+    families, every = _families(history)
+    rows = rows.join(families, F.col("family") == F.col("_family"), "left").drop("_family").join(F.broadcast(every), how="left").drop("_every")
+    rows = rows.withColumns({"cold": F.col("_horse_n").isNull() | F.col("_rider_n").isNull(), "age": pseudo_age(F.coalesce("_horse_n", F.lit(0)))}).drop("_horse_n", "_rider_n")
+    rows = _computed(_based(rows)).drop("_h").withColumn("proba", _percent(proba))
+    rows = _ranked(rows.join(fields, "family", "left")).fillna(0, [f"{x}_{k}" for x in ("horse", "rider", "pair") for k in ("runs", "wins")])
     return profiles.ranked_within(rows, ["horse", "rider"], [F.desc("proba"), F.col("family")], "place")
 
 
-def _scopes(history: DataFrame, entity: str, means: tuple[str, ...], greatest: str, name: str) -> DataFrame:
-    """entity and `name`: what `narrowed` can leave of an entity, as maps by height, by level and by both, and of all its rows."""
+def _overall(history: DataFrame, entity: str, means: tuple[str, ...], prefix: str) -> DataFrame:
+    """entity, `_of_<entity>`: its runs and mean rank by family; its number of rows, wins, and the means and greatest number of starts of all its rows."""
+    starts = f"{entity}_starts"
     sums = [x for c in means for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))]
-    cells = history.where(F.col(entity).isNotNull()).groupBy(entity, "height", "level").agg(F.max(greatest).alias("max"), *sums)
+    known = history.where(F.col(entity).isNotNull())
+    cells = known.groupBy(entity, "family").agg(F.count(F.lit(1)).alias("runs"), F.avg("rk").alias("mean"), F.sum("won").alias("won"), F.max(starts).alias("most"), *sums)
+    by = F.map_from_entries(F.collect_list(F.when(F.col("family").isNotNull(), F.struct("family", F.struct("runs", "mean")))))
+    rates = [(F.sum(f"s_{c}") / F.nullif(F.sum(f"n_{c}"), F.lit(0))).alias(f"_{prefix}_{c}") for c in means]
+    return cells.groupBy(entity).agg(by.alias(f"_of_{entity}"), F.sum("runs").alias(f"_{entity}_n"), F.sum("won").alias(f"{entity}_wins"), F.max("most").alias(f"_{prefix}_{starts}"), *rates)
 
-    def told(*keys: str) -> Column:
-        of = Window.partitionBy(entity, *keys)
-        values = [(F.sum(f"s_{c}").over(of) / F.nullif(F.sum(f"n_{c}").over(of), F.lit(0))).alias(c) for c in means]
-        return F.struct(*values, F.max("max").over(of).alias(greatest))
 
-    cells = cells.withColumns({"_tall": told("height"), "_same": told("level"), "_exact": told("height", "level"), "_all": told()})
-    known = {"tall": ("height",), "same": ("level",), "exact": ("height", "level")}
-    maps = []
-    for scope, keys in known.items():
-        key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-        found = F.when(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull(), F.struct(key.alias("key"), F.col(f"_{scope}").alias("value")))
-        maps.append(F.map_from_entries(F.collect_set(found)).alias(scope))
-    return cells.groupBy(entity).agg(F.struct(*maps, F.first("_all").alias("all")).alias(name))
+def _cells(history: DataFrame, entity: str, means: tuple[str, ...], n: int) -> DataFrame:
+    """Counts and sums of an entity's rows by family, height and level, staged."""
+    sums = [x for c in ("rk", *means) for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))]
+    cells = history.where(F.col(entity).isNotNull()).groupBy(entity, "family", "height", "level").agg(F.count(F.lit(1)).alias("runs"), F.max(f"{entity}_starts").alias("most"), *sums)
+    return stage(cells, f"cells-{entity}", free=True, partitions=tasks_for(history.sparkSession, n))
+
+
+def _scopes(cells: DataFrame, entity: str, means: tuple[str, ...], name: str, tasks: int) -> DataFrame:
+    """entity, `name`: what `narrowed` can leave of an entity, as maps by height, by level and by both, and of all its rows; `_of_<entity>`: runs and mean rank by family, height and level.
+
+    Cells go to one of `tasks` by entity and are summed there by every scope that they count in.
+    """
+    c, scope = F.col, F.col("scope")
+    none = {k: F.lit(None).cast(t) for k, t in cells.dtypes if k in ("family", "height", "level")}
+    sets = [("height", "level"), ("height",), ("level",), (), ("family", "height", "level")]  # scopes 0 to 4
+    known = lambda keys: F.coalesce(*[F.when(c(k).isNull(), False) for k in keys], F.lit(True))
+    sets = F.array(*[F.when(known(keys), F.struct(F.lit(i).alias("scope"), *[(c(k) if k in keys else x).alias(k) for k, x in none.items()])) for i, keys in enumerate(sets)])
+    sums = [f"{k}_{m}" for m in ("rk", *means) for k in "sn"]
+    rows = cells.repartition(tasks, entity).select(entity, "runs", "most", *sums, F.inline(F.array_compact(sets)))
+    rows = rows.groupBy(entity, "scope", "family", "height", "level").agg(F.sum("runs").alias("runs"), F.max("most").alias("most"), *[F.sum(x).alias(x) for x in sums])
+    mean = lambda m: c(f"s_{m}") / F.nullif(c(f"n_{m}"), F.lit(0))
+    stat = F.struct(*[mean(m).alias(m) for m in means], c("most").alias(f"{entity}_starts"))
+    runs = F.struct(c("runs").alias(f"{entity}_runs"), mean("rk").alias(f"{entity}_mean"))
+    listed = lambda i, *entry: F.collect_list(F.when(scope == i, F.struct(*entry)))
+    both = F.struct("height", "level").alias("key")
+    maps = [F.map_from_entries(listed(i, key, stat.alias("value"))).alias(k) for i, key, k in ((0, both, "exact"), (1, c("height"), "tall"), (2, c("level"), "same"))]
+    return rows.groupBy(entity).agg(F.struct(*maps, F.max(F.when(scope == 3, stat)).alias("all")).alias(name), listed(4, "family", both, runs.alias("value")).alias(f"_of_{entity}"))
+
+
+def _of_family(name: str) -> Column:
+    """Of `name`, runs by family, height and level, those of the row's family as a map by height and level."""
+    own = F.filter(name, lambda x: x["family"] == F.col("family"))
+    return F.map_from_entries(F.transform(own, lambda x: F.struct(x["key"], x["value"])))
 
 
 def _picked(name: str) -> Column:
@@ -220,11 +328,8 @@ def _picked(name: str) -> Column:
     return F.when(tall.isNotNull(), F.coalesce(F.when(c("level").isNotNull(), exact), tall)).otherwise(F.coalesce(same, c(f"{name}.all")))
 
 
-def _combo_means(history: DataFrame, entity: str) -> DataFrame:
-    """entity, family and a map from (height, level) to runs and mean rank of exactly that combination."""
-    exact = _means(history.where("family IS NOT NULL AND height IS NOT NULL AND level IS NOT NULL"), [entity, "family", "height", "level"], entity)
-    entry = F.struct(F.struct("height", "level").alias("key"), F.struct(f"{entity}_runs", f"{entity}_mean").alias("value"))
-    return exact.groupBy(entity, "family").agg(F.map_from_entries(F.collect_list(entry)).alias(f"_of_{entity}"))
+#: Up to so many combinations, all families together, go to every task.
+FEW_COMBOS = 500_000
 
 
 def by_combo(history: DataFrame, asked: DataFrame, fields: DataFrame, proba: Column) -> DataFrame:
@@ -232,24 +337,30 @@ def by_combo(history: DataFrame, asked: DataFrame, fields: DataFrame, proba: Col
 
     asked: horse, rider, family and, to fix an axis, height or level. `place` orders a
     request's rows by height (none first), then level. Everything that the history says is joined to the
-    requests, as maps by height and level; combinations come last, and are never shuffled.
+    requests, as maps by height and level; a rider's maps, the largest, are made where they are read and are
+    never shuffled, and nor are combinations, which come last.
     """
-    c = F.col
+    c, spark = F.col, history.sparkSession
+    n = history.count()
+    tasks = max(tasks_for(spark, n), 4 * spark.sparkContext.defaultParallelism)
     height = F.when(c("height") > 0, c("height"))
     combos = history.select("family", height.alias("height"), "level").distinct()
     combos = combos.groupBy(c("family").alias("_of")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("height", F.lit(0)).alias("at"), "level", "height"))).alias("_combos"))
+    combos = stage(combos, "combinations", free=True)
+    few = (combos.agg(F.sum(F.size("_combos"))).first()[0] or 0) <= FEW_COMBOS
     axes = asked.where("family IS NOT NULL").groupBy("horse", "rider", "family").agg(F.collect_set(F.struct("height", "level")).alias("_axes"))
-    rows = _described(history, axes)
-    rows = rows.join(_scopes(history, "horse", ("horse_rate", "club_rate"), "horse_starts", "_eh"), "horse", "left").join(_scopes(history, "rider", ("rider_rate",), "rider_starts", "_er"), "rider", "left")
-    for keys, name in ((["horse"], "horse"), (["rider"], "rider"), (["horse", "rider"], "pair")):
-        known = F.sum("won").alias(f"{name}_wins"), F.count(F.lit(1)).alias(f"_{name}_n")
-        rows = rows.join(history.groupBy(*keys).agg(*known), keys, "left")
-    for e in ("horse", "rider"):
-        rows = rows.join(_combo_means(history, e), [e, "family"], "left")
-    rows = rows.join(fields, "family", "left").join(combos, c("given") == c("_of")).drop("_of")
+    rows = axes.join(_pairs(history, axes, n), ["horse", "rider"], "left")
+    rows = _based(_described(history, rows, n, "won"))
+    rows = rows.withColumns({"_horse_n": c("_h.n"), "horse_wins": c("_h.sum_won")}).drop("_h")
+    horse, rider = (_cells(history, e, m, n) for e, m in (("horse", ("horse_rate", "club_rate")), ("rider", ("rider_rate",))))
+    rows = rows.join(_scopes(horse, "horse", ("horse_rate", "club_rate"), "_eh", tasks), "horse", "left").withColumn("_of_horse", _of_family("_of_horse"))
+    rows = rows.join(fields, "family", "left").join(_totals(history, ["rider"], "_rider"), "rider", "left").withColumnsRenamed({"_rider_runs": "_rider_n", "_rider_wins": "rider_wins"})
+    rows = rows.join(_scopes(rider, "rider", ("rider_rate",), "_er", tasks), "rider", "left").withColumn("_of_rider", _of_family("_of_rider"))
+    rows = rows.join(F.broadcast(combos) if few else combos, c("given") == c("_of")).drop("_of")
     # An axis that is not asked takes any value.
     fits = lambda x: F.exists("_axes", lambda a: (a["height"].isNull() | F.coalesce(a["height"] == x["height"], F.lit(False))) & (a["level"].isNull() | F.coalesce(a["level"] == x["level"], F.lit(False))))
-    rows = spread(rows, "horse", "rider", "given").select("*", F.posexplode(F.filter("_combos", fits)).alias("_at", "_c")).drop("_combos", "_axes")
+    # Rows lie so already, by the join with riders; only where Spark joined otherwise they are dealt.
+    rows = rows.repartition(tasks, "rider").select("*", F.posexplode(F.filter("_combos", fits)).alias("_at", "_c")).drop("_combos", "_axes")
     rows = rows.withColumns({"place": c("_at") + 1, "height": c("_c.height"), "level": c("_c.level")}).drop("_at", "_c")
     rows = rows.withColumns({"_asked_height": c("height"), "_asked_level": c("level"), "_eh": _picked("_eh"), "_er": _picked("_er")})
     both = F.struct("height", "level")
@@ -257,7 +368,7 @@ def by_combo(history: DataFrame, asked: DataFrame, fields: DataFrame, proba: Col
     rows = rows.withColumns({f"{e}_{k}": x[f"{e}_{k}"] for e, x in exact.items() for k in ("runs", "mean")}).drop("_of_horse", "_of_rider")
     rows = rows.withColumns({"_eh_horse_rate": c("_eh.horse_rate"), "_eh_club_rate": c("_eh.club_rate"), "_eh_horse_starts": c("_eh.horse_starts"), "_er_rider_rate": c("_er.rider_rate"), "_er_rider_starts": c("_er.rider_starts")}).drop("_eh", "_er")
     rows = _computed(rows).withColumn("proba", _percent(proba)).withColumn("cold", c("_horse_n").isNull() | c("_rider_n").isNull())
-    rows = rows.withColumn("age", pseudo_age(F.coalesce("_horse_n", F.lit(0)))).withColumn("pair_runs", c("_pair_n")).drop("_horse_n", "_rider_n", "_pair_n")
+    rows = rows.withColumn("age", pseudo_age(F.coalesce("_horse_n", F.lit(0)))).drop("_horse_n", "_rider_n")
     rows = rows.drop("height", "level").withColumnsRenamed({"_asked_height": "height", "_asked_level": "level"})
     rows = rows.fillna(0, ["horse_wins", "rider_wins", "pair_wins", "pair_runs", "horse_runs", "rider_runs"])
     return _ranked(rows)

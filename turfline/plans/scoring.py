@@ -29,42 +29,65 @@ q AS (SELECT DISTINCT horse, rider, CASE WHEN horse % 7 = 0 THEN 'UNKNOWN' ELSE
       FROM fact WHERE contest_time >= TIMESTAMP '{CUT}')"""
 
 
-def _history_rows(spark: SparkSession, d: str, columns: tuple[str, ...]) -> DataFrame:
-    """History with these of its columns. Only what they need is computed and shuffled.
+#: What requests ask for, of the later rows.
+_ASKED = ("horse", "rider", "family", "height", "level")
+
 
-    A row's place in its contest stands for the columns that only order rows, and rows of a later
-    day, which no rate of history counts, go before the rates. Horses come last, so that their rows lie together.
+def _contests(spark: SparkSession, d: str, columns: tuple[str, ...]) -> DataFrame:
+    """Participations of all days with what these columns of history need; staged, so that the shuffles that join them go and hot keys, rates and requests read few columns.
+
+    A row's place in its contest stands for the columns that only order rows.
     """
-    keys = {k: k for k in ("rider", "club", "horse") if {f"{k}_rate", f"{k}_starts"} & set(columns)}
     rows, contest = participations(spark, d), Window.partitionBy("contest")
-    day, cut = F.col("contest_time"), F.lit(CUT).cast("timestamp")
+    keys = _rated(columns)
     rates = [f"{k}_{x}" for k in keys for x in ("rate", "starts")]
-    made = {c: F.expr(e) for c, e in _CATEGORY.items()} | {"team": F.when(F.col("team") == "O", 1).otherwise(0)}
     sources = {"sex": ("job",), "coat": ("team",), "size": ("round",), "kind": ("job", "team")}
-    if "field" in columns:
-        rows = rows.withColumn("field", F.count(F.lit(1)).over(contest))
-    needs = [x for c in columns if c not in rates for x in sources.get(c, (c,))]
+    needs = ["contest_time", *_ASKED, *[x for c in columns if c not in rates for x in sources.get(c, (c,))]]
     if keys:
         rows = rows.withColumn("_place", F.row_number().over(contest.orderBy(*time_order())))
         needs += ["contest", "_place", "won", *keys]
-    rows = rows.where(day.isNull() | (day < cut)).select(*dict.fromkeys([*needs, "contest_time"]))
-    if keys:
-        rows = features.prior_rates(rows, keys, "won", [day.asc_nulls_first(), F.col("contest").asc_nulls_first(), F.col("_place")])
-    return rows.where(day < cut).select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
+    if "field" in columns:
+        rows = rows.withColumn("field", F.count(F.lit(1)).over(contest))
+    return stage(rows.select(*dict.fromkeys(needs)), "contests", free=True)
 
 
-def _history(spark: SparkSession, d: str, columns: tuple[str, ...] = _HISTORY) -> DataFrame:
-    """History staged: a prediction reads it a dozen times."""
-    return stage(_history_rows(spark, d, columns), "history")
+def _rated(columns: tuple[str, ...]) -> dict[str, str]:
+    return {k: k for k in ("rider", "club", "horse") if {f"{k}_rate", f"{k}_starts"} & set(columns)}
+
+
+def _history_of(rows: DataFrame, columns: tuple[str, ...] = _HISTORY) -> DataFrame:
+    """History with these of its columns, of _contests. A reader computes and shuffles only the rates that it reads.
+
+    Rows of a later day, which no rate of history counts, go before the rates. Horses come last, so that their rows lie together.
+    """
+    keys, day, cut = _rated(columns), F.col("contest_time"), F.lit(CUT).cast("timestamp")
+    made = {c: F.expr(e) for c, e in _CATEGORY.items()} | {"team": F.when(F.col("team") == "O", 1).otherwise(0)}
+    if keys:
+        order = [day.asc_nulls_first(), F.col("contest").asc_nulls_first(), F.col("_place")]
+        rows = features.prior_rates(rows.where(day.isNull() | (day < cut)), keys, "won", order)
+    return rows.where(day < cut).select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
 
 
-def _requests(spark: SparkSession, d: str) -> DataFrame:
-    rows = participations(spark, d).where(F.col("contest_time") >= F.lit(CUT).cast("timestamp"))
+def _requests_of(rows: DataFrame) -> DataFrame:
+    rows = rows.where(F.col("contest_time") >= F.lit(CUT).cast("timestamp"))
     family = F.when(F.col("horse") % 7 == 0, "UNKNOWN").otherwise(F.col("family"))
     height, level = F.when(F.col("horse") % 3 != 0, F.col("height")), F.when(F.col("rider") % 2 != 0, F.col("level"))
     return rows.select("horse", "rider", family.alias("family"), height.alias("height"), level.alias("level")).distinct()
 
 
+def _history_rows(spark: SparkSession, d: str, columns: tuple[str, ...]) -> DataFrame:
+    return _history_of(_contests(spark, d, columns), columns)
+
+
+def _history(spark: SparkSession, d: str, columns: tuple[str, ...] = _HISTORY) -> DataFrame:
+    return _history_rows(spark, d, columns)
+
+
+def _history_and_requests(spark: SparkSession, d: str, columns: tuple[str, ...] = _HISTORY) -> tuple[DataFrame, DataFrame]:
+    rows = _contests(spark, d, columns)
+    return _history_of(rows, columns), _requests_of(rows)
+
+
 def _proba() -> Column:
     return F.expr(_RATE)
 
@@ -80,7 +103,8 @@ JOIN h ON h.horse = r.horse AND (s NOT LIKE 'height%' OR h.height = r.height) AN
 @query(f"WITH {_HISTORY_SQL} {_NARROW_SQL}")
 def exact_narrowing(spark: SparkSession, d: str) -> DataFrame:
     """The rows of a horse at exactly the height, then at exactly the level, where there are any."""
-    found = scoring.narrowed(_history_rows(spark, d, ("horse", "height", "level", "horse_rate", "horse_starts")), _requests(spark, d), "horse", ("horse_rate",), "horse_starts")
+    history, requests = _history_and_requests(spark, d, ("horse", "height", "level", "horse_rate", "horse_starts"))
+    found = scoring.narrowed(history, requests, "horse", ("horse_rate",), "horse_starts")
     return found.select("horse", "height", "level", "scope", "starts", F.round("horse_rate", 6).alias("horse_rate"), F.col("horse_starts").cast("bigint").alias("horse_starts"))
 
 
@@ -97,7 +121,7 @@ r AS (SELECT q.horse, q.rider, q.family AS given, q.height AS asked_height, q.le
 @query(f"WITH {_HISTORY_SQL}, {_FAMILY_SQL} SELECT horse, rider, given, asked_height AS height, asked_level AS level, family FROM r")
 def family_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The family that a request counts in: as given if known, else the horse's usual one, else everyone's."""
-    return scoring.resolved_family(_history(spark, d, ("horse", "family")), _requests(spark, d)).select("horse", "rider", "given", "height", "level", "family")
+    return scoring.resolved_family(*_history_and_requests(spark, d, ("horse", "family"))).select("horse", "rider", "given", "height", "level", "family")
 
 
 def _portrait_sql(name: str, keys: str) -> str:
@@ -149,7 +173,7 @@ SELECT horse, rider, given, asked_height, asked_level, family, sex, coat, size,
 )
 def feature_vector(spark: SparkSession, d: str) -> DataFrame:
     """The 24 features of every request; a nudge of 1e-9 keeps ties of the sixth digit from falling either way."""
-    rows = scoring.feature_vectors(_history(spark, d), _requests(spark, d))
+    rows = scoring.feature_vectors(*_history_and_requests(spark, d))
     plain = [F.col(c).cast("bigint").alias(c) if c.endswith("_starts") else F.col(c) for c in scoring.FEATURES if c not in _NUMBERS]
     return rows.select("horse", "rider", "given", F.col("_asked_height").alias("asked_height"), F.col("_asked_level").alias("asked_level"), *plain, *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in _NUMBERS])
 
@@ -166,13 +190,14 @@ FROM s LEFT JOIN th USING (horse) LEFT JOIN tr USING (rider) LEFT JOIN tp ON tp.
 )
 def pair_prediction(spark: SparkSession, d: str) -> DataFrame:
     """A prediction for every request, with totals of horse, rider and pair."""
-    rows = scoring.predictions(_history(spark, d), _requests(spark, d), _proba())
+    rows = scoring.predictions(*_history_and_requests(spark, d), _proba())
     counts = [F.col(f"{e}_{k}").cast("bigint").alias(f"{e}_{k}") for e in ("horse", "rider", "pair") for k in ("runs", "wins")]
     return rows.select("horse", "rider", "given", "family", F.col("_asked_height").alias("asked_height"), F.col("_asked_level").alias("asked_level"), "proba", *counts, "cold", F.col("age").cast("bigint").alias("age"))
 
 
 def _fields(history: DataFrame) -> DataFrame:
-    return history.groupBy("family").agg(F.percentile("field", F.lit(0.5)).alias("median_field"))
+    counts = history.groupBy("family", "field").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy("family").agg(F.percentile("field", F.lit(0.5), F.col("_n")).alias("median_field"))
 
 
 _FIELDS_SQL = "mf AS (SELECT family, quantile_cont(field, 0.5)::DOUBLE AS median_field FROM h GROUP BY family)"
@@ -183,10 +208,6 @@ k AS (SELECT *, greatest(1, least(nf, round_even((100 - proba) / 100 * (nf - 1),
 z AS (SELECT *, CASE WHEN past IS NULL THEN raw ELSE greatest(raw, round_even(past * (1 - w::DOUBLE) + raw * w::DOUBLE, 0)::INTEGER) END AS rank FROM k)"""
 
 
-def _asked_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _requests(spark, d).select("horse", "rider").where("horse IS NOT NULL AND rider IS NOT NULL").distinct()
-
-
 @query(
     f"""WITH {_HISTORY_SQL.replace("q AS (", "q0 AS (")},
 q AS (SELECT DISTINCT p.horse, p.rider, f.family, NULL::INTEGER AS height, NULL::INTEGER AS level
@@ -200,8 +221,9 @@ SELECT horse, rider, family, proba, rank, round(hm, 6) AS horse_mean, round(rm,
 )
 def family_predictions(spark: SparkSession, d: str) -> DataFrame:
     """A prediction of every asked pair in each family that either has run in."""
-    history = _history(spark, d)
-    rows = scoring.by_family(history, _asked_pairs(spark, d), _fields(history), _proba())
+    history, requests = _history_and_requests(spark, d)
+    pairs = requests.select("horse", "rider").where("horse IS NOT NULL AND rider IS NOT NULL").distinct()
+    rows = scoring.by_family(history, pairs, _fields(history), _proba())
     runs = [F.col(f"{e}_runs").cast("bigint").alias(f"{e}_runs") for e in ("horse", "rider")]
     return rows.select("horse", "rider", "family", "proba", "rank", F.round("horse_mean", 6).alias("horse_mean"), F.round("rider_mean", 6).alias("rider_mean"), *runs, "place")
 
@@ -217,8 +239,8 @@ SELECT horse, rider, family, asked_height AS height, asked_level AS level, proba
 )
 def combo_means(spark: SparkSession, d: str) -> DataFrame:
     """A prediction of every asked pair for each height and level of the family, at the asked level where one is asked."""
-    history = _history(spark, d)
-    asked = _requests(spark, d).where("horse IS NOT NULL AND rider IS NOT NULL").select("horse", "rider", "family", F.lit(None).cast("int").alias("height"), "level").distinct()
+    history, requests = _history_and_requests(spark, d)
+    asked = requests.where("horse IS NOT NULL AND rider IS NOT NULL").select("horse", "rider", "family", F.lit(None).cast("int").alias("height"), "level").distinct()
     rows = scoring.by_combo(history, asked, _fields(history), _proba())
     runs = [F.col(f"{e}_runs").cast("bigint").alias(f"{e}_runs") for e in ("horse", "rider")]
     return rows.select("horse", "rider", "family", "height", "level", "proba", "rank", F.round("horse_mean", 6).alias("horse_mean"), F.round("rider_mean", 6).alias("rider_mean"), *runs)
@@ -233,5 +255,5 @@ SELECT horse, rider, given, CASE WHEN horse IS NOT NULL AND given IS NOT NULL TH
 )
 def batch_cold_start(spark: SparkSession, d: str) -> DataFrame:
     """All asked entries scored at once, cold pairs labelled."""
-    entries = _requests(spark, d).select("horse", "rider", "family").distinct()
-    return scoring.batch(_history(spark, d), entries, _proba()).select("horse", "rider", "given", "proba", "verdict")
+    history, requests = _history_and_requests(spark, d)
+    return scoring.batch(history, requests.select("horse", "rider", "family").distinct(), _proba()).select("horse", "rider", "given", "proba", "verdict")

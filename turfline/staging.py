@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Row groups of staged tables: a writer holds one in memory.
 ROW_GROUP_BYTES = 32 << 20
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_PARTITIONS = "spark.sql.shuffle.partitions"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,14 +36,24 @@ def _folder(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, free: bool = False, partitions: int = 0) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
-    The files go with unstage, at the latest when the session's file system closes.
+    The files go with unstage, at the latest when the session's file system closes. With `free` the shuffles
+    that made them go as soon as they are written, not when the driver's memory is next collected. `partitions`
+    are the least that Spark's own shuffles have on the way.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/turfline/{label}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    before = {_FREE: spark.conf.get(_FREE, "false"), _PARTITIONS: spark.conf.get(_PARTITIONS)}
+    during = {_FREE: "true" if free else before[_FREE], _PARTITIONS: str(max(partitions, int(before[_PARTITIONS])))}
+    try:
+        for k, v in during.items():
+            spark.conf.set(k, v)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     files, at = _folder(spark, path)
     files.deleteOnExit(at)
     back = spark.read.schema(df.schema).parquet(path)
