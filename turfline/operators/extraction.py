@@ -25,30 +25,44 @@ CATEGORY_PATTERNS = {
 
 
 def table_records(cells: DataFrame, key: str) -> DataFrame:
-    """key, table, row, team and record (a map of columns), one per data row, from html_cells.
+    """row_records from html_cells, a row a cell."""
+    held = cells.groupBy(key, "table", "row", "row_class").agg(F.array_sort(F.collect_list(F.struct("position", "column", "value", "href"))).alias("cells"))
+    return row_records(held, key)
 
-    Ranking columns are cleaned; rows with a marker of non-participation go; a member row
-    takes its team's name from the team row above it, and its ranking values where its
-    own are empty. A cell's link is <column>_url, the first of a row is href.
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """Rows of html_table_rows with their cells as row_records takes them."""
+    cell = lambda x, i: F.struct(i.alias("position"), x["columns"].alias("column"), x["values"].alias("value"), x["hrefs"].alias("href"))
+    return rows.withColumn("cells", F.transform(F.arrays_zip("columns", "values", "hrefs"), cell)).drop("columns", "values", "hrefs")
+
+
+def row_records(rows: DataFrame, key: str) -> DataFrame:
+    """key, table, row, team and record (a map of columns), one per data row.
+
+    rows: key, table, row, row_class and cells (position, column, value, href, by position). Ranking columns
+    are cleaned; rows with a marker of non-participation go; a member row takes its team's name from the team
+    row above it, and its ranking values where its own are empty. A cell's link is <column>_url, the first of
+    a row is href. A row's cells stay together, so that only rows are shuffled, once, to meet their teams.
     """
-    ranking = t.is_ranking_name(F.col("column"))
-    cleaned = F.when(ranking, t.ranking_number(t.clean_ordinal(F.col("value")))).otherwise(F.col("value"))
-    is_team = F.array_contains(F.split("row_class", r"\s+"), TEAM_ROW)
-    member = F.array_contains(F.split("row_class", r"\s+"), MEMBER_ROW)
-    cells = cells.withColumns({"absent": t.did_not_start(F.col("value")), "value": cleaned, "is_team": is_team, "member": member & ~is_team})
-    # The first cell of a name counts, so names are made unique before they become a map's keys.
-    first = Window.partitionBy(key, "table", "row", "column").orderBy(F.when(F.col("value") != "", F.col("position")).otherwise(F.col("position") + 1_000_000))
-    kept = cells.withColumn("_n", F.row_number().over(first))
-    pair = F.when((F.col("_n") == 1) & (F.col("value") != ""), F.struct("column", "value"))
-    link = F.when((F.col("_n") == 1) & (F.col("href") != ""), F.struct(F.concat("column", F.lit("_url")).alias("column"), F.col("href").alias("value")))
-    rows = kept.groupBy(key, "table", "row", "is_team", "member").agg(
-        F.max("absent").alias("absent"),
-        F.map_from_entries(F.collect_list(pair)).alias("values"),
-        F.map_from_entries(F.collect_list(link)).alias("links"),
-        F.min_by("href", F.when(F.col("href") != "", F.col("position"))).alias("href"),
-        F.max(F.when(F.col("position") == 1, F.regexp_replace("value", TEAM_LABEL, ""))).alias("team_name"),
-        F.map_from_entries(F.collect_list(F.when(F.col("position") != 1, pair))).alias("team_values"),
-    )
+    has_class = lambda name: F.array_contains(F.split("row_class", r"\s+"), name)
+    cleaned = lambda x: F.when(t.is_ranking_name(x["column"]), t.ranking_number(t.clean_ordinal(x["value"]))).otherwise(x["value"])
+    rows = rows.withColumns({"absent": F.exists("cells", lambda x: t.did_not_start(x["value"])), "is_team": has_class(TEAM_ROW), "member": has_class(MEMBER_ROW) & ~has_class(TEAM_ROW)})
+    rows = rows.withColumn("cells", F.transform("cells", lambda x: F.struct(x["position"].alias("position"), x["column"].alias("column"), cleaned(x).alias("value"), x["href"].alias("href"))))
+    # The first cell of a name counts, one with a value before those without, so names are unique before they become a map's keys.
+    place = lambda x: F.struct(F.coalesce(x["value"] == "", F.lit(True)), x["position"])
+    first = F.filter("cells", lambda x: ~F.exists("cells", lambda y: (y["column"] == x["column"]) & (place(y) < place(x))))
+    rows = rows.withColumn("first", F.when(F.size(F.array_distinct("cells.column")) == F.size("cells"), F.col("cells")).otherwise(first))
+    pairs = lambda kept: F.map_from_entries(F.transform(F.filter("first", kept), lambda x: F.struct(x["column"], x["value"])))
+    links = F.transform(F.filter("first", lambda x: x["href"] != ""), lambda x: F.struct(F.concat(x["column"], F.lit("_url")), x["href"]))
+    names = F.transform(F.filter("cells", lambda x: x["position"] == 1), lambda x: F.regexp_replace(x["value"], TEAM_LABEL, ""))
+    rows = rows.select(
+        key, "table", "row", "is_team", "member", "absent",
+        pairs(lambda x: x["value"] != "").alias("values"),
+        F.map_from_entries(links).alias("links"),
+        F.get(F.filter("cells", lambda x: x["href"] != ""), 0)["href"].alias("href"),
+        F.when(F.col("is_team"), F.array_max(names)).alias("team_name"),
+        F.when(F.col("is_team"), pairs(lambda x: (x["value"] != "") & (x["position"] != 1))).alias("team_values"),
+    )
     # The team of a member: the nearest row above that is no member, if it is a team row.
     above = Window.partitionBy(key, "table").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     head = F.last(F.when(~F.col("member"), F.struct("is_team", "team_name", "team_values")), ignorenulls=True).over(above)

@@ -195,7 +195,8 @@ FROM (SELECT *, l_quantity::INTEGER AS q FROM lineitem) WHERE q % 10 <> 0"""
 )
 def team_records(spark: SparkSession, d: str) -> DataFrame:
     """Table rows as records: cleaned ranks, teams handed on to their members, absent starters left out."""
-    records = extraction.table_records(generated(entry_pages(spark, d), "l_orderkey", "html_cells"), "l_orderkey")
+    rows = generated(entry_pages(spark, d), "l_orderkey", "html_table_rows")
+    records = extraction.row_records(extraction.cells_of(rows), "l_orderkey")
     r = F.col("record")
     return records.select("l_orderkey", "team", r["Rang"].alias("rank"), r["Cheval"].alias("horse"), r["Club"].alias("club"), r["href"].alias("href"))
 
